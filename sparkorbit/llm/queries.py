@@ -7,18 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contained_items
+from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .quality import quality_scores
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    held = found.groupBy("doc_id", "item_id").agg(F.max("item_shingles").alias("item_shingles"), F.max("hits").alias("hits"))
+    return held.withColumn("containment", F.round(F.col("hits") / F.col("item_shingles"), 6))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_scores(docs, _read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("rate", 9).alias("rate"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op3_quality": op3_quality,
     "op7_near_dup": op7_near_dup,
+    "op8_mixing": op8_mixing,
 }
