@@ -9,10 +9,9 @@ circularly by k.  Bands of four coordinates give buckets.
 No bucket is expanded into all of its pairs.  Equal sets are one node from the
 start.  In each star round a node is held against one pivot of its buckets;
 confirmed links merge components, and a bucket whose nodes are all in one
-component is done.  Pairs of different components that still share a bucket are
-all compared at the end; buckets that are large even then are first split by a
-second band.  At Jaccard 0.75 a pair shares no band with a probability of 5e-6,
-at 0.8 of 5e-8.
+component is done.  Nodes of buckets that are still open at the end (mostly
+documents that share a passage) are joined exactly by their rarest shingles.  At
+Jaccard 0.75 a pair shares no band with a probability of 5e-6, at 0.8 of 5e-8.
 """
 
 from __future__ import annotations
@@ -31,8 +30,6 @@ BANDS, ROWS = 32, 4
 COORDS = BANDS * ROWS
 CIRCLE = 1 << 20
 STAR_ROUNDS = 3
-#: Nodes of an unfinished bucket beyond which a second band splits it.
-SPLIT = 64
 
 _pi = np.random.Generator(np.random.PCG64(71)).permutation(CIRCLE).astype(np.uint32)
 _ring = np.lib.stride_tricks.sliding_window_view(np.concatenate((_pi, _pi[:COORDS])), COORDS)
@@ -191,23 +188,35 @@ def _links(text: DataFrame, signed: DataFrame, active: DataFrame, percent: int)
             return edges
         active = labelled.select("key", "node")
 
-    every = labelled.select("node", F.col("key").alias("other"))
-    for _ in range(2):
-        counts = labelled.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > SPLIT)
-        large = labelled.join(counts.select("key"), "key")
-        if not large.limit(1).count():
-            break
-        finer = large.join(every, "node").where("key <> other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node", "label").distinct()
-        small = labelled.join(counts.select("key"), "key", "left_anti")
-        labelled = materialize(_open(small.unionByName(finer)), "open")
-    right = labelled.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
-    pairs = labelled.withColumnRenamed("node", "a").join(right, "key").where("a < b and label <> other").select("a", "b").distinct()
+    nodes = materialize(labelled.select("node", "label").distinct(), "nodes")
+    pairs = materialize(_rare_pairs(payload.join(nodes, "node"), percent), "pairs")
     sigs = payload.select("node", "sig")
     pairs = pairs.join(sigs.toDF("a", "x"), "a").join(sigs.toDF("b", "y"), "b").select("a", "b", "x", "y")
     pairs = materialize(pairs.mapInArrow(_alike, "a long, b long"), "pairs")
     return materialize(edges.union(verified(pairs)), "edges")
 
 
+def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels that may be links, from rows (node, label, shingles).
+
+    With shingles in the order of their frequency, sets of a similarity of t share
+    one of the first n - ceil(t * n) + 1: a passage that many documents repeat comes
+    last and brings no pairs.
+    """
+    rows = sets.select("node", "label", F.explode("shingles").alias("h"))
+    often = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    rows = rows.select("node", "h").join(often, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
+    n = F.size("shingles")
+    first = n - F.ceil(n * percent / 100) + 1 - (n - F.size("common"))  # shingles of one set alone come before all others
+    heads = sets.join(rows, "node").select("node", "label", n.alias("n"), F.explode(F.slice("common", 1, F.greatest(first.cast("int"), F.lit(0)))).alias("c"))
+    heads = materialize(heads.select("node", "label", "n", F.col("c.h").alias("key")), "heads")
+    mixed = heads.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    heads = materialize(heads.join(mixed, "key"), "heads")
+    right = heads.select("key", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"))
+    alike = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("node") < F.col("b")) & (F.col("label") != F.col("other"))
+    return heads.join(right, "key").where(alike).select(F.col("node").alias("a"), "b").distinct()
+
+
 def _open(labelled: DataFrame) -> DataFrame:
     """Rows of the buckets in which more than one component is left."""
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
