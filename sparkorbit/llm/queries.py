@@ -11,6 +11,8 @@ from .decontaminate import contained_items
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .quality import quality_scores
+from .secrets import BASE, joined, scan_secrets
+from .sharding import shard_documents
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +25,25 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.withColumn("containment", F.round(F.col("hits") / F.col("item_shingles"), 6))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("secret_spans")
+    of = lambda k: F.filter(spans, lambda s: s["kind"] == k)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(BASE)]
+    base = F.sha2(joined(F.filter(spans, lambda s: s["kind"] < len(BASE))), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), joined(spans).alias("spans"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_scores(docs, _read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
@@ -40,7 +56,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_secrets": op2_secrets,
     "op3_quality": op3_quality,
+    "op4_sharding": op4_sharding,
     "op7_near_dup": op7_near_dup,
     "op8_mixing": op8_mixing,
 }
