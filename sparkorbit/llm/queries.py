@@ -13,6 +13,7 @@ from .near_dup import near_duplicates
 from .quality import quality_scores
 from .secrets import BASE, joined, scan_secrets
 from .sharding import shard_documents
+from .topk import top_products
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("rate", 9).alias("rate"))
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secrets": op2_secrets,
@@ -61,4 +66,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op7_near_dup": op7_near_dup,
     "op8_mixing": op8_mixing,
+    "op10_topk": op10_topk,
 }
