@@ -13,6 +13,8 @@ from .near_dup import near_duplicates
 from .quality import quality_scores
 from .secrets import BASE, joined, scan_secrets
 from .sharding import shard_documents
+from .shared import scratch
+from .tokens import count_tokens, write_training_order
 from .topk import top_products
 
 
@@ -45,6 +47,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_read(spark, sf_dir, "documents"))
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
@@ -55,6 +61,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("rate", 9).alias("rate"))
 
 
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return write_training_order(docs, scratch(spark, "training"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(_read(spark, sf_dir, "embeddings"))
 
@@ -64,7 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
+    "op5_token_counts": op5_token_counts,
     "op7_near_dup": op7_near_dup,
     "op8_mixing": op8_mixing,
+    "op9_training_order": op9_training_order,
     "op10_topk": op10_topk,
 }
