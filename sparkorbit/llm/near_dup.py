@@ -16,7 +16,7 @@ Jaccard 0.75 a pair shares no band with a probability of 5e-6, at 0.8 of 5e-8.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,8 @@ from .shared import checked_broadcast, materialize
 BANDS, ROWS = 32, 4
 COORDS = BANDS * ROWS
 CIRCLE = 1 << 20
-STAR_ROUNDS = 3
+#: Orders of pivots in each star round.
+STAR_ROUNDS = (1, 3)
 
 _pi = np.random.Generator(np.random.PCG64(71)).permutation(CIRCLE).astype(np.uint32)
 _ring = np.lib.stride_tricks.sliding_window_view(np.concatenate((_pi, _pi[:COORDS])), COORDS)
@@ -156,6 +157,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("nd_id").alias(id_col), "n_shingles", own.alias("component_id"), F.col("nd_id").eqNullSafe(own).alias("kept"), F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"), "tx")
 
 
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, columns unchanged, less all but one of each group of near-duplicates.
+
+    The row with the smallest id stays, one of them if the id is repeated.  Rows
+    without words are in no group: all stay.
+    """
+    found = near_duplicates(docs, id_col, text_col)
+    kept = F.col("kept") & F.col("component").isNotNull()
+    groups = materialize(found.where(kept).groupBy(F.col(id_col).alias("nd_id"), "tx", "component").agg(F.count("*").alias("rows")), "kept")
+    out = docs.join(groups.select("nd_id", F.col("tx").alias("nd_tx")).distinct().withColumn("nd_kept", F.lit(True)), docs[id_col].eqNullSafe(F.col("nd_id")) & (F.xxhash64(docs[text_col]) == F.col("nd_tx")), "left")
+    worded = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept_rows = out.where(F.col("nd_kept") | ~worded).select(*docs.columns)
+    extra = groups.groupBy("component").agg(F.sum("rows").alias("rows"), F.min("tx").alias("tx")).where("rows > 1")
+    if not extra.limit(1).count():
+        return kept_rows
+    # Repeated ids: of the rows of a component that share the smallest id, one stays.
+    groups = groups.join(extra.select("component", F.col("tx").alias("only")), "component", "left")
+    only = materialize(groups.where("only is null or tx = only").select("nd_id", "tx"), "only")
+    again = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("own"), F.xxhash64(text_col).alias("own_tx"), worded.alias("worded"))
+    again = again.join(only, again["own"].eqNullSafe(only["nd_id"]) & (again["own_tx"] == only["tx"]), "left").where(F.col("tx").isNotNull() | ~F.col("worded"))
+    one = again.where("worded").groupBy("own", "own_tx").agg(F.first("row").alias("row")).select("row.*")
+    return one.unionByName(again.where("not worded").select("row.*"))
+
+
 def _links(text: DataFrame, signed: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b), enough of them for all components of the whole graph."""
     reps = active.select(F.col("node").alias("rid")).distinct().join(signed, "rid").select("rid", "nd_id", "c1", "c2")
@@ -175,45 +200,72 @@ def _links(text: DataFrame, signed: DataFrame, active: DataFrame, percent: int)
         both = F.size(F.array_intersect("sa", "sb"))
         return two.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
-    edges = active.sparkSession.createDataFrame([], "a long, b long")
-    labelled = active.withColumn("label", F.col("node"))
-    for turn in range(STAR_ROUNDS):
-        mask = F.lit(int(K.mix(np.uint64([turn + 1]))[0] >> np.uint64(1)))  # another order of pivots each time
-        pivots = labelled.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("pivot"))
-        pairs = labelled.join(pivots, "key").groupBy("node").agg(F.min("pivot").alias("pivot"))
-        pairs = pairs.select(F.col("node").alias("a"), F.col("pivot").bitwiseXOR(mask).alias("b")).where("a <> b")
-        edges = materialize(edges.union(verified(pairs)), "edges")
-        labelled = _unfinished(active, components(edges))
-        if not labelled.limit(1).count():
-            return edges
-        active = labelled.select("key", "node")
-
+    edges, labelled = star_links(active, verified)
+    if labelled is None:
+        return edges
     nodes = materialize(labelled.select("node", "label").distinct(), "nodes")
     pairs = materialize(_rare_pairs(payload.join(nodes, "node"), percent), "pairs")
     sigs = payload.select("node", "sig")
     pairs = pairs.join(sigs.toDF("a", "x"), "a").join(sigs.toDF("b", "y"), "b").select("a", "b", "x", "y")
     pairs = materialize(pairs.mapInArrow(_alike, "a long, b long"), "pairs")
-    return materialize(edges.union(verified(pairs)), "edges")
+    return edges.union(materialize(verified(pairs), "edges"))
+
+
+def star_links(active: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """Links (a, b) from star rounds over buckets (key, node), and what of the buckets is open.
+
+    In a round every node is held against one pivot of its buckets for each order of
+    nodes: at first the node that shares most rows of buckets with others (the
+    original of a family of copies), then that of what is left and of random orders.
+    A node without a label takes that of a pivot it is linked with.  Open are the rows
+    (key, node, label) of buckets that hold several labels, None if there are none.
+    """
+    edges = active.sparkSession.createDataFrame([], "a long, b long")
+    labelled = active.withColumn("label", F.col("node"))
+    for orders in STAR_ROUNDS:
+        often = labelled.groupBy("key").agg(F.count("*").alias("n"))
+        central = labelled.join(often, "key").groupBy("node").agg(F.sum("n").alias("central"))
+        ranked = materialize(labelled.join(central, "node").select("key", "node", "central"), "ranked")
+        pairs = None
+        for order in range(orders):
+            # a random order is that of the ids with some bits flipped
+            flip = F.lit(int(K.mix(np.uint64([order + 1]))[0] >> np.uint64(1)))
+            rank = F.struct(F.col("node").bitwiseXOR(flip).alias("rank"), F.col("node").alias("pivot")) if order else F.struct(F.col("central").alias("rank"), F.col("node").alias("pivot"))
+            pivots = ranked.groupBy("key").agg(F.max(rank).alias("best"))
+            own = ranked.join(pivots, "key").groupBy("node").agg(F.max("best").alias("best")).select(F.col("node").alias("a"), F.col("best.pivot").alias("b"))
+            pairs = own if pairs is None else pairs.union(own)
+        found = materialize(verified(pairs.where("a <> b").distinct()), "edges")
+        edges = edges.union(found)
+        labels = labelled.select("node", "label").distinct()
+        taken = found.join(labels, found["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("taken"))
+        labelled = labelled.join(taken, labelled["node"] == taken["a"], "left")
+        labelled = labelled.select("key", "node", F.when(F.col("label") == F.col("node"), F.coalesce("taken", "label")).otherwise(F.col("label")).alias("label"))
+        labelled = materialize(_open(labelled), "open")
+        if not labelled.limit(1).count():
+            return edges, None
+    return edges, labelled
 
 
 def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different labels that may be links, from rows (node, label, shingles).
 
-    With shingles in the order of their frequency, sets of a similarity of t share
-    one of the first n - ceil(t * n) + 1: a passage that many documents repeat comes
-    last and brings no pairs.
+    Shingles are put in the order of their frequency, so a passage that many documents
+    repeat comes last.  Sets of n and m shingles are links only if they share
+    ``least`` = ceil(t / (1 + t) * (n + m)) of them, and so one at a place that leaves
+    that many in both.
     """
-    rows = sets.select("node", "label", F.explode("shingles").alias("h"))
+    rows = sets.select("node", F.explode("shingles").alias("h"))
     often = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    rows = rows.select("node", "h").join(often, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
-    n = F.size("shingles")
-    first = n - F.ceil(n * percent / 100) + 1 - (n - F.size("common"))  # shingles of one set alone come before all others
-    heads = sets.join(rows, "node").select("node", "label", n.alias("n"), F.explode(F.slice("common", 1, F.greatest(first.cast("int"), F.lit(0)))).alias("c"))
-    heads = materialize(heads.select("node", "label", "n", F.col("c.h").alias("key")), "heads")
+    rows = rows.join(often, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
+    n, alone = F.size("shingles"), F.size("shingles") - F.size("common")  # those of one set alone come first
+    first = n - F.ceil(n * percent / 100) + 1 - alone
+    heads = sets.join(rows, "node").select("node", "label", n.alias("n"), alone.alias("alone"), F.posexplode(F.slice("common", 1, F.greatest(first.cast("int"), F.lit(0)))).alias("at", "c"))
+    heads = materialize(heads.select("node", "label", "n", (F.col("at") + F.col("alone")).alias("at"), F.col("c.h").alias("key")), "heads")
     mixed = heads.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     heads = materialize(heads.join(mixed, "key"), "heads")
-    right = heads.select("key", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"))
-    alike = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("node") < F.col("b")) & (F.col("label") != F.col("other"))
+    right = heads.select("key", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"), F.col("at").alias("bt"))
+    room = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt"))  # shared from here on at most
+    alike = ((100 + percent) * room >= percent * (F.col("n") + F.col("m"))) & (F.col("node") < F.col("b")) & (F.col("label") != F.col("other"))
     return heads.join(right, "key").where(alike).select(F.col("node").alias("a"), "b").distinct()
 
 
@@ -221,8 +273,3 @@ def _open(labelled: DataFrame) -> DataFrame:
     """Rows of the buckets in which more than one component is left."""
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     return labelled.join(mixed, "key").select("key", "node", "label")
-
-
-def _unfinished(active: DataFrame, labels: DataFrame) -> DataFrame:
-    labelled = active.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    return materialize(_open(labelled), "open")

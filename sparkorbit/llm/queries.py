@@ -8,17 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contained_items
+from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .quality import quality_scores
 from .secrets import BASE, joined, scan_secrets
 from .sharding import shard_documents
-from .shared import scratch
+from .shared import importable, scratch
 from .tokens import count_tokens, write_training_order
 from .topk import top_products
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,6 +53,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
@@ -76,8 +82,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
     "op5_token_counts": op5_token_counts,
+    "op6_line_dedup": op6_line_dedup,
     "op7_near_dup": op7_near_dup,
     "op8_mixing": op8_mixing,
     "op9_training_order": op9_training_order,
     "op10_topk": op10_topk,
 }
+
+#: SQL over the same tables; the other queries are tested against brute force.
+ORACLE: dict[str, str] = {}

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,15 @@ BROADCAST_ROWS = 1_000_000
 _written: list[tuple[SparkSession, str]] = []
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver did."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, paths)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``, own one only if unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
