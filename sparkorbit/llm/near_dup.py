@@ -53,12 +53,12 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return K.mix((sig.reshape(BANDS, ROWS).astype(np.uint64) * _LANES).sum(axis=1, dtype=np.uint64) + _BAND)
 
 
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+def _sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of the batch of about ``K.CHUNK`` bytes of text, with the set of each row."""
     data, offs = K.utf8(batch.column(1))
     for i, j in K.chunks(offs):
         value, at = K.shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-        for k in range(j - i):
-            yield i + k, np.unique(value[at[k] : at[k + 1]])
+        yield batch.slice(i, j - i), [np.unique(value[at[k] : at[k + 1]]) for k in range(j - i)]
 
 
 def _fingerprint(s: np.ndarray) -> tuple[int, int]:
@@ -68,33 +68,22 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 
 def _signed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        n = np.zeros(batch.num_rows, np.int64)
-        prints = np.zeros((2, batch.num_rows), np.int64)
-        keys, ends = [], np.zeros(batch.num_rows + 1, np.int32)
-        for r, s in _sets(batch):
-            n[r] = len(s)
-            if len(s):
-                prints[:, r] = _fingerprint(s)
-                keys.append(band_keys(signature(s)).view(np.int64))
-            ends[r + 1] = len(keys) * BANDS
-        keys = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(prints[0]), pa.array(prints[1]), batch.column(2), pa.ListArray.from_arrays(pa.array(ends), keys)], ["nd_id", "n_shingles", "c1", "c2", "tx", "keys"])
+    for part, sets in (x for batch in it for x in _sets(batch)):
+        n = np.array([len(s) for s in sets], np.int64)
+        prints = np.array([_fingerprint(s) if len(s) else (0, 0) for s in sets], np.int64).reshape(-1, 2)
+        keys = [band_keys(signature(s)).view(np.int64) for s in sets if len(s)]
+        ends = np.concatenate(([0], np.cumsum(n > 0))).astype(np.int32) * BANDS
+        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(prints[:, 0]), pa.array(prints[:, 1]), part.column(2), keys], ["nd_id", "n_shingles", "c1", "c2", "tx", "keys"])
 
 
 def _payload(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        c1, c2, sigs, sets, ends = [], [], [], [], [0]
-        for _, s in _sets(batch):
-            if len(s):
-                a, b = _fingerprint(s)
-                c1.append(a)
-                c2.append(b)
-                sigs.append(signature(s).tobytes())
-                sets.append(s.view(np.int64))
-                ends.append(ends[-1] + len(s))
-        sets = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), sets)], ["c1", "c2", "sig", "shingles"])
+    for _, sets in (x for batch in it for x in _sets(batch)):
+        sets = [s for s in sets if len(s)]
+        prints = np.array([_fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
+        ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+        values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([signature(s).tobytes() for s in sets], pa.binary()), values], ["c1", "c2", "sig", "shingles"])
 
 
 def _alike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

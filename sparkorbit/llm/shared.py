@@ -17,8 +17,14 @@ BROADCAST_ROWS = 1_000_000
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: Rows of an Arrow batch of documents: a Python worker holds a few MB of text at once.
+ARROW_ROWS = 500
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers find this package where the driver did."""
+    """Let Python workers find this package where the driver did, and keep their batches small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "")
