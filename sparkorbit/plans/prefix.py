@@ -1,0 +1,38 @@
+"""Running sums and ranks over any number of rows, without one task that sees them all."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Ranges of the order column; each is ordered by a task of its own.
+RANGES = 64
+
+
+def range_bin(df: DataFrame, order: str, ranges: int = RANGES) -> Column:
+    """The range of the order column that a row falls into: its cuts are approximate quantiles."""
+    shares = [k / ranges for k in range(1, ranges)]
+    cuts = df.agg(F.percentile_approx(order, F.array(*map(F.lit, shares)), F.lit(1000)).alias("cuts")).first()["cuts"] or []
+    cuts = sorted({float(c) for c in cuts if c is not None})
+    held = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
+    return F.size(F.filter(held, lambda c: c < F.col(order)))
+
+
+def running_sums(df: DataFrame, order: str, sums: dict[str, str], by: tuple[str, ...] = (), descending: bool = False, inclusive: bool = True, ranges: int = RANGES) -> DataFrame:
+    """``df`` with, for each ``name: column``, the running sum of the column in the order within ``by``.
+
+    Rows of equal order value are peers and get the same sums; exclusive sums leave
+    out the peers.  Two levels: sums of ranges of the order column come first.
+    """
+    binned = df.withColumn("_bin", range_bin(df, order, ranges))
+    totals = binned.groupBy(*by, "_bin").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    way = F.col("_bin").desc() if descending else F.col("_bin").asc()
+    before = Window.partitionBy(*by).orderBy(way).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_bin", *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums))
+    way = F.col(order).desc() if descending else F.col(order).asc()
+    inner = Window.partitionBy(*by, "_bin").orderBy(way).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    peers = Window.partitionBy(*by, "_bin", order)
+    run = {n: F.sum(c).over(inner) - (F.lit(0) if inclusive else F.sum(c).over(peers)) for n, c in sums.items()}
+    out = binned.select(*df.columns, "_bin", *(v.alias(n) for n, v in run.items()))
+    out = out.join(offsets, [*by, "_bin"])
+    return out.select(*df.columns, *((F.col(n) + F.col(f"_{n}")).alias(n) for n in sums))
