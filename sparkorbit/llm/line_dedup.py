@@ -34,13 +34,25 @@ _BLANK = np.zeros(128, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
+_TABLE = K.mix(np.arange(1 << 16, dtype=np.uint64) + _C[0])
+
+
+def _blank(points: np.ndarray) -> np.ndarray:
+    return (points < 128) & _BLANK[np.minimum(points, 127)]
+
+
 class Lines:
     """All non-blank lines of a chunk of texts, trimmed: code points, bounds, row and line numbers."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
-        self.points = cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-        begin, end = lead[offs[:-1]], lead[offs[1:]]
+        text = data.tobytes().decode("utf-8")
+        cp = np.frombuffer(text.encode("utf-16-le"), np.uint16)
+        if len(cp) > len(text):  # characters beyond the 16-bit ones
+            cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        self.points = cp
+        if len(cp) < len(data):  # not one byte a character
+            offs = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)))[offs]
+        begin, end = offs[:-1], offs[1:]
         breaks = np.flatnonzero(cp == 10)
         start = np.concatenate((begin, breaks + 1))
         row = np.concatenate((np.arange(len(begin)), np.searchsorted(end, breaks, "right")))
@@ -49,29 +61,50 @@ class Lines:
         stop = end[row]
         same = row[1:] == row[:-1]
         stop[:-1][same] = start[1:][same] - 1
-        first = np.searchsorted(row, np.arange(len(begin)))
-        number = np.arange(len(row)) - first[row]
-        solid = np.flatnonzero(~((cp < 128) & _BLANK[np.minimum(cp, 127)]))
-        a, b = np.searchsorted(solid, start), np.searchsorted(solid, stop)
-        has = b > a
-        self.start, self.stop = solid[a[has]], solid[b[has] - 1] + 1
-        self.row, self.number = row[has], number[has]
-        value = K.mix(cp.astype(np.uint64) + _C[0])
-        self.prefix = []
-        for base in _BASES:
-            p = np.zeros(len(cp) + 1, np.uint64)
-            np.cumsum(value * K._powers_of(base, len(cp)), out=p[1:])
-            self.prefix.append(p)
+        number = np.arange(len(row)) - np.searchsorted(row, np.arange(len(begin)))[row]
+        for step in range(1 << 62):  # blanks at either end
+            some = np.flatnonzero(start < stop)
+            left, right = some[_blank(cp[start[some]])], some[_blank(cp[stop[some] - 1])]
+            if not len(left) and not len(right):
+                break
+            if step < 16:
+                start[left] += 1
+                stop[right] = np.maximum(stop[right] - 1, start[right])
+            else:  # a few long runs
+                for k in {*left.tolist(), *right.tolist()}:
+                    solid = np.flatnonzero(~_blank(cp[start[k] : stop[k]]))
+                    start[k], stop[k] = (start[k] + solid[0], start[k] + solid[-1] + 1) if len(solid) else (stop[k], stop[k])
+        has = stop > start
+        self.start, self.stop, self.row, self.number = start[has], stop[has], row[has], number[has]
+        self._prefix: dict[int, np.ndarray] = {}
+
+    def _sums(self, lane: int) -> np.ndarray:
+        if lane not in self._prefix:
+            cp = self.points
+            value = _TABLE[cp if cp.dtype == np.uint16 else cp & 0xFFFF]
+            if cp.dtype != np.uint16:
+                rare = np.flatnonzero(cp >> 16)
+                value[rare] = K.mix(cp[rare].astype(np.uint64) + _C[0])
+            out = np.zeros(len(cp) + 1, np.uint64)
+            value *= K._powers_of(_BASES[lane], len(cp))
+            np.cumsum(value, out=out[1:])
+            self._prefix[lane] = out
+        return self._prefix[lane]
 
     def value(self, start: np.ndarray, stop: np.ndarray, lane: int = 0) -> np.ndarray:
-        p = self.prefix[lane]
+        p = self._sums(lane)
         return K.mix((p[stop] - p[start]) * K._powers_of(_UNBASES[lane], len(p))[start] + (stop - start).astype(np.uint64))
 
-    def prints(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.value(self.start, self.stop), self.value(self.start, self.stop, 1)
+    def print(self, lane: int, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """A 64-bit value of whole lines."""
+        return self.value(self.start[which], self.stop[which], lane)
 
     def text(self, k: int) -> str:
-        return self.points[self.start[k] : self.stop[k]].tobytes().decode("utf-32-le")
+        return self.points[self.start[k] : self.stop[k]].tobytes().decode(f"utf-{8 * self.points.itemsize}-le")
+
+    def letters(self, k: int) -> np.ndarray:
+        """How often each of 32 kinds of characters stands in a line; an edit changes two counts at most."""
+        return np.bincount(self.points[self.start[k] : self.stop[k]] & 31, minlength=32).astype(np.int32)
 
 
 def segments(size: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -157,26 +190,34 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(h1, h2, label): the class of the lines, by their two values, that have near but unequal ones."""
+def placed_lines(docs: DataFrame, id_col: str, text_col: str, edits: int, least: int) -> DataFrame:
+    """(id, number, h1, h2, line, letters, keys): all lines by their two values, and number -1 for each document.
+
+    Text, letters and keys are there for lines that share a segment key with an unequal one.
+    """
     spark = docs.sparkSession
-    text = docs.select(F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for _, lines in _each(batch, 0):
                 key, at, probe = segment_keys(lines, edits, least)
-                yield pa.RecordBatch.from_arrays([_long(key), _long(lines.prints()[0][at]), pa.array(probe)], ["key", "h1", "probe"])
+                yield pa.RecordBatch.from_arrays([_long(key), _long(lines.print(0)[at]), pa.array(probe)], ["key", "h1", "probe"])
 
-    keys = text.mapInArrow(keyed, "key long, h1 long, probe int").groupBy("key")
+    keys = rows.select("text").mapInArrow(keyed, "key long, h1 long, probe int").groupBy("key")
     keys = keys.agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("probe").alias("probe")).where("lo < hi and probe = 0").select("key")
     keys = materialize(keys, "keys")
     few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     held = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in keys.collect()], np.int64))) if few else None
 
-    def shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "number", "h1", "h2", "line", "letters", "keys"]
+        nothing = lambda n: [pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64()))]
         for batch in it:
-            for _, lines in _each(batch, 0):
+            zero = pa.array(np.zeros(batch.num_rows, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(batch.num_rows, -1, np.int32)), zero, zero, *nothing(batch.num_rows)], names)
+            for i, lines in _each(batch, 1):
                 key, at, _ = segment_keys(lines, edits, least)
                 key = key.view(np.int64)
                 if held is not None:
@@ -186,16 +227,28 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 order = np.argsort(at, kind="stable")
                 key, at = key[order], at[order]
                 which, first = np.unique(at, return_index=True)
-                a, b = lines.prints()
+                rest = np.setdiff1d(np.arange(len(lines.row)), which)
                 listed = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(key))
-                yield pa.RecordBatch.from_arrays([_long(a[which]), _long(b[which]), pa.array([lines.text(k) for k in which], pa.string()), listed], ["h1", "h2", "line", "keys"])
-
-    nodes = text.mapInArrow(shared, "h1 long, h2 long, line string, keys array<long>")
-    nodes = nodes.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("keys").alias("keys"))
+                counts = pa.array([lines.letters(k) for k in which], pa.list_(pa.int32()))
+                extra = [pa.array([lines.text(k) for k in which], pa.string()), counts, listed]
+                for part, more in ((which, extra), (rest, nothing(len(rest)))):
+                    ids = batch.column(0).take(pa.array(lines.row[part] + i))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number[part].astype(np.int32)), _long(lines.print(0, part)), _long(lines.print(1, part)), *more], names)
+
+    schema = f"id {kind}, number int, h1 long, h2 long, line string, letters array<int>, keys array<long>"
+    out = materialize(rows.mapInArrow(placed, schema), "placed")
+    if held is not None:
+        return out
+    shared = out.select("h1", "h2", F.explode("keys").alias("key")).join(keys, "key").select("h1", "h2").distinct().withColumn("shared", F.lit(True))
+    out = out.join(shared, ["h1", "h2"], "left")
+    return out.select("id", "number", "h1", "h2", *(F.when(F.col("shared"), F.col(c)).alias(c) for c in ("line", "letters", "keys")))
+
+
+def line_classes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(h1, h2, label): the class of the lines, by their two values, that have near but unequal ones."""
+    nodes = lines.where("line is not null").groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("letters").alias("letters"), F.first("keys").alias("keys"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     active = nodes.select("node", F.explode("keys").alias("key")).distinct()
-    if held is None:
-        active = active.join(keys, "key").select("node", "key")
 
     def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -214,8 +267,12 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     edges, left = star_links(materialize(active, "active"), verified)
     if left is not None:
-        right = left.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
-        pairs = left.withColumnRenamed("node", "a").join(right, "key").where("a < b and label <> other").select("a", "b").distinct()
+        # Lines that share a segment only are told apart by their letters, within the join.
+        left = left.join(nodes.select("node", "letters"), "node")
+        right = left.select("key", F.col("node").alias("b"), F.col("label").alias("other"), F.col("letters").alias("counts"))
+        apart = F.aggregate(F.zip_with("letters", "counts", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x)
+        near_letters = (F.col("node") < F.col("b")) & (F.col("label") != F.col("other")) & (apart <= 2 * edits)
+        pairs = left.join(right, "key").where(near_letters).select(F.col("node").alias("a"), "b").distinct()
         edges = edges.union(verified(materialize(pairs, "pairs")))
     return materialize(nodes.select("node", "h1", "h2").join(components(edges), "node").select("h1", "h2", "label"), "line-classes")
 
@@ -228,19 +285,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines kept.  Null and empty texts have none.  Rows of a repeated id are one
     document; rows of a null id are one document, which comes last.
     """
-    classes = line_classes(docs, id_col, text_col, edits, least)
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def placed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            blank = [pa.array(np.full(batch.num_rows, -1, np.int32)), *(pa.array(np.zeros(batch.num_rows, np.int64)) for _ in "ab")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *blank], ["id", "number", "h1", "h2"])  # so that every document has a row
-            for i, lines in _each(batch, 1):
-                a, b = lines.prints()
-                ids = batch.column(0).take(pa.array(lines.row + i))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number.astype(np.int32)), _long(a), _long(b)], ["id", "number", "h1", "h2"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(placed, f"id {kind}, number int, h1 long, h2 long")
+    lines = placed_lines(docs, id_col, text_col, edits, least)
+    classes = line_classes(lines, edits)
+    rows = lines.select("id", "number", "h1", "h2")
     rows = rows.join(F.broadcast(classes) if classes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else classes, ["h1", "h2"], "left")
     per = rows.groupBy("id", F.coalesce("label", "h1").alias("k1"), F.when(F.col("label").isNull(), F.col("h2")).otherwise(-1).alias("k2"), F.col("label").isNotNull().alias("near"), (F.col("number") < 0).alias("mark"))
     per = materialize(per.agg(F.min("number").alias("number"), F.count("*").alias("n")), "lines")
