@@ -14,7 +14,8 @@ shrinking bracket, run over the counts of (source, size).
 Rates become copies by sequential Poisson rounding: each document has floor(w_i)
 copies, and those of the smallest u_i / (w_i - floor(w_i)), u_i a hash of the
 document, get one more as long as the source's target is not passed; what is left
-is filled the same way with documents that still fit.
+is filled the same way with documents that still fit, and at last with second copies
+of documents that have one, where the rates alone leave a target unmet.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SHARE, LIMIT = 1.5, 2
 TILT = 0.25
 NEWTON_STEPS, TOLERANCE = 40, 1e-9
 FILLS = 4
+#: A source that is farther from its target than this, as a share of it, gets second copies too.
+NEAR = 0.002
 BINS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -129,29 +132,40 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     rate = _rate(F.col("size"), limit)
     part = rate - F.floor(rate)
-    rows = slim.join(checked_broadcast(state), "sid").withColumn("f", part).where("f > 0 and size > 0").select("sid", "size", (F.col("u") / F.col("f")).alias("v"))
+    rows = slim.join(checked_broadcast(state), "sid").where("size > 0").select("sid", "size", "u", F.floor(rate).alias("whole"), F.when(part > 0, F.col("u") / part).alias("v"))
     rows = materialize(rows, "rounding")
-    whole = counts.join(state, "sid").groupBy("sid").agg(F.sum(F.col("n") * F.col("size") * F.floor(rate)).alias("sure"))
-    need = materialize(state.join(whole, "sid").select("sid", (F.col("target") - F.col("sure")).alias("need")), "need")
-    taken = F.lit(False)
-    for k in range(FILLS):
-        fits = rows
+    sure = counts.join(state, "sid").groupBy("sid").agg(F.sum(F.col("n") * F.col("size") * F.floor(rate)).alias("sure"))
+    need = materialize(state.join(sure, "sid").select("sid", "target", (F.col("target") - F.col("sure")).alias("need")), "need")
+    up, again = F.lit(False), F.lit(False)
+    for k in range(2 * FILLS):
+        if k == FILLS and not need.where(F.col("need") > NEAR * F.col("target")).limit(1).count():
+            break  # else a document too long to fit leaves room for second copies of others
+        fits = rows.join(checked_broadcast(state), "sid")
+        if k < FILLS:
+            fits = fits.where(F.col("v").isNotNull() & ~up)
+        else:
+            fits = fits.withColumn("v", F.when(F.col("whole") + F.when(F.col("v").isNotNull() & up, 1).otherwise(0) + F.when(again, 1).otherwise(0) < limit, F.col("u"))).where("v is not null")
         if k:
-            fits = rows.join(checked_broadcast(state), "sid").where(~taken & (F.col("size") <= F.col(f"room{k - 1}"))).select("sid", "size", "v")
-        ends = _thresholds(fits, need)
-        need = need.join(ends, "sid").select("sid", "last", "upto", (F.col("need") - F.col("used")).alias("need"))
+            fits = fits.where(F.col("size") <= F.col(f"room{k - 1}"))
+        ends = _thresholds(fits.select("sid", "size", "v"), need)
+        need = need.join(ends, "sid").select("sid", "target", "last", "upto", (F.col("need") - F.col("used")).alias("need"))
         need = materialize(need, "left")
-        state = materialize(state.join(need.toDF("sid", f"last{k}", f"upto{k}", f"room{k}"), "sid"), "state")
-        need = need.select("sid", "need")
-        within = (_bin(F.col("v")) < F.col(f"last{k}")) | (F.col("v") <= F.col(f"upto{k}"))
-        taken = taken | (within & (F.col("size") <= F.col(f"room{k - 1}")) if k else within)
+        state = materialize(state.join(need.drop("target").toDF("sid", f"last{k}", f"upto{k}", f"room{k}"), "sid"), "state")
+        need = need.select("sid", "target", "need")
+        order = F.col("v") if k < FILLS else F.col("u")
+        within = (_bin(order) < F.col(f"last{k}")) | (order <= F.col(f"upto{k}"))
+        within = within & (F.col("size") <= F.col(f"room{k - 1}")) if k else within
+        if k < FILLS:
+            up = up | within
+        else:
+            again = again | within
 
     state = state.withColumnRenamed("source", "of")
     out = docs.select(F.struct(*names).alias("row"), F.col(source_col).alias("source"), size.alias("size"), unit.alias("u"))
     out = out.join(checked_broadcast(state), out["source"].eqNullSafe(F.col("of"))).withColumn("rate", rate)
     out = out.withColumn("v", F.when((part > 0) & (F.col("size") > 0), F.col("u") / part))
-    copies = (F.floor("rate") + F.when(F.col("v").isNotNull() & taken, 1).otherwise(0)).cast("int")
-    out = out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    more = F.when(F.col("v").isNotNull() & up, 1).otherwise(0) + F.when((F.col("size") > 0) & again, 1).otherwise(0)
+    out = out.withColumn("copies", F.least(F.floor("rate") + more, F.lit(limit)).cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
     return out.select("row.*", *made)
 
 
