@@ -25,8 +25,9 @@ def multiplicity(event: Column, replicate: Column) -> Column:
 def event_bootstrap_auc(df: DataFrame, replicates: int, event: str = "event_number") -> DataFrame:
     """(replicate, method, auc): every event weighs as often as its replicate draws it."""
     runs = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    drawn = df.withColumn("replicate", runs)
-    drawn = drawn.withColumn("w", multiplicity(F.col(event).cast("long"), F.col("replicate"))).where("w > 0")
+    events = df.select(event).distinct().withColumn("replicate", runs)
+    events = events.withColumn("w", multiplicity(F.col(event).cast("long"), F.col("replicate"))).where("w > 0")
+    drawn = df.join(events, event)
     return roc_auc(drawn, ("replicate", "method"), "w").select("replicate", "method", "auc")
 
 

@@ -83,6 +83,27 @@ class Readout:
         return df.sparkSession.createDataFrame([(i + 1, j + 1, float(self.m[c, i, j])) for i in range(k) for j in range(k)], "i int, j int, m double")
 
 
+def loss_and_gradient(b: np.ndarray, a: np.ndarray, y: np.ndarray, w: np.ndarray, rho: float, l2: float) -> tuple[float, np.ndarray]:
+    """Weighted negative log-likelihood plus l2 of factors b, and its gradient, flat.
+
+    The derivative of S^-1/2 is a Hadamard product in the eigenbasis of S.
+    """
+    classes, _, k = b.shape
+    e = np.einsum("cri,crj->cij", b, b) + rho / classes * np.eye(k)
+    t, u, s = inverse_root(e.sum(axis=0))
+    m = t @ e @ t
+    p = np.maximum(np.einsum("ni,cij,nj->nc", a, m, a), 1e-12)
+    own = p[np.arange(len(y)), y]
+    loss = -(w * np.log(own)).sum() + l2 * (b * b).sum()
+    g = np.stack([-(a[y == c] * (w[y == c] / own[y == c])[:, None]).T @ a[y == c] for c in range(classes)])
+    q = sum(g[c] @ t @ e[c] + e[c] @ t @ g[c] for c in range(classes))
+    root = np.sqrt(s)
+    kernel = -1 / (root[:, None] * root[None, :] * (root[:, None] + root[None, :]))
+    r = u @ (kernel * (u.T @ q @ u)) @ u.T
+    grad = np.stack([2 * b[c] @ (t @ g[c] @ t + (r + r.T) / 2) for c in range(classes)]) + 2 * l2 * b
+    return float(loss), grad.ravel()
+
+
 def fit_readout(a: np.ndarray, y: np.ndarray, rank: int = 0, rho: float = 1e-3, l2: float = 1e-4, restarts: int = 2, weights: np.ndarray | None = None, seed: int = 0) -> Readout:
     """Weighted negative log-likelihood plus l2, best of the restarts."""
     if len(a) > MAX_ROWS:
@@ -93,23 +114,7 @@ def fit_readout(a: np.ndarray, y: np.ndarray, rank: int = 0, rho: float = 1e-3,
     w = w / w.sum()
 
     def value(x: np.ndarray) -> tuple[float, np.ndarray]:
-        b = x.reshape(classes, rank, k)
-        e = np.einsum("cri,crj->cij", b, b) + rho / classes * np.eye(k)
-        t, u, s = inverse_root(e.sum(axis=0))
-        m = t @ e @ t
-        p = np.maximum(np.einsum("ni,cij,nj->nc", a, m, a), 1e-12)
-        own = p[np.arange(len(y)), y]
-        loss = -(w * np.log(own)).sum() + l2 * (b * b).sum()
-        g = np.zeros_like(e)
-        for c in range(classes):
-            rows = y == c
-            g[c] = -(a[rows] * (w[rows] / own[rows])[:, None]).T @ a[rows]
-        q = sum(g[c] @ t @ e[c] + e[c] @ t @ g[c] for c in range(classes))
-        root = np.sqrt(s)
-        kernel = -1 / (root[:, None] * root[None, :] * (root[:, None] + root[None, :]))
-        r = u @ (kernel * (u.T @ q @ u)) @ u.T
-        grad = np.stack([2 * b[c] @ (t @ g[c] @ t + (r + r.T) / 2) for c in range(classes)]) + 2 * l2 * b
-        return loss, grad.ravel()
+        return loss_and_gradient(x.reshape(classes, rank, k), a, y, w, rho, l2)
 
     best = None
     for run in range(max(1, restarts)):
