@@ -1,4 +1,7 @@
-"""Thin queries opN_<name>: each applies its operator to the whole intended table."""
+"""Thin queries opN_<name>: each applies its operator to the whole intended table.
+
+``ORACLE`` has SQL for some; the others are tested against brute force.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +14,7 @@ from .decontaminate import contained_items
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .oracles import ORACLE
 from .quality import quality_scores
 from .secrets import BASE, joined, scan_secrets
 from .sharding import shard_documents
@@ -89,5 +93,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk": op10_topk,
 }
 
-#: SQL over the same tables; the other queries are tested against brute force.
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]

@@ -170,7 +170,7 @@ def test_search_prunes_exactly():
 def test_top_products(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 4]) for i in range(120)]
-    rows += [(None, rows[0][1]), (500, None), (550, []), (600, [1.0, None, 0, 0, 0, 0]), (650, [float("nan")] + [0.0] * 5), (700, [float("inf")] + [0.0] * 5), (50, rows[50][1]), (7, rows[7][1]), (800, [1.0, 2.0])]
+    rows += [(None, rows[0][1]), (500, None), (550, []), (600, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (650, [float("nan")] + [0.0] * 5), (700, [float("inf")] + [0.0] * 5), (50, rows[50][1]), (7, rows[7][1]), (800, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as score", "2 as query_id")
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in top_products(df).collect())
     good = [(i, np.floor(256 * np.array(v))) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
