@@ -99,6 +99,7 @@ def test_sources(spark, tmp_path):
         f.write("EventId,Label,DER_a,PRI_b,Weight\n1,s,2.5,x,1\n2,b,-999,,1\n")
     df = tables.read_header_csv(spark, path, "Label")
     assert df.columns == ["Label", "DER_a", "y"] and sorted(r["y"] for r in df.collect()) == [0, 1]
+    path = str(tmp_path / "w.csv")
     with open(path, "w") as f:
         f.write("id,f_1,f_0\n1,2,1\n2,2,1\n3,5,5\n")
     wide = tables.read_wide_csv(spark, path).collect()
