@@ -22,13 +22,26 @@ def multiplicity(event: Column, replicate: Column) -> Column:
     return out
 
 
-def event_bootstrap_auc(df: DataFrame, replicates: int, event: str = "event_number") -> DataFrame:
-    """(replicate, method, auc): every event weighs as often as its replicate draws it."""
+def drawn_rows(df: DataFrame, replicates: int, event: str) -> DataFrame:
+    """Rows with replicate and w > 0, the times that the replicate draws their event."""
     runs = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     events = df.select(event).distinct().withColumn("replicate", runs)
     events = events.withColumn("w", multiplicity(F.col(event).cast("long"), F.col("replicate"))).where("w > 0")
-    drawn = df.join(events, event)
-    return roc_auc(drawn, ("replicate", "method"), "w").select("replicate", "method", "auc")
+    return df.join(events, event)
+
+
+def event_bootstrap_auc(df: DataFrame, replicates: int, event: str = "event_number") -> DataFrame:
+    """(replicate, method, auc): every event weighs as often as its replicate draws it."""
+    return roc_auc(drawn_rows(df, replicates, event), ("replicate", "method"), "w").select("replicate", "method", "auc")
+
+
+def event_bootstrap_metrics(df: DataFrame, replicates: int, event: str = "event_number", eps: float = 1e-7) -> DataFrame:
+    """(replicate, method, log_loss, accuracy, balanced_accuracy) at one half, weighted by the draws."""
+    w, y, p = F.col("w"), F.col("y"), F.least(F.greatest("score", F.lit(eps)), F.lit(1 - eps))
+    hit = ((F.col("score") >= 0.5).cast("int") == y).cast("int")
+    rate = lambda c: F.sum(F.when(c, w * hit)) / F.sum(F.when(c, w))
+    out = drawn_rows(df, replicates, event).groupBy("replicate", "method")
+    return out.agg((F.sum(w * -(y * F.ln(p) + (1 - y) * F.ln(1 - p))) / F.sum(w)).alias("log_loss"), (F.sum(w * hit) / F.sum(w)).alias("accuracy"), ((rate(y == 1) + rate(y == 0)) / 2).alias("balanced_accuracy"))
 
 
 def bootstrap_summary(replicates: DataFrame, value: str = "auc") -> DataFrame:

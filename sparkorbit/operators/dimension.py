@@ -98,3 +98,20 @@ def ranked_subset(scores: DataFrame, size: int) -> DataFrame:
     """Whole blocks by falling score as long as they fit into ``size`` modes."""
     order = Window.orderBy(F.col("score").desc(), "first")
     return scores.withColumn("modes", F.sum("size").over(order)).where(F.col("modes") <= size)
+
+
+def checkpoints(shares: DataFrame, widths: list[int], mass: float = 0.9, k_min: int = 1) -> DataFrame:
+    """(width, selected, ceiling, stable): the prefix choice with the first ``width`` modes alone.
+
+    A choice that takes all modes touches the ceiling; it is stable if it equals that
+    of the width before and touches no ceiling.
+    """
+    out = None
+    for w in widths:
+        part = shares.where(F.col("k") <= w)
+        part = part.withColumn("q", F.col("q") / F.sum("q").over(Window.partitionBy()))
+        row = select_prefix(part, mass, k_min).select(F.lit(w).alias("width"), "selected")
+        out = row if out is None else out.unionByName(row)
+    out = out.withColumn("ceiling", F.col("selected") >= F.col("width"))
+    same = F.lag("selected").over(Window.orderBy("width")) == F.col("selected")
+    return out.withColumn("stable", F.coalesce(same, F.lit(False)) & ~F.col("ceiling"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import signed_log1p
+from ..functions.scalars import signed_log1p, splitmix64, unsigned_mod
 
 QUANTILES = (0.10, 0.25, 0.50, 0.75, 0.90)
 
@@ -113,6 +113,6 @@ def messages(adjacency: DataFrame, values: DataFrame, jet: str, slot: str, value
 
 
 def dropout(tracks: Column, jet: Column, keep: float, seed: int = 0) -> Column:
-    """Tracks kept by a hash of jet and slot; at least the first one stays."""
-    kept = F.filter(tracks, lambda t, i: (F.pmod(F.xxhash64(jet, i, F.lit(seed)), F.lit(10_000)) < int(keep * 10_000)))
+    """Tracks kept by a hash of jet and place; the first one stays if none is."""
+    kept = F.filter(tracks, lambda t, i: unsigned_mod(splitmix64(jet * 1000 + i, seed), 10_000) < int(round(keep * 10_000)))
     return F.when(F.size(kept) > 0, kept).otherwise(F.slice(tracks, 1, 1))

@@ -265,6 +265,19 @@ def sequential_messages(spark, sf):
     return rounded(tk.messages(adj, px.tracks(spark, sf), "jet", "slot", "s", 2), "s")
 
 
+@query
+def physical_coordinates(spark, sf):
+    t = F.col("tracks")
+    most = lambda f: F.array_max(F.transform(t, lambda x: F.abs(x[f])))
+    return _nested(spark, sf).select("jet", r6(most("s"), "max_s"), r6(most("z"), "max_z"), F.size(t).alias("n_tracks"))
+
+
+@query
+def track_dropout(spark, sf):
+    kept = tk.dropout(F.col("tracks"), F.col("jet"), 0.7, 5)
+    return _nested(spark, sf).select("jet", F.explode(kept).alias("t")).select("jet", "t.slot")
+
+
 # -- scalars and feature maps -------------------------------------------------
 
 
@@ -440,6 +453,11 @@ def prefix_select(spark, sf):
     return dimension.select_prefix(_shares(spark, sf), 0.9, 2)
 
 
+@query
+def checkpoint_stability(spark, sf):
+    return dimension.checkpoints(_shares(spark, sf), [3, 4, 5, 6], 0.9, 2)
+
+
 def _state(spark, sf):
     return spectrum.states(px.modes(spark, sf))
 
@@ -548,6 +566,13 @@ def efficiency_pivot(spark, sf):
     return out.select("method", *(r6(f"`{e}`", f"rejection_{int(e * 100)}") for e in _EFFICIENCIES))
 
 
+@query
+def rejection_ratio(spark, sf):
+    w = evaluate.working_points(px.scores(spark, sf), _EFFICIENCIES).select("method", "efficiency", "rejection")
+    a, b = (w.where(F.col("method") == m).select("efficiency", F.col("rejection").alias(m)) for m in "ab")
+    return a.join(b, "efficiency").select("efficiency", r6(sc.finite_ratio(F.col("b"), F.col("a")), "ratio"))
+
+
 @query
 def score_validity(spark, sf):
     s = px.scores(spark, sf).withColumn("score", F.when(F.col("source_row") % 23 == 0, F.lit(float("nan"))).when(F.col("source_row") % 29 == 0, F.lit(-0.1)).otherwise(F.col("score")))
@@ -628,6 +653,17 @@ def paired_auc_difference(spark, sf):
     return rounded(bootstrap.paired_difference(rows, "a"), "mean", "low", "high", "p")
 
 
+@query
+def event_bootstrap_metrics(spark, sf):
+    out = bootstrap.event_bootstrap_metrics(px.scores(spark, sf), 8)
+    return rounded(out, *out.columns[2:])
+
+
+@query
+def stratified_bootstrap_auc(spark, sf):
+    return rounded(bootstrap.event_bootstrap_auc(px.scores(spark, sf), 4, "source_row"), "auc")
+
+
 @query
 def bootstrap_summary(spark, sf):
     out = bootstrap.bootstrap_summary(bootstrap.event_bootstrap_auc(px.scores(spark, sf), 8))

@@ -176,3 +176,13 @@ _ARMS = "arms AS (SELECT c_nationkey AS arm, round(avg(c_acctbal), 2) AS score,
 sql("screen_topk", _ARMS, "SELECT * FROM arms ORDER BY score DESC, size, arm LIMIT 5")
 sql("one_percent_select", _ARMS, "SELECT * FROM arms WHERE score >= 0.99 * (SELECT max(score) FROM arms) ORDER BY size, arm LIMIT 1")
 sql("arm_dedup", _ARMS, "SELECT arm % 3 AS bank, size % 4 AS set_key, min(arm) AS arm FROM arms GROUP BY 1, 2")
+
+# -- more of the above --------------------------------------------------------
+sql("physical_coordinates", px.TRACKS, "SELECT jet, round(max(abs(s)), 6) AS max_s, round(max(abs(z)), 6) AS max_z, count(*) AS n_tracks FROM tracks GROUP BY 1")
+sql("track_dropout", px.TRACKS + ", " + px.splitmix("tracks", "jet * 1000 + slot - 1", 5, "hashed") + ", kept AS (SELECT jet, slot, h % 10000 < 7000 AS ok, bool_or(h % 10000 < 7000) OVER (PARTITION BY jet) AS any_ok FROM hashed)", "SELECT jet, slot FROM kept WHERE ok OR (NOT any_ok AND slot = 1)")
+sql("event_bootstrap_metrics", _BOOT, "SELECT replicate, method, round(sum(w * -(y * ln(least(greatest(score, 1e-7), 1 - 1e-7)) + (1 - y) * ln(1 - least(greatest(score, 1e-7), 1 - 1e-7)))) / sum(w), 6) AS log_loss, round(sum(w * ((score >= 0.5)::INT = y)::INT) / sum(w), 6) AS accuracy, round((sum(w) FILTER (y = 1 AND score >= 0.5) / sum(w) FILTER (y = 1) + sum(w) FILTER (y = 0 AND score < 0.5) / sum(w) FILTER (y = 0)) / 2, 6) AS balanced_accuracy FROM drawn GROUP BY 1, 2")
+sql("stratified_bootstrap_auc", _BOOT.replace("DISTINCT event_number, r AS", "DISTINCT source_row AS event_number, r AS").replace("range(0, 8)", "range(0, 4)").replace("USING (event_number)", "ON mult.event_number = s.source_row"), "SELECT replicate, method, round(auc, 6) AS auc FROM auc")
+sql("rejection_ratio", _WP + ", r AS (SELECT method, efficiency, CASE WHEN mistags > 0 THEN n_background / mistags END AS rejection FROM wp)", "SELECT a.efficiency, round(b.rejection / a.rejection, 6) AS ratio FROM r a JOIN r b ON a.efficiency = b.efficiency AND a.method = 'a' AND b.method = 'b'")
+_CHECK = ", ".join(f"w{w} AS (SELECT k, block, q / sum(q) OVER () AS q FROM shares WHERE k <= {w}), n{w} AS (SELECT greatest(2, ceil((SELECT 1 / sum(q * q) FROM w{w})), min(k) FILTER (run >= 0.9 - 1e-12)) AS raw FROM (SELECT k, sum(q) OVER (ORDER BY k) AS run FROM w{w}))" for w in (3, 4, 5, 6))
+_ALL = " UNION ALL ".join(f"SELECT {w} AS width, (SELECT max(k) FROM w{w} WHERE block = (SELECT block FROM w{w} WHERE k = raw))::INT AS selected FROM n{w}" for w in (3, 4, 5, 6))
+sql("checkpoint_stability", _SHARES + ", " + _CHECK + f", c AS ({_ALL})", "SELECT width, selected, selected >= width AS ceiling, coalesce(lag(selected) OVER (ORDER BY width) = selected, false) AND selected < width AS stable FROM c")

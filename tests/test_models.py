@@ -125,3 +125,52 @@ def test_streaming_equals_batch(spark, tmp_path):
     got = {str(r["start"]): (r["n"], r["rate"]) for r in spark.table("rates").collect()}
     want = {str(r["start"]): (r["n"], r["rate"]) for r in windowed_rates(score_stream(df, "s", m), "ts", "2 minutes", "1 minute", "p", 0.5).collect()}
     assert got == want and sum(n for n, _ in got.values()) == 30
+
+
+def test_track_encoder(spark):
+    from sparkorbit.operators.encoder import TrackEncoder
+
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 2, 500).astype(float)
+    tracks = [rng.normal(size=(rng.integers(0, 6), 3)) for _ in y]
+    for t, c in zip(tracks, y, strict=True):
+        if len(t) and c:
+            t[0, 0] += 4
+    ctx = rng.normal(size=(500, 2))
+    enc = TrackEncoder(epochs=3).fit(tracks, ctx, y, np.arange(500))
+    x, b = enc._flat(tracks[:20], 3)
+    grad = enc._gradient(x, b, ctx[:20], y[:20])
+
+    def loss():
+        p = np.clip(enc._forward(x, b, ctx[:20])["p"], 1e-12, 1 - 1e-12)
+        return -(y[:20] * np.log(p) + (1 - y[:20]) * np.log(1 - p)).mean()
+
+    for name, g in grad.items():
+        at = tuple(0 for _ in g.shape)
+        old = enc.w[name][at]
+        enc.w[name][at] = old + 1e-6
+        hi = loss()
+        enc.w[name][at] = old - 1e-6
+        lo = loss()
+        enc.w[name][at] = old
+        assert g[at] == pytest.approx((hi - lo) / 2e-6, abs=1e-6), name
+    enc = TrackEncoder(epochs=60, rate=1e-2).fit(tracks, ctx, y, np.arange(500))
+    some = np.array([len(t) > 0 for t in tracks])
+    assert ((enc.predict(tracks, ctx) > 0.5) == y)[some].mean() > 0.9
+    df = spark.createDataFrame([(i, t.tolist(), c.tolist()) for i, (t, c) in enumerate(zip(tracks[:9], ctx[:9], strict=True))], "id long, tracks array<array<double>>, ctx array<double>")
+    rows = enc.transform(df, "tracks", "ctx").orderBy("id").collect()
+    assert np.allclose([r["embedding"] for r in rows], enc.embed(tracks[:9], ctx[:9]))
+
+
+def test_baselines(spark):
+    from sparkorbit.operators.baselines import logistic_scores, risk_audit
+
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 2, 300)
+    x = rng.normal(size=(300, 4)) + 2 * y[:, None]
+    df = spark.createDataFrame([(i, v.tolist(), v[:1].tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y, strict=True))], "id long, x array<double>, s array<double>, y int")
+    for k in (0, 2):
+        got = logistic_scores(df, df, components=k).collect()
+        assert np.mean([(r["score"] > 0.5) == r["y"] for r in got]) > 0.9
+    row = risk_audit(df, df, "x", "s").first()
+    assert row["difference"] > 0 and row["upper"] > row["difference"]
