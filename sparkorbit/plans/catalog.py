@@ -102,7 +102,7 @@ def splitmix_split(spark, sf):
 
 @query
 def balanced_sample(spark, sf):
-    return roles.balanced_sample(px.two_flavours(spark, sf), 1000, "source_row", seed=3).select("source_row", "y")
+    return roles.balanced_sample(px.two_flavours(spark, sf), 600, "source_row", seed=3).select("source_row", "y")
 
 
 @query

@@ -27,7 +27,7 @@ sql("role_audit", px.BL, f"SELECT {_ROLE} AS role, count(*) AS n_rows, count(DIS
 sql("role_overlap", px.BL + f", r AS (SELECT DISTINCT event_number, CASE WHEN source_row % 50 = 0 THEN 'extra' ELSE {_ROLE} END AS role FROM bl)", 'SELECT a.role AS "left", b.role AS "right", count(*) AS shared FROM r a JOIN r b USING (event_number) WHERE a.role < b.role GROUP BY 1, 2')
 sql("partition_check", px.JETS + ", r AS (SELECT source_row FROM jets WHERE source_row % 97 <> 0 UNION ALL SELECT source_row FROM jets WHERE source_row % 31 = 0), p AS (SELECT source_row, count(*) AS n FROM r GROUP BY 1)", f"SELECT {count('n > 1')} AS repeated, (SELECT count(*) FROM jets) - count(*) AS missing FROM p")
 sql("splitmix_split", px.JETS + ", ev AS (SELECT DISTINCT event_number FROM jets), " + px.splitmix("ev", "event_number", 17, "h1") + ", " + px.splitmix("ev", "event_number", 5, "h2"), "SELECT h1.event_number, (h1.h % 2)::INT AS half, CASE WHEN h2.h % 10000 < 3000 THEN 1 ELSE 0 END AS inner FROM h1 JOIN h2 USING (event_number)".replace("AS inner", 'AS "inner"'))
-sql("balanced_sample", px.BL + ", " + px.splitmix("bl", "source_row", 3, "hashed"), "SELECT source_row, y FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h >> 1, source_row) AS r FROM hashed) WHERE r <= 500")
+sql("balanced_sample", px.BL + ", " + px.splitmix("bl", "source_row", 3, "hashed"), "SELECT source_row, y FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h >> 1, source_row) AS r FROM hashed) WHERE r <= 300")
 sql("stratified_take", px.BL + ", part AS (SELECT * FROM bl WHERE y = 0 OR source_row % 40 = 0), " + px.splitmix("part", "source_row", 9, "hashed") + ", n AS (SELECT sum(y) AS n1, sum(1 - y) AS n0 FROM part), want AS (SELECT least(n1, 2000 - least(n0, 1000)) AS k1, least(n0, 2000 - least(n1, 2000 - least(n0, 1000))) AS k0 FROM n)", "SELECT source_row, y FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h >> 1, source_row) AS r FROM hashed), want WHERE r <= CASE WHEN y = 1 THEN k1 ELSE k0 END")
 sql("group_holdout", px.BL + ", ev AS (SELECT DISTINCT event_number FROM bl), " + px.splitmix("ev", "event_number", 4, "hashed") + ", f AS (SELECT (h % 5)::INT AS fold, y FROM bl JOIN hashed USING (event_number)), t AS (SELECT count(*) AS n, avg(y) AS p FROM bl), e AS (SELECT fold, count(*) AS n, abs(count(*) / any_value(t.n) - 0.2::DOUBLE) AS size_error, abs(avg(y) - any_value(t.p)) AS balance_error FROM f, t GROUP BY 1)", "SELECT fold, n, round(size_error, 6) AS size_error, round(balance_error, 6) AS balance_error, row_number() OVER (ORDER BY round(size_error + balance_error, 12), fold) = 1 AS best FROM e")
 sql("tail_split", px.BL, "SELECT CASE WHEN source_row >= 12000 THEN 'test' ELSE 'development' END AS role, count(*) AS n, sum(y)::BIGINT AS n_pos FROM bl GROUP BY 1")
