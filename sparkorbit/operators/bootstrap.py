@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import splitmix64, unsigned_mod
+from ..functions.scalars import bound, splitmix64, unsigned_mod
 from .evaluate import roc_auc
 
 
@@ -14,12 +14,10 @@ def multiplicity(event: Column, replicate: Column) -> Column:
 
     The sum of events drawn varies around their number; each event is drawn whole.
     """
-    u = unsigned_mod(splitmix64(event * 1_000_003 + replicate), 1_000_000)
     # 10^6 times the Poisson(1) distribution function.
-    out = F.lit(0)
-    for k, edge in enumerate((367879, 735759, 919699, 981012, 996340, 999406, 999917, 999990)):
-        out = F.when(u >= edge, k + 1).otherwise(out)
-    return out
+    edges = F.array(*map(F.lit, (367879, 735759, 919699, 981012, 996340, 999406, 999917, 999990)))
+    u = unsigned_mod(splitmix64(event * 1_000_003 + replicate), 1_000_000)
+    return bound(u, lambda v: F.size(F.filter(edges, lambda e: e <= v)))
 
 
 def drawn_rows(df: DataFrame, replicates: int, event: str) -> DataFrame:

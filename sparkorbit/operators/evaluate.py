@@ -115,20 +115,18 @@ def in_slices(df: DataFrame, pt: Column, eta: Column) -> DataFrame:
     return df.withColumn("_s", F.explode(both)).where("_s.slice is not null").select(*df.columns, "_s.axis", "_s.slice")
 
 
-def average_ranks(df: DataFrame, column: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Ranks from 1, ties by their mean."""
+def rank_table(df: DataFrame, column: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, column, name): ranks from 1 of the distinct values, ties by their mean."""
     counts = df.groupBy(*by, column).agg(F.count("*").alias("_n"))
     run = running_sums(counts, column, {"_below": "_n"}, by, inclusive=False)
-    ranks = run.select(*by, column, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranks, [*by, column])
+    return run.select(*by, column, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
 
 
 def spearman(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
     """(left, right, rho): rank correlation of every pair of columns."""
-    df = df.withColumn("_row", F.monotonically_increasing_id())
     ranked = df
     for c in dict.fromkeys([*left, *right]):
-        ranked = average_ranks(ranked, c, f"_r_{c}")
+        ranked = ranked.join(rank_table(df, c, f"_r_{c}"), c)  # of the plain rows, so that joins don't nest
     cells = [F.corr(f"_r_{a}", f"_r_{b}").alias(f"{a}|{b}") for a in left for b in right]
     row = ranked.agg(*cells)
     pairs = F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"`{a}|{b}`").alias("rho")) for a in left for b in right))
