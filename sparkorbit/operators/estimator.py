@@ -41,7 +41,7 @@ class OrbitalClassifier:
         return a.persist(), b.persist()
 
     def _states(self, queries: DataFrame, fit: dict) -> DataFrame:
-        w = graph.query_affinities(queries, fit["landmarks"], self.k, self.k_sigma, "id", "x")
+        w = graph.query_affinities(queries, fit["landmarks"], self.k, self.k_sigma, "id", "x").persist()
         post = graph.kernel_posterior(w.select("src", "dst", "w"), fit["landmarks"].select("id", "y"))
         pot = graph.information_potential(post)
         return spectrum.extend_modes(w, fit["long"], pot, fit["eigen"], 1.0, fit["beta"])
