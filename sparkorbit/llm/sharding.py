@@ -1,11 +1,17 @@
 """Sharding by balanced label propagation, with the numbers of rows held at most one apart.
 
 Documents start in shards dealt by a hash order.  In each round every group of
-linked documents names the shard that holds most of it (of those that can still
-take rows) and its other members ask to move there.  Requests from shard i to j
-are granted up to a quota: what j sends back to i, by requests of its own or by
-documents without links.  So every pair of shards swaps equal numbers of rows and
-the numbers of rows never change, however large a group is.
+linked documents names the shard that holds most of it (of those that hold
+documents without links) and its members in shards that hold no more ask to move
+there.  Requests from shard i to j are granted up to a quota: what j sends back to
+i, by requests of its own or by documents without links, all of which are divided
+among the shards that ask.  So every pair of shards swaps equal numbers of rows and
+the numbers of rows never change, however large a group is.  If nothing is granted,
+the groups name any shard for a round, where only their own requests make room.
+
+Rounds end when nothing is granted either way.  They do end: a group gathers in one
+shard a round, from shards that hold no more of it, so the sum of the squares of
+what each shard holds of each group grows with every request granted.
 
 Built from DataFrame functions alone.
 """
@@ -17,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .shared import checked_broadcast, materialize, text_of
 
-SHARDS, ROUNDS = 16, 6
+SHARDS = 16
 #: Rows that one window task orders, about.
 RUN = 20_000
 
@@ -39,15 +45,15 @@ def gapless_rank(df: DataFrame, keys: list[str], rows: int, name: str = "rank")
 
 
 def _targets(linked: DataFrame, free: DataFrame) -> DataFrame:
-    """(g, target, most): the shard that holds most of each group among those with free rows; ties by hash."""
+    """(g, shard, target): target holds most of the group among the shards of ``free`` (ties by hash), shard no more."""
     held = linked.groupBy("g", "shard").agg(F.count("*").alias("held"))
-    able = held.join(F.broadcast(free.where("free > 0")), "shard")
+    able = held.join(F.broadcast(free), "shard")
     best = F.max_by(F.struct("shard", "held"), F.struct("held", F.xxhash64("g", "shard")))
     best = able.groupBy("g").agg(best.alias("best")).select("g", F.col("best.shard").alias("target"), F.col("best.held").alias("most"))
-    return held.join(best, "g").where(F.col("shard") != F.col("target")).where(F.struct("most", F.xxhash64("g", "target")) > F.struct("held", F.xxhash64("g", "shard"))).select("g", "shard", "target")
+    return held.join(best, "g").where((F.col("shard") != F.col("target")) & (F.col("most") >= F.col("held"))).select("g", "shard", "target")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, shard, slot, g): every row of ``docs`` in one of the shards.
 
     Rows of equal texts (null counts as empty) are linked; ``g`` names their group.
@@ -67,16 +73,21 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     columns = state.columns
 
     every = state.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
-    for _ in range(rounds):
+    every_shard = False  # else only those with free rows are named
+    while True:
         free = every.join(state.where("not linked").groupBy("shard").agg(F.count("*").alias("free")), "shard", "left").na.fill(0)
         free = materialize(free, "free")
-        asks = materialize(_targets(state.where("linked"), free), "asks")
+        asks = materialize(_targets(state.where("linked"), free if every_shard else free.where("free > 0")), "asks")
         linked = state.where("linked").join(checked_broadcast(asks), ["g", "shard"], "left")
         linked = materialize(linked, "linked")
         asked = linked.where("target is not null")
-        if not asked.limit(1).count():
-            break
-        quota = _quotas(asked, free, shards)
+        quota = _quotas(asked, free)
+        if not quota.where("granted > 0").limit(1).count():
+            if every_shard:
+                break
+            every_shard = True
+            continue
+        every_shard = False
         moved = gapless_rank(asked, ["shard", "target"], rows).join(F.broadcast(quota.select("shard", "target", "granted")), ["shard", "target"])
         moved = moved.withColumn("shard", F.when(F.col("rank") < F.col("granted"), F.col("target")).otherwise(F.col("shard")))
         back = quota.where("ballast > 0")
@@ -92,14 +103,13 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     return out.select(F.col("sid").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", F.col("slot").cast("long").alias("slot"), "g")
 
 
-def _quotas(asked: DataFrame, free: DataFrame, shards: int) -> DataFrame:
+def _quotas(asked: DataFrame, free: DataFrame) -> DataFrame:
     """(shard, target, granted, ballast) of at most shards^2 rows: requests granted, free rows sent back."""
     ask = materialize(asked.groupBy("shard", "target").agg(F.count("*").alias("ask")), "ask")
-    pairs = ask.select("shard", "target").union(ask.select(F.col("target").alias("shard"), F.col("shard").alias("target"))).distinct()
     back = ask.select(F.col("target").alias("shard"), F.col("shard").alias("target"), F.col("ask").alias("back"))
-    spare: Column = F.floor(F.col("free") / max(1, shards - 1))
-    pairs = pairs.join(ask, ["shard", "target"], "left").join(back, ["shard", "target"], "left").na.fill(0)
-    pairs = pairs.join(free.select(F.col("shard").alias("target"), spare.alias("there")), "target").join(free.select("shard", spare.alias("here")), "shard")
-    granted = F.least(F.col("ask"), F.col("back") + F.col("there"))
-    returned = F.least(F.col("back"), F.col("ask") + F.col("here"))
-    return materialize(pairs.select("shard", "target", granted.alias("granted"), F.greatest(F.lit(0), granted - returned).alias("ballast")), "quota")
+    pairs = ask.join(back, ["shard", "target"], "left").na.fill(0).join(free.select(F.col("shard").alias("target"), "free"), "target")
+    over: Column = F.greatest(F.lit(0), F.col("ask") - F.col("back"))
+    before = Window.partitionBy("target").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = pairs.withColumn("over", over).withColumn("first", F.coalesce(F.sum("over").over(before), F.lit(0)))
+    ballast = F.greatest(F.lit(0), F.least(F.col("over"), F.col("free") - F.col("first")))
+    return materialize(pairs.select("shard", "target", (F.least("ask", "back") + ballast).alias("granted"), ballast.alias("ballast")), "quota")

@@ -88,5 +88,25 @@ def test_links_stay_together_and_a_hot_group_spreads(spark):
     assert {(r["doc_id"], r["shard"], r["slot"]) for r in again} == {(r["doc_id"], r["shard"], r["slot"]) for r in got}
 
 
+def test_a_third_of_all_rows_ends_in_the_fewest_shards(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"alone {i}") for i in range(4801)]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text, sizes, hot = dict(rows), {}, {}
+    for r in got:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + 1
+        if text[r["doc_id"]] == "hot":
+            hot[r["shard"]] = hot.get(r["shard"], 0) + 1
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 16
+    assert sum(hot.values()) == 1601 and len(hot) == 6
+
+
+def test_pairs_meet_without_unlinked_rows(spark):
+    df = spark.createDataFrame([(i, f"pair {i // 2}") for i in range(1600)], "doc_id long, text string")
+    shards = {}
+    for r in shard_documents(df, 4).collect():
+        shards.setdefault(r["doc_id"] // 2, []).append(r["shard"])
+    assert sum(a != b for a, b in shards.values()) <= 0.2 * len(shards)
+
+
 def test_digest_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
