@@ -174,3 +174,19 @@ def test_baselines(spark):
         assert np.mean([(r["score"] > 0.5) == r["y"] for r in got]) > 0.9
     row = risk_audit(df, df, "x", "s").first()
     assert row["difference"] > 0 and row["upper"] > row["difference"]
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e7])
+def test_neighbours_are_exact_among_copies_and_far_from_the_origin(spark, shift):
+    rng = np.random.default_rng(5)
+    family = np.tile(rng.normal(0, 1, 6), (60, 1))
+    x = np.concatenate([family, rng.normal(0, 1, (40, 6)) * (1.0 if shift == 0 else 1e-2)]) + shift
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in graph.knn(df, df, 8, exclude_self=True).collect():
+        got.setdefault(r["src"], []).append((r["rank"], r["dst"]))
+    for i, v in zip(ids, x, strict=True):
+        d2 = ((v - x) ** 2).sum(axis=1)
+        want = [int(ids[j]) for j in np.lexsort((ids, d2)) if ids[j] != i][:8]
+        assert [d for _, d in sorted(got[int(i)])] == want
