@@ -13,16 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from . import textkernel as K
+from .shared import materialize
 
 PASSAGE = 64
 HASHED = 32
-#: Bounds of the fit, parameters of ``fit_quality``: labelled documents, passages of each.
-MAX_LABELS, MAX_PASSAGES = 4000, 64
+#: Bounds of the fit, parameters of ``fit_quality``: labelled documents, passages of all of them.
+MAX_LABELS, MAX_PASSAGES = 4000, 256_000
 THRESHOLD = 0.3
 
 _PUNCT = [c for c in range(33, 127) if not chr(c).isalnum()]
@@ -131,9 +132,9 @@ def held_out(id_col: str) -> Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_labels: int = MAX_LABELS, max_passages: int = MAX_PASSAGES) -> Attention:
     """Fit on at most ``max_labels`` labelled documents that are not held out.
 
-    They are chosen by a hash of their id; of a longer document ``max_passages``
-    evenly spaced passages are learnt from.  Null labels are no labels; several
-    labels of a document are averaged.
+    They are chosen by a hash of their id and learnt from whole: documents are taken
+    in that order until they have ``max_passages`` passages.  Null labels are no
+    labels; several labels of a document are averaged.
     """
     known = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("double").alias("y")).where("y is not null and label_id is not null")
     known = known.where(~held_out("label_id")).groupBy("label_id").agg(F.avg("y").alias("y"))
@@ -143,16 +144,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     def described(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             data, offs = K.utf8(batch.column(2))
-            x = []
+            x, n = [], []
             for i, j in K.chunks(offs):
                 f, b = passage_features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 for k in range(j - i):
-                    pick = np.unique(np.linspace(b[k], b[k + 1] - 1, min(max_passages, b[k + 1] - b[k])).astype(np.int64))
-                    x.append(f[pick].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["label_id", "y", "x"])
+                    x.append(f[b[k] : b[k + 1]].tobytes())
+                    n.append(int(b[k + 1] - b[k]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(x, pa.binary())], ["label_id", "y", "n", "x"])
 
     kind = rows.schema["label_id"].dataType.simpleString()
-    got = rows.select("label_id", "y", "passages").mapInArrow(described, f"label_id {kind}, y double, x binary").collect()
+    bags = materialize(rows.select("label_id", "y", "passages").mapInArrow(described, f"label_id {kind}, y double, n long, x binary"), "bags")
+    before = Window.orderBy("o", "label_id").rowsBetween(Window.unboundedPreceding, -1)
+    ids = bags.groupBy("label_id").agg(F.sum("n").alias("n")).withColumn("o", F.xxhash64("label_id"))  # max_labels rows at most
+    ids = ids.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("first") < max_passages).select("label_id")
+    got = bags.join(F.broadcast(ids), "label_id").select("label_id", "y", "x").collect()
     got = sorted(got, key=lambda r: (r["label_id"], bytes(r["x"])))
     bags = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in got]
     y = np.array([r["y"] for r in got])

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkorbit.llm import quality
 from sparkorbit.llm.mixing import apply_mix, mix_sources
 from sparkorbit.llm.quality import Attention, FEATURES, quality_scores
 
@@ -92,3 +93,20 @@ def test_mix_odd_rows(spark, odd_docs, no_docs):
     plain = odd_docs.drop("size", "rate")
     assert apply_mix(got, plain.columns).count() == sum(r["copies"] for r in rows)
     assert got.select(F.sum("taken")).first()[0] > 0
+
+
+def test_fit_reads_every_passage_of_a_long_document(spark, monkeypatch):
+    seen = {}
+
+    def fit(self, x, bounds, y, **how):
+        seen.update(x=x, bounds=bounds)
+        return self
+
+    monkeypatch.setattr(quality.Attention, "fit", fit)
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5][:8]
+    docs = spark.createDataFrame([(i, " ".join(f"w{j % 89}" for j in range(64 * 100))) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    quality.fit_quality(docs, labels)
+    assert np.diff(seen["bounds"]).tolist() == [100] * 8 and len(seen["x"]) == 800
+    quality.fit_quality(docs, labels, max_passages=300)
+    assert np.diff(seen["bounds"]).tolist() == [100] * 3
