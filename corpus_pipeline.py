@@ -15,7 +15,7 @@ from sparkorbit.llm.decontaminate import decontaminate
 from sparkorbit.llm.mixing import apply_mix, mix_sources
 from sparkorbit.llm.near_dup import drop_duplicates
 from sparkorbit.llm.quality import quality_scores
-from sparkorbit.llm.shared import importable, materialize, scratch
+from sparkorbit.llm.shared import importable, kept, materialize
 from sparkorbit.llm.tokens import write_training_order
 
 
@@ -45,7 +45,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences in shard files; the manifest is returned."""
     importable(spark)
-    return write_training_order(docs, scratch(spark, "training"))
+    return write_training_order(docs, kept(spark, "training"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

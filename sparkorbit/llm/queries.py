@@ -18,7 +18,7 @@ from .oracles import ORACLE
 from .quality import quality_scores
 from .secrets import BASE, joined, scan_secrets
 from .sharding import shard_documents
-from .shared import importable, scratch
+from .shared import importable, kept
 from .tokens import count_tokens, write_training_order
 from .topk import top_products
 
@@ -73,7 +73,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return write_training_order(docs, scratch(spark, "training"))
+    return write_training_order(docs, kept(spark, "training"))
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

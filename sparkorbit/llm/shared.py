@@ -49,6 +49,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def kept(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder that stays when the driver ends."""
+    return f"{shared_dir(spark)}/sparkorbit-kept/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write the rows as a table in the shared folder and read it again."""
     path = scratch(df.sparkSession, name)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .shared import materialize
+from .shared import checked_broadcast, materialize
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern of that vocabulary.
@@ -120,6 +120,8 @@ def count_tokens(docs: DataFrame, fields: tuple[str, ...] = ("source", "lang", "
 LENGTH = 512
 SHARD_BYTES = 64 << 20
 LEAST_SHARDS = 64
+#: Equal rows that are encoded at once.
+COPIES = 16
 _ROUNDS = 6
 
 
@@ -154,9 +156,11 @@ def write_training_order(docs: DataFrame, out_dir: str, key: int = 1, length: in
 
     A text, encoded whole and closed by ``end``, is cut into sequences of ``length``
     tokens, the last one padded with ``end``; null and empty texts have none.
-    Sequence k of a document has the index (id - smallest id) * (most sequences a text
-    can have) + k (null ids come last); the keyed permutation of that index range puts
-    the sequences in order, and the slot is the place in it, from 0 without gaps.
+    Sequence k of a document has the index number * (most sequences a text can have) + k;
+    the keyed permutation of that index range puts the sequences in order, and the slot
+    is the place in it, from 0 without gaps.  The number is id - smallest id if ids are
+    single and none is null; else a hash of the id, the text and the copy's number among
+    equal rows, so copies and null ids get places of their own.
     Ranges of the permuted index are the shards: files of consecutive slots with
     records of 2 * ``length`` bytes (little-endian), so slot s stands at byte
     (s - first slot) * 2 * length of its shard.  Equal ids are ordered by content.
@@ -169,35 +173,59 @@ def write_training_order(docs: DataFrame, out_dir: str, key: int = 1, length: in
     number = F.col(id_col).cast("long") if whole else F.shiftrightunsigned(F.xxhash64(id_col), 24)
     picked = docs.select(F.col(id_col).alias("key"), F.when(F.col(id_col).isNotNull(), number).alias("number"), F.col(text_col).alias("text")).where("text <> ''")
     size = F.octet_length("text")
-    stats = picked.agg(F.min("number").alias("low"), F.max("number").alias("high"), F.max(size).alias("most"), F.sum(size).alias("all")).first()
+    slim = materialize(picked.select("number", F.xxhash64("text").alias("x"), size.alias("size")), "slim")
+    stats = slim.agg(F.min("number").alias("low"), F.max("number").alias("high"), F.max("size").alias("most"), F.sum("size").alias("all")).first()
     low, high = stats["low"] or 0, stats["high"] or 0
-    each = ((stats["most"] or 0) + 1 + length - 1) // length  # a token has a byte or more
-    if (high - low + 2) * max(1, each) >= 1 << 62:
-        low, high = 0, (1 << 40) - 1
-        picked = picked.withColumn("number", F.shiftrightunsigned(F.xxhash64("number"), 24))
-    size_all = (high - low + 2) * max(1, each)
+    each = max(1, ((stats["most"] or 0) + 1 + length - 1) // length)  # a token has a byte or more
+    equal = materialize(slim.groupBy("number", "x").agg(F.count("*").alias("n")), "equal")
+    copied = materialize(equal.where("n > 1").select("number", "x"), "copied")
+    single = not equal.groupBy("number").agg(F.sum("n").alias("n")).where("n > 1 or number is null").limit(1).count()
+    bits = 61 - each.bit_length()
+    if not single or (high - low + 1) * each >= 1 << 62:
+        single, low, high = False, 0, (1 << bits) - 1
+    size_all = (high - low + 1) * each
+    # Up to COPIES equal rows are encoded once.
+    picked = picked.withColumn("copy", F.lit(0).cast("long")).withColumn("times", F.lit(1).cast("long"))
+    if copied.limit(1).count():
+        mine = checked_broadcast(copied.select(F.col("number").alias("its_number"), F.col("x").alias("its_x")))
+        same = F.col("number").eqNullSafe(F.col("its_number")) & (F.xxhash64("text") == F.col("its_x"))
+        some = picked.join(mine, same, "left_semi").groupBy("key", "number", "text").agg(F.count("*").alias("n"))
+        some = some.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))))
+        some = some.withColumn("times", F.least(F.lit(COPIES).cast("long"), F.col("n") - F.col("copy")))
+        if equal.where(F.col("n") > COPIES).limit(1).count():
+            some = some.repartition("number", "copy")
+        picked = picked.join(mine, same, "left_anti").union(some.select(picked.columns))
+    if not single:
+        picked = picked.withColumn("number", F.xxhash64("number", "text"))
     shards = max(LEAST_SHARDS, -(-(stats["all"] or 0) // shard_bytes))
     stride = 2 * length
 
     def encoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, _ = encoder(vocabulary)
         for batch in it:
-            numbers = batch.column(1).fill_null(high + 1).to_numpy().astype(np.int64)
+            numbers = batch.column(1).to_numpy()
+            firsts, copies = batch.column(3).to_numpy(), batch.column(4).to_numpy()
             data, offs = K.utf8(batch.column(2))
             for i, j in K.chunks(offs):
-                row, seq, n, crc, packed = [], [], [], [], []
+                row, seq, n, crc, packed, copy = [], [], [], [], [], []
                 for r in range(i, j):
                     ids = enc.encode_to_numpy(bytes(data[offs[r] : offs[r + 1]]).decode(), disallowed_special=())
                     full = np.full(-(-(len(ids) + 1) // length) * length, end, "<u2")
                     full[: len(ids)] = ids
                     for k in range(0, len(full), length):
                         record = full[k : k + length].tobytes()
-                        row.append(r)
-                        seq.append(k // length)
-                        n.append(min(length, len(ids) + 1 - k))
-                        crc.append(zlib.crc32(record))
-                        packed.append(zlib.compress(record[: 2 * n[-1]], 1))
-                index = (numbers[row] - low).astype(np.uint64) * np.uint64(each) + np.array(seq, np.uint64)
+                        size, times = min(length, len(ids) + 1 - k), int(copies[r])
+                        row += [r] * times
+                        seq += [k // length] * times
+                        n += [size] * times
+                        crc += [zlib.crc32(record)] * times
+                        packed += [zlib.compress(record[: 2 * size], 1)] * times
+                        copy += range(int(firsts[r]), int(firsts[r]) + times)
+                if single:
+                    number = (numbers[row] - low).astype(np.uint64)
+                else:
+                    number = K.mix(numbers[row].view(np.uint64) ^ K.mix(np.array(copy, np.uint64))) >> np.uint64(64 - bits)
+                index = number * np.uint64(each) + np.array(seq, np.uint64)
                 place = feistel(index, size_all, key)
                 width = -(-size_all // shards)
                 cols = [pa.array((place // np.uint64(width)).astype(np.int32)), pa.array(place.astype(np.int64)), batch.column(0).take(pa.array(row)), pa.array(seq, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(packed, pa.binary())]

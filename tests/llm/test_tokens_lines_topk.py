@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from sparkorbit.llm import queries, shared
 from sparkorbit.llm import tokens as T
 from sparkorbit.llm.line_dedup import Lines, dedup_lines, segment_keys, within
 from sparkorbit.llm.shared import scratch
@@ -68,6 +69,26 @@ def test_training_order_round_trip(spark, odd_docs, no_docs):
     assert T.write_training_order(no_docs, scratch(spark, "order")).count() == 0
 
 
+def test_copies_and_null_ids_have_places_of_their_own(spark):
+    rows = [(i, f"copied text {i} " * 60) for i in range(20)] * 2 + [(None, f"text without id {i}") for i in range(40)] + [(99, "often")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(T.write_training_order(df, scratch(spark, "order"), length=64).collect(), key=lambda r: r["slot"])
+    again = T.write_training_order(df.repartition(7), scratch(spark, "order"), length=64).collect()
+    key = lambda r: (r["slot"], str(r["doc_id"]), r["seq"], r["tokens_crc32"])
+    assert sorted(map(key, again)) == list(map(key, got))
+    ids = [r["doc_id"] for r in got]
+    assert ids.count(None) == 40 and ids.count(99) == 40 and all(ids.count(i) % 2 == 0 and i in ids for i in range(20))
+    assert sum(key(a)[1:] == key(b)[1:] for a, b in zip(got, got[1:])) <= 20
+    assert len({r["shard"] for r in got if r["doc_id"] is None}) > 3 and len({r["shard"] for r in got if r["doc_id"] == 99}) > 3
+
+
+def test_shard_files_of_the_query_are_kept(spark, sf, monkeypatch):
+    out = []
+    monkeypatch.setattr(queries, "write_training_order", lambda docs, path, *a: out.append(path) or docs)
+    queries.op9_training_order(spark, sf)
+    assert out and out[0] not in {path for _, path in shared._written}
+
+
 # -- lines --------------------------------------------------------------------
 
 
