@@ -28,6 +28,8 @@ TOP = 5
 #: Vectors of a shard, queries of a block, shards of a group that one task holds.
 SHARD, BLOCK, GROUP = 4096, 1024, 8
 SCALE = 256
+#: Components are smaller in size, so that a long holds them times SCALE.
+LIMIT = 2.0**54
 #: Scores below this are exact in double arithmetic.
 _EXACT = float(1 << 52)
 
@@ -109,11 +111,14 @@ def top_products(vectors: DataFrame, every: int = 50, top: int = TOP, id_col: st
     but the query's own, of the same dimension.  Rows with a null id, and vectors
     that are null, empty or hold null or non-finite components, take no part.  A
     repeated id is queried once for each row, and its other rows are candidates.
+    A component of 2^54 or more in size, whose 256-fold a long does not hold, is
+    refused: the query fails.
     """
     x = F.col("v").cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and size(v) > 0")
-    rows = rows.where(~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")) | (F.abs(c) >= 2.0**54)))
-    rows = rows.select("id", F.monotonically_increasing_id().alias("rid"), F.transform(x, lambda c: F.floor(c * SCALE)).alias("v"))
+    rows = rows.where(~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))))
+    refused = F.raise_error(F.lit("a component of a vector is 2^54 or more in size")).cast("long")
+    rows = rows.select("id", F.monotonically_increasing_id().alias("rid"), F.transform(x, lambda c: F.when(F.abs(c) < LIMIT, F.floor(c * SCALE)).otherwise(refused)).alias("v"))
     rows = materialize(rows, "vectors")
     blob = "dim int, blob long, ids binary, rids binary, vectors binary"
     asked = rows.where(F.col("id") % every == 0)

@@ -202,3 +202,12 @@ def test_top_products(spark):
             want += [(i, k + 1, j, -x) for k, (x, j) in enumerate(s)]
     assert got == sorted(want)
     assert top_products(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("c", [2.0**54, -(2.0**60)])
+def test_components_too_large_to_score_are_refused(spark, c):
+    schema = "vec_id long, embedding array<double>"
+    with pytest.raises(Exception, match="2\\^54 or more"):
+        top_products(spark.createDataFrame([(0, [1.0, 2.0]), (1, [c, 0.0])], schema)).collect()
+    got = top_products(spark.createDataFrame([(0, [0.25, 0.0]), (1, [2.0**47, 0.0])], schema)).collect()
+    assert [r["score"] for r in got] == [64 << 55]
