@@ -1,12 +1,12 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search.
-
-Items are partitioned by their number n of distinct five-word shingles (powers
-of two).  The signature of an item is its bottom-k MinHash sketch with
-k = n - ceil(t * n) + 1: a document that holds a share t of the item's shingles
-holds one of any k of them, so no length of document loses an item.  Documents
-keep only shingle values up to the largest sketch value, look them up among the
-sketches of the partitions whose items can fit in them, and candidates are
-confirmed by exact containment over the full sets.
+"""Benchmark decontamination: MinHash containment search.
+
+The signature of an item of n distinct five-word shingles is its bottom-k MinHash
+sketch with k = n - ceil(t * n) + 1: a document that holds a share t of the item's
+shingles holds one of any k of them, so no length of document loses an item.
+Documents keep only shingle values up to the largest sketch value of all items,
+look them up in one table of the sketches of items that can fit in them, and
+candidates are confirmed by exact containment over the full sets.  ``part``, the
+power of two of n, is not used: items are not looked up by size partitions.
 
 Built from DataFrame functions alone.
 """
