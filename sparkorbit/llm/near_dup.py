@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .shared import checked_broadcast, materialize
+from .shared import checked_broadcast, discard, fresh, heavy_keys, join_by_key, materialize
 
 BANDS, ROWS = 32, 4
 COORDS = BANDS * ROWS
@@ -101,15 +101,18 @@ def components(edges: DataFrame) -> DataFrame:
     each pass is written to the shared folder.
     """
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
+    hubs = heavy_keys(both.groupBy("b").agg(F.count("*").alias("n")), ["b"])
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        was = labels
+        near = join_by_key(both, labels.select(F.col("node").alias("b"), "label"), ["b"], hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         new = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = materialize(new.join(up, "label", "left").select("node", "old", F.least("label", "up").alias("label")), "labels")
+        discard(was)
         if not new.where("label < old").limit(1).count():
             return new.select("node", "label")
-        labels = new.select("node", "label")
+        labels = new
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -150,14 +153,16 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs``, columns unchanged, less all but one of each group of near-duplicates.
 
     The row with the smallest id stays, one of them if the id is repeated.  Rows
-    without words are in no group: all stay.
+    without words are in no group: all stay.  Columns may have any names.
     """
     found = near_duplicates(docs, id_col, text_col)
+    nd_id, nd_tx, nd_kept = fresh(docs, "nd_id", "nd_tx", "nd_kept")
     kept = F.col("kept") & F.col("component").isNotNull()
     groups = materialize(found.where(kept).groupBy(F.col(id_col).alias("nd_id"), "tx", "component").agg(F.count("*").alias("rows")), "kept")
-    out = docs.join(groups.select("nd_id", F.col("tx").alias("nd_tx")).distinct().withColumn("nd_kept", F.lit(True)), docs[id_col].eqNullSafe(F.col("nd_id")) & (F.xxhash64(docs[text_col]) == F.col("nd_tx")), "left")
+    wanted = materialize(groups.select(F.col("nd_id").alias(nd_id), F.col("tx").alias(nd_tx)).distinct().withColumn(nd_kept, F.lit(True)), "wanted")
+    out = docs.join(wanted, docs[id_col].eqNullSafe(F.col(nd_id)) & (F.xxhash64(docs[text_col]) == F.col(nd_tx)), "left")
     worded = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept_rows = out.where(F.col("nd_kept") | ~worded).select(*docs.columns)
+    kept_rows = out.where(F.col(nd_kept) | ~worded).select(*docs.columns)
     extra = groups.groupBy("component").agg(F.sum("rows").alias("rows"), F.min("tx").alias("tx")).where("rows > 1")
     if not extra.limit(1).count():
         return kept_rows
@@ -212,8 +217,9 @@ def star_links(active: DataFrame, verified: Callable[[DataFrame], DataFrame]) ->
     edges = active.sparkSession.createDataFrame([], "a long, b long")
     labelled = active.withColumn("label", F.col("node"))
     for orders in STAR_ROUNDS:
-        often = labelled.groupBy("key").agg(F.count("*").alias("n"))
-        central = labelled.join(often, "key").groupBy("node").agg(F.sum("n").alias("central"))
+        often = materialize(labelled.groupBy("key").agg(F.count("*").alias("n")), "often")
+        heavy = heavy_keys(often, ["key"])
+        central = join_by_key(labelled, often, ["key"], heavy).groupBy("node").agg(F.sum("n").alias("central"))
         ranked = materialize(labelled.join(central, "node").select("key", "node", "central"), "ranked")
         pairs = None
         for order in range(orders):
@@ -221,15 +227,18 @@ def star_links(active: DataFrame, verified: Callable[[DataFrame], DataFrame]) ->
             flip = F.lit(int(K.mix(np.uint64([order + 1]))[0] >> np.uint64(1)))
             rank = F.struct(F.col("node").bitwiseXOR(flip).alias("rank"), F.col("node").alias("pivot")) if order else F.struct(F.col("central").alias("rank"), F.col("node").alias("pivot"))
             pivots = ranked.groupBy("key").agg(F.max(rank).alias("best"))
-            own = ranked.join(pivots, "key").groupBy("node").agg(F.max("best").alias("best")).select(F.col("node").alias("a"), F.col("best.pivot").alias("b"))
+            own = join_by_key(ranked, pivots, ["key"], heavy).groupBy("node").agg(F.max("best").alias("best")).select(F.col("node").alias("a"), F.col("best.pivot").alias("b"))
             pairs = own if pairs is None else pairs.union(own)
         found = materialize(verified(pairs.where("a <> b").distinct()), "edges")
         edges = edges.union(found)
         labels = labelled.select("node", "label").distinct()
         taken = found.join(labels, found["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("taken"))
-        labelled = labelled.join(taken, labelled["node"] == taken["a"], "left")
-        labelled = labelled.select("key", "node", F.when(F.col("label") == F.col("node"), F.coalesce("taken", "label")).otherwise(F.col("label")).alias("label"))
-        labelled = materialize(_open(labelled), "open")
+        now = labelled.join(taken, labelled["node"] == taken["a"], "left")
+        now = materialize(now.select("key", "node", F.when(F.col("label") == F.col("node"), F.coalesce("taken", "label")).otherwise(F.col("label")).alias("label")), "labelled")
+        # Open are the buckets in which more than one component is left.
+        mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        was, labelled = labelled, materialize(join_by_key(now, mixed, ["key"], heavy).select("key", "node", "label"), "open")
+        discard(often, ranked, now, was)
         if not labelled.limit(1).count():
             return edges, None
     return edges, labelled
@@ -257,8 +266,3 @@ def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     alike = ((100 + percent) * room >= percent * (F.col("n") + F.col("m"))) & (F.col("node") < F.col("b")) & (F.col("label") != F.col("other"))
     return heads.join(right, "key").where(alike).select(F.col("node").alias("a"), "b").distinct()
 
-
-def _open(labelled: DataFrame) -> DataFrame:
-    """Rows of the buckets in which more than one component is left."""
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    return labelled.join(mixed, "key").select("key", "node", "label")

@@ -134,7 +134,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
 
     They are chosen by a hash of their id and learnt from whole: documents are taken
     in that order until they have ``max_passages`` passages.  Null labels are no
-    labels; several labels of a document are averaged.
+    labels; several labels of a document are averaged; several rows of a document
+    count as one.
     """
     known = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("double").alias("y")).where("y is not null and label_id is not null")
     known = known.where(~held_out("label_id")).groupBy("label_id").agg(F.avg("y").alias("y"))
@@ -154,8 +155,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
 
     kind = rows.schema["label_id"].dataType.simpleString()
     bags = materialize(rows.select("label_id", "y", "passages").mapInArrow(described, f"label_id {kind}, y double, n long, x binary"), "bags")
+    # A repeated document is learnt from once: of rows of one id the text with the largest features counts.
+    bags = materialize(bags.groupBy("label_id").agg(F.max(F.struct("n", "x", "y")).alias("b")).select("label_id", "b.n", "b.x", "b.y"), "bags")
     before = Window.orderBy("o", "label_id").rowsBetween(Window.unboundedPreceding, -1)
-    ids = bags.groupBy("label_id").agg(F.sum("n").alias("n")).withColumn("o", F.xxhash64("label_id"))  # max_labels rows at most
+    ids = bags.select("label_id", "n", F.xxhash64("label_id").alias("o"))  # max_labels rows at most
     ids = ids.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("first") < max_passages).select("label_id")
     got = bags.join(F.broadcast(ids), "label_id").select("label_id", "y", "x").collect()
     got = sorted(got, key=lambda r: (r["label_id"], bytes(r["x"])))

@@ -8,6 +8,7 @@ every text.  Offsets are code points; built from DataFrame functions alone.
 
 from __future__ import annotations
 
+import re
 import re._constants as sre
 import re._parser as parser
 from dataclasses import dataclass
@@ -102,37 +103,66 @@ def _runs(tree) -> list[set[str]]:
     return [*done, now]
 
 
+def any_of(grams: list[str]) -> str:
+    """A regex that finds, in one pass, every place where one of the trigrams stands, overlaps included."""
+    tails: dict[str, list[str]] = {}
+    for g in grams:
+        tails.setdefault(g[0], []).append(g[1:])
+    quoted = lambda s: re.sub(r"([^\w])", r"\\\1", s)
+    return "(?=(" + "|".join(f"{quoted(a)}(?:{'|'.join(map(quoted, rest))})" for a, rest in tails.items()) + "))" if grams else ""
+
+
 def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> tuple[DataFrame, list[int]]:
     """(cand_id, mask) with a bit for each rule whose query the id's postings satisfy; rules that scan fully."""
     queries = [trigram_query(r.pattern) for r in rules]
     full = [k for k, q in enumerate(queries) if not q]
     grams = sorted({g for q in queries for c in q for g in c})
-    clause_rows = [(k, c, grams.index(g), 1 << b, (1 << len(clause)) - 1) for k, q in enumerate(queries) for c, clause in enumerate(q) for b, g in enumerate(sorted(clause))]
+    clause_rows = [(k, c, g, 1 << b, (1 << len(clause)) - 1) for k, q in enumerate(queries) for c, clause in enumerate(q) for b, g in enumerate(sorted(clause))]
     spark = docs.sparkSession
-    clauses = spark.createDataFrame(clause_rows, "rule int, clause int, gram int, bit long, whole long")
-    # The lambda binds the lower-cased text, which is then made only once.
-    held = F.transform(F.array(F.lower(text_of(text_col))), lambda t: F.array_compact(F.array(*(F.when(F.contains(t, F.lit(g)), F.lit(k)) for k, g in enumerate(grams)))))[0]
+    clauses = spark.createDataFrame(clause_rows, "rule int, clause int, gram string, bit long, whole long")
+    held = F.array_distinct(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit(any_of(grams)), F.lit(1))) if grams else F.array().cast("array<string>")
     postings = docs.select(F.explode(held).alias("gram"), F.col(id_col).alias("cand_id"))
     met = postings.join(F.broadcast(clauses), "gram")  # a row for each trigram of the rules
     met = met.groupBy("cand_id", "rule", "clause").agg(F.bit_or("bit").alias("bits"), F.first("whole").alias("whole")).where("bits = whole")
     return materialize(met.groupBy("cand_id").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("mask")), "candidates"), full
 
 
+#: Matches that one fold takes; their spans are copied at each of its steps.
+_FOLD = 64
+
+
 def _spans(text: Column, rule: Rule, k: int) -> Column:
-    """Spans of the matches that count: array of (start, kind, end)."""
+    """Spans of the matches that count: array of (start, kind, end).
+
+    Offsets are running sums of the lengths of gaps and matches: within blocks of
+    ``_FOLD`` matches first, then over the blocks.
+    """
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     rows = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), whole.alias("all"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("kept"))
+    rows = F.transform(rows, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["all"]).alias("all"), (F.length(x["kept"]) >= rule.least).alias("kept")))
+    kind = "array<struct<start:int,kind:int,end:int>>"
+    none = F.array().cast(kind)
 
     def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["gap"])
-        end = start + F.length(x["all"])
+        start = s["at"] + x["gap"]
+        end = start + x["all"]
         span = F.array(F.struct(start.alias("start"), F.lit(k).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(x["kept"]) >= rule.least, F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
+        return F.struct(end.alias("at"), F.when(x["kept"], F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
 
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    rows = F.filter(rows, lambda x: x["all"].isNotNull())  # the last gap has no match after it
-    return F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
+    def blocks(r: Column) -> Column:
+        n = F.size(r) - 1  # the last gap has no match after it
+        cut = lambda b: F.transform(F.sequence(b * _FOLD, F.least(n, (b + 1) * _FOLD) - 1), lambda i: F.get(r, i))
+        each = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _FOLD).cast("int")), lambda b: F.aggregate(cut(b), F.struct(F.lit(0).alias("at"), none.alias("spans")), step))
+        return F.when(n > 0, each).otherwise(F.array().cast(f"array<struct<at:int,spans:{kind}>>"))
+
+    def joined_up(each: Column) -> Column:
+        ends = F.aggregate(each, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x["at"])))
+        moved = lambda e: F.transform(each, lambda x, i: F.transform(x["spans"], lambda s: F.struct((s["start"] + F.get(e, i)).alias("start"), s["kind"].alias("kind"), (s["end"] + F.get(e, i)).alias("end"))))
+        return F.flatten(F.transform(F.array(ends), moved)[0])
+
+    # The lambdas bind the lengths and the blocks, which are then made only once.
+    return F.transform(F.transform(F.array(rows), blocks), joined_up)[0]
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

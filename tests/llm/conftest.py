@@ -5,6 +5,10 @@ KIND = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the quick brown fox jumps over a lazy dog while seven small boats drift along the quiet river at dawn and nobody sees them go".split()
 
 
+#: Names that the operators use for columns of their own.
+CLASHES = "key tx label size node h rank row rate bad_id bad_tx nd_id nd_tx nd_kept copy mx_copy part m k want want_tx held id rid own own_id cand_id mask g o sid shard slot number place nth seq".split()
+
+
 @pytest.fixture
 def odd_docs(spark):
     """Null and empty texts, ties, repeated rows, a long text, null ids, and columns with clashing names."""
@@ -25,7 +29,7 @@ def odd_docs(spark):
         (9, " ".join(f"w{i % 977}" for i in range(60_000)), "en", "c", 1),
     ]
     df = spark.createDataFrame(rows, KIND)
-    return df.withColumns({c: F.lit(1) for c in ("key", "tx", "label", "size", "node", "h", "rank", "row", "rate")})
+    return df.withColumns({c: F.lit(1) for c in CLASHES})
 
 
 @pytest.fixture

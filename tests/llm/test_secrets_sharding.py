@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 
 import pytest
@@ -51,6 +52,24 @@ def test_every_match_satisfies_its_query(parts):
             assert any(all(g in low for g in clause) for clause in query) or not any(len(m[0]) > 19 for m in pattern.finditer(text)) and rule.kind == "access"
 
 
+def test_texts_full_of_matches(spark):
+    """More matches than one fold takes; twice as many take about twice the time."""
+    def text(n):
+        return " ".join(("token=" if i % 3 else "zz ") + f"abc{i:06d}" + "é" * (i % 2) for i in range(n))
+
+    df = spark.createDataFrame([(0, text(64 * 3)), (1, text(1000)), (2, text(97))], "doc_id long, text string")
+    for r in scan_secrets(df).select("*", joined(F.filter("secret_spans", lambda s: s["kind"] < len(BASE))).alias("b")).collect():
+        assert r["b"] == base(r["text"])
+    took = []
+    for n in (30_000, 60_000, 60_000):
+        one = spark.createDataFrame([(0, text(n))], "doc_id long, text string").cache()
+        one.count()
+        began = time.perf_counter()
+        assert scan_secrets(one).select(F.size("secret_spans")).first()[0] == len(base(text(n)).split(","))
+        took.append(time.perf_counter() - began)
+    assert min(took[1:]) < 3 * took[0] + 2
+
+
 def test_rules_without_trigrams_scan_fully():
     assert [r.kind for r in RULES if not trigram_query(r.pattern)] == ["hex"]
 
