@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .near_dup import components, star_links
-from .shared import BROADCAST_ROWS, heavy_keys, join_by_key, materialize
+from .shared import checked_broadcast, heavy_keys, is_small, join_by_key, materialize
 
 EDITS, LEAST = 2, 20
 GRAM = 4
@@ -211,7 +211,7 @@ def placed_lines(docs: DataFrame, id_col: str, text_col: str, edits: int, least:
     keys = rows.select("text").mapInArrow(keyed, "key long, h1 long, probe int").groupBy("key")
     keys = keys.agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("probe").alias("probe")).where("lo < hi and probe = 0").select("key")
     keys = materialize(keys, "keys")
-    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = is_small(keys)
     held = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in keys.collect()], np.int64))) if few else None
 
     def placed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +325,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = placed_lines(docs, id_col, text_col, edits, least)
     classes = line_classes(lines, edits, least)
     rows = lines.select("id", "number", "h1", "h2")
-    rows = rows.join(F.broadcast(classes) if classes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else classes, ["h1", "h2"], "left")
+    rows = rows.join(checked_broadcast(classes), ["h1", "h2"], "left")
     per = rows.groupBy("id", F.coalesce("label", "h1").alias("k1"), F.when(F.col("label").isNull(), F.col("h2")).otherwise(-1).alias("k2"), F.col("label").isNotNull().alias("near"), (F.col("number") < 0).alias("mark"))
     per = materialize(per.agg(F.min("number").alias("number"), F.count("*").alias("n")), "lines")
     keys = ["k1", "k2", "near"]

@@ -101,9 +101,14 @@ def _remove() -> None:
 atexit.register(_remove)
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint if the (materialized) side has at most ``rows`` rows; else a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def is_small(df: DataFrame) -> bool:
+    """Whether the (materialized) side has at most ``BROADCAST_ROWS`` rows."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast hint if the side is small; else a shuffle join."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def broadcast_by_size(df: DataFrame, size: Column) -> DataFrame:

@@ -1,7 +1,8 @@
 """Token counts by field and line, and training-order materialisation of token ids.
 
 Both encode whole documents with a public byte-level vocabulary, given as a file
-of ranks; a worker loads it once.
+of ranks; a worker loads it once.  The path has to lead to the file on every
+worker: put it in their image or on a mount that they share.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +31,10 @@ END_OF_TEXT = 50256
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
+def encoder(path: str) -> tuple["tiktoken.Encoding", np.ndarray]:  # noqa: F821, UP037
     """The encoder of a rank file and the UTF-8 length of each of its tokens."""
+    import tiktoken
+
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     size = np.zeros(max(ranks.values()) + 1, np.int64)
@@ -78,7 +81,7 @@ def count_tokens(docs: DataFrame, fields: tuple[str, ...] = ("source", "lang", "
     A document is its fields in order with a space between two; it is encoded once,
     as a whole.  The sections are the fields, the ``body`` cut into its lines; a space
     or line break belongs to the section that it ends.  ``line_tokens`` are those of
-    the body's lines.  Null fields are empty.  Counts are whole numbers unless ``rule`` is split.
+    the body's lines.  Null fields are empty; an empty table gives an empty result.  Counts are whole numbers unless ``rule`` is split.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
@@ -165,6 +168,9 @@ def write_training_order(docs: DataFrame, out_dir: str, key: int = 1, length: in
     records of 2 * ``length`` bytes (little-endian), so slot s stands at byte
     (s - first slot) * 2 * length of its shard.  Equal ids are ordered by content.
 
+    ``out_dir``/index has the first slot of every shard and its number of records, so
+    a reader needs no manifest.  An empty table gives no shards.
+
     Manifest: slot, shard, byte_offset, the id, seq, n_tokens (without padding) and
     tokens_crc32 of the record.  Files appear under their names only when whole, and
     a task that runs again writes the same bytes.
@@ -263,18 +269,24 @@ def write_training_order(docs: DataFrame, out_dir: str, key: int = 1, length: in
     rows = materialize(rows, "manifest")
     counts = rows.groupBy("shard").agg(F.count("*").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    firsts = counts.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), "n")
+    firsts.coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/index")
+    firsts = docs.sparkSession.read.schema(firsts.schema).parquet(f"{out_dir}/index")
     out = rows.join(F.broadcast(firsts), "shard")  # a row for each shard file
     return out.select((F.col("first") + F.col("inner")).alias("slot"), "shard", (F.col("inner") * stride).alias("byte_offset"), F.col("key").alias(id_col), "seq", "n_tokens", "tokens_crc32")
 
 
-def read_slots(out_dir: str, manifest: DataFrame, start: int, count: int, length: int = LENGTH) -> Iterator[np.ndarray]:
-    """The records of ``count`` slots from ``start`` on, read in order from the shard files."""
-    rows = manifest.where((F.col("slot") >= start) & (F.col("slot") < start + count)).orderBy("slot").select("shard", "byte_offset").collect()
+def read_slots(out_dir: str, start: int, count: int, length: int = LENGTH) -> Iterator[np.ndarray]:
+    """The records of ``count`` slots from ``start`` on, in order: a few sequential reads, found by the shards' index."""
     store, root = _open(out_dir)
-    shard, source = None, None
-    for r in rows:
-        if r["shard"] != shard:
-            shard, source = r["shard"], store.open_input_file(f"{root}/{shard_name(r['shard'])}")
-        source.seek(r["byte_offset"])
-        yield np.frombuffer(source.read(2 * length), "<u2")
+    index = pq.read_table(f"{root}/index", filesystem=store).sort_by("first")
+    firsts, sizes, shards = (index.column(c).to_numpy() for c in ("first", "n", "shard"))
+    stop = min(start + count, int(firsts[-1] + sizes[-1]) if len(firsts) else 0)
+    k = int(np.searchsorted(firsts, start, "right")) - 1
+    while start < stop:
+        with store.open_input_file(f"{root}/{shard_name(int(shards[k]))}") as source:
+            source.seek(int(start - firsts[k]) * 2 * length)
+            end = min(stop, int(firsts[k] + sizes[k]))
+            for _ in range(start, end):
+                yield np.frombuffer(source.read(2 * length), "<u2")
+        start, k = end, k + 1

@@ -35,3 +35,8 @@ def odd_docs(spark):
 @pytest.fixture
 def no_docs(spark):
     return spark.createDataFrame([], KIND)
+
+
+@pytest.fixture
+def clashes():
+    return CLASHES

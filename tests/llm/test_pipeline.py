@@ -1,4 +1,5 @@
 import corpus_pipeline
+from pyspark.sql import functions as F
 from sparkorbit.llm.decontaminate import contained_items
 from sparkorbit.llm.near_dup import near_duplicates
 from sparkorbit.llm.shared import materialize
@@ -27,6 +28,17 @@ def test_stages_take_effect(spark, sf):
     assert slots == list(range(len(slots))) and slots
 
 
+def test_columns_with_clashing_names_pass_through(spark, sf, clashes):
+    own = {c: F.lit("own") for c in [*clashes, "held_out", "score", "predicted", "copies", "taken", "target", "source_size"]}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns(own)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf), name)
+        assert docs.columns == columns
+        assert docs.select(*own).distinct().collect() == [tuple(["own"] * len(own))]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() > 0
+
+
 def test_empty_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
