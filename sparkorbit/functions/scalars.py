@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -80,6 +81,16 @@ def sigmoid(x: Column, limit: float = 30.0) -> Column:
     return 1 / (1 + F.exp(-clip(x, -limit, limit)))
 
 
+def hard_concrete(x: Column, temperature: float = 2 / 3, low: float = -0.1, high: float = 1.1, limit: float = 25.0) -> Column:
+    """A gate in [0, 1]: the sigmoid of x / temperature, stretched to (low, high) and cut."""
+    return clip(sigmoid(x / temperature, limit) * (high - low) + low, 0.0, 1.0)
+
+
+def expected_open(x: Column, temperature: float = 2 / 3, low: float = -0.1, high: float = 1.1, limit: float = 25.0) -> Column:
+    """The probability that a hard-concrete gate is not 0."""
+    return sigmoid(x - temperature * math.log(-low / high), limit)
+
+
 def finite_ratio(a: Column, b: Column) -> Column:
     """a / b if finite, else null."""
     out = F.try_divide(a.cast("double"), b.cast("double"))

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stored import stored
+from .bootstrap import draws
+from .roles import ranked
+
 EPS = sys.float_info.epsilon
 
 
@@ -95,9 +100,104 @@ def greedy_blocks(scores: DataFrame, mass: float = 0.9, least: int = 2) -> DataF
 
 
 def ranked_subset(scores: DataFrame, size: int) -> DataFrame:
-    """Whole blocks by falling score as long as they fit into ``size`` modes."""
-    order = Window.orderBy(F.col("score").desc(), "first")
-    return scores.withColumn("modes", F.sum("size").over(order)).where(F.col("modes") <= size)
+    """Whole blocks by falling score of a mode until they have ``size`` modes; the block that reaches it is not split."""
+    order = Window.orderBy((F.col("score") / F.col("size")).desc(), "first")
+    rows = scores.withColumn("modes", F.sum("size").over(order))
+    return rows.where(F.col("modes") - F.col("size") < size)
+
+
+def screening_measurement(state: DataFrame, labels: DataFrame, modes: int, rho: float = 1e-3) -> list[list[list[float]]]:
+    """M_c = S^-1/2 E_c S^-1/2 of both classes, E_c their scatter plus rho / 2 on the diagonal, S their sum.
+
+    The scatter is a table of modes^2 entries a class; the root is taken on the driver.
+    """
+    e = np.zeros((2, modes, modes))
+    for r in class_scatter(state, labels).collect():
+        e[r["y"], r["i"] - 1, r["j"] - 1] = r["e"]
+    if not e[0].any() or not e[1].any():
+        raise ValueError("every class needs states")
+    e += rho / 2 * np.eye(modes)
+    value, vector = np.linalg.eigh(e.sum(axis=0))
+    t = (vector / np.sqrt(np.maximum(value, 1e-12))) @ vector.T
+    m = t @ e @ t
+    return ((m + m.transpose(0, 2, 1)) / 2).tolist()
+
+
+def measurement_frame(df: DataFrame, m: list[list[float]]) -> DataFrame:
+    """(i, j, m) of a matrix, from 1."""
+    rows = [(i + 1, j + 1, float(v)) for i, r in enumerate(m) for j, v in enumerate(r)]
+    return df.sparkSession.createDataFrame(rows, "i int, j int, m double")
+
+
+def row_draws(ids: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
+    """(replicate, id, w): multinomial multiplicities of the rows, as many draws as rows."""
+    rows = stored(ranked(ids.select("id").distinct().withColumn("_one", F.lit(1)), "id", ["_one"], seed).drop("_one"))
+    n = rows.count()
+    return draws(ids, replicates, n, n, seed + 1).join(rows, "_r").select("replicate", "id", "w")
+
+
+def bootstrap_prefix(modes: DataFrame, field: DataFrame, eigen: DataFrame, replicates: int, mass: float = 0.9, k_min: int = 1, seed: int = 0) -> DataFrame:
+    """(replicate, selected): the prefix choice on rows drawn with replacement."""
+    w = stored(row_draws(field, replicates, seed))
+    drawn = field.join(w, "id").withColumn("degree", F.col("degree") * F.col("w"))
+    mean = drawn.groupBy("replicate").agg((F.sum(F.col("degree") * F.col("g")) / F.sum("degree")).alias("_m"))
+    d, phi = F.col("degree"), F.col("phi")
+    c = F.sum(d * phi * (F.col("g") - F.col("_m"))) / F.sqrt(F.greatest(F.sum(d * phi * phi), F.lit(1e-300)))
+    power = modes.join(drawn.join(F.broadcast(mean), "replicate"), "id").groupBy("replicate", "k").agg(c.alias("c")).join(F.broadcast(spectral_blocks(eigen).select("k", "block")), "k")
+    power = power.withColumn("_p", F.avg(F.col("c") * F.col("c")).over(Window.partitionBy("replicate", "block")))
+    q = F.coalesce(F.try_divide(F.col("_p"), F.sum("_p").over(Window.partitionBy("replicate"))), F.lit(0.0))
+    run = power.select("replicate", "k", "block", q.alias("q")).withColumn("_cum", F.sum("q").over(Window.partitionBy("replicate").orderBy("k")))
+    per = run.groupBy("replicate").agg(F.coalesce(F.min(F.when(F.col("_cum") >= mass - 1e-12, F.col("k"))), F.max("k")).alias("_k"), F.ceil(F.try_divide(F.lit(1.0), F.sum(F.col("q") * F.col("q")))).alias("_p"), F.max("k").alias("_all"))
+    raw = per.select("replicate", F.least(F.greatest(F.lit(k_min), F.col("_p"), F.col("_k")), F.col("_all")).cast("int").alias("raw"))
+    end = run.join(raw, "replicate").where("k = raw").select("replicate", F.col("block").alias("_block"))
+    return run.join(end, "replicate").where(F.col("block") == F.col("_block")).groupBy("replicate").agg(F.max("k").alias("selected"))
+
+
+def bootstrap_record(replicates: DataFrame, selected: int) -> DataFrame:
+    """One row: how often the choice of the replicates is its mode and that of all rows, with median, least and most."""
+    per = replicates.groupBy("selected").agg(F.count("*").alias("n"))
+    top = F.max(F.struct("n", (-F.col("selected")).alias("k")))
+    row = per.agg(F.sum("n").alias("repetitions"), top.alias("_t"), F.sum(F.when(F.col("selected") == selected, F.col("n")).otherwise(0)).alias("_e"))
+    row = row.select("repetitions", (-F.col("_t.k")).alias("mode"), (F.col("_t.n") / F.col("repetitions")).alias("mode_fraction"), (F.col("_e") / F.col("repetitions")).alias("exact_fraction"))
+    return row.crossJoin(F.broadcast(replicates.agg(F.median("selected").alias("median"), F.min("selected").alias("least"), F.max("selected").alias("most"))))  # a row for each replicate
+
+
+def mode_records(shares: DataFrame, eigen: DataFrame, selected: int) -> DataFrame:
+    """A row for each mode: eigenvalue, block, coefficient and its power, share, running share, whether selected."""
+    run = F.sum("q").over(Window.orderBy("k"))
+    rows = shares.join(eigen.select("k", "epsilon"), "k")
+    return rows.select("k", "epsilon", "block", "c", (F.col("c") * F.col("c")).alias("power"), "q", run.alias("cumulative"), (F.col("k") <= selected).alias("selected"))
+
+
+def gated_records(scores: DataFrame, blocks: DataFrame, mass: float = 0.9, least: int = 2) -> DataFrame:
+    """A row for each mode: its part of the block's score and share, its rank by them, and whether its block is selected."""
+    chosen = greedy_blocks(scores, mass, least)
+    share = F.coalesce(F.try_divide(F.col("score"), F.sum("score").over(Window.partitionBy())), F.lit(0.0))
+    rows = blocks.select("k", "epsilon", "block").join(chosen.withColumn("q", share).select("block", "size", "score", "q", "selected"), "block")
+    rows = rows.select("k", "epsilon", "block", (F.col("score") / F.col("size")).alias("score"), (F.col("q") / F.col("size")).alias("weight"), "selected")
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.col("weight").desc(), "k")))
+
+
+def gated_bootstrap(gradients: DataFrame, blocks: DataFrame, replicates: int, mass: float = 0.9, least: int = 2, seed: int = 0) -> DataFrame:
+    """(replicate, k): the modes that each replicate selects from rows drawn with replacement."""
+    per = stored(gradients.join(F.broadcast(blocks.select("k", "block")), "k").groupBy("id", "block").agg(F.sum("grad").alias("_g")))
+    w = row_draws(per, replicates, seed)
+    score = per.join(w, "id").groupBy("replicate", "block").agg((F.sum(F.col("w") * F.col("_g") * F.col("_g")) / F.sum("w")).alias("score"))
+    sizes = blocks.groupBy("block").agg(F.min("k").alias("first"), F.count("*").alias("size"))
+    rows = score.join(F.broadcast(sizes), "block")
+    order, whole = Window.partitionBy("replicate").orderBy(F.col("score").desc(), "first"), Window.partitionBy("replicate")
+    rows = rows.withColumn("q", F.coalesce(F.try_divide(F.col("score"), F.sum("score").over(whole)), F.lit(0.0))).withColumn("rank", F.row_number().over(order))
+    rows = rows.withColumn("mass", F.sum("q").over(order)).withColumn("modes", F.sum("size").over(order))
+    rows = rows.withColumn("_p", F.coalesce(F.try_divide(F.lit(1.0), F.sum(F.col("q") * F.col("q")).over(whole)), F.lit(1.0)))
+    done = (F.col("mass") >= mass - 1e-12) & (F.col("rank") >= F.ceil("_p")) & (F.col("modes") >= least)
+    end = F.coalesce(F.min(F.when(done, F.col("rank"))).over(whole), F.max("rank").over(whole))
+    chosen = rows.withColumn("_end", end).where(F.col("rank") <= F.col("_end")).select("replicate", "block")
+    return chosen.join(F.broadcast(blocks.select("k", "block")), "block").select("replicate", "k")
+
+
+def inclusion(selected: DataFrame, replicates: int) -> DataFrame:
+    """(k, frequency): the share of replicates that select a mode; modes never selected are left out."""
+    return selected.groupBy("k").agg((F.count("*") / replicates).alias("frequency"))
 
 
 def checkpoints(shares: DataFrame, widths: list[int], mass: float = 0.9, k_min: int = 1) -> DataFrame:

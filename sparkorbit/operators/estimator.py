@@ -12,8 +12,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stored import stored
 from . import dimension, graph, readout, spectrum
-from .roles import smallest
+from .roles import proportional_sample
 
 
 @dataclass
@@ -31,44 +32,50 @@ class OrbitalClassifier:
     vector_col: str = "x"
     label: str = "y"
     fitted: dict = field(default_factory=dict)
+    candidates: list[dict] = field(default_factory=list)
 
     def _parts(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Landmarks and readout rows: disjoint halves by a hash of the id, both of bounded size."""
+        """Landmarks and readout rows: disjoint halves by a hash of the id, both of bounded size with the shares of the classes."""
         half = F.pmod(F.xxhash64(self.id_col), F.lit(2))
         rows = df.select(F.col(self.id_col).alias("id"), F.col(self.vector_col).alias("x"), F.col(self.label).cast("int").alias("y"))
-        a = smallest(rows.where(half == 0).withColumn("_one", F.lit(1)), self.max_landmarks, "id", ["_one"]).drop("_one")
-        b = smallest(rows.where(half == 1).withColumn("_one", F.lit(1)), self.max_readout, "id", ["_one"], 1).drop("_one")
-        return a.persist(), b.persist()
+        a = proportional_sample(rows.where(half == 0), self.max_landmarks, "id")
+        b = proportional_sample(rows.where(half == 1), self.max_readout, "id", seed=1)
+        return stored(a), stored(b)
 
     def _states(self, queries: DataFrame, fit: dict) -> DataFrame:
-        w = graph.query_affinities(queries, fit["landmarks"], self.k, self.k_sigma, "id", "x").persist()
+        w = graph.query_affinities(queries, fit["landmarks"], self.k, self.k_sigma, "id", "x")
+        w = stored(w)
         post = graph.kernel_posterior(w.select("src", "dst", "w"), fit["landmarks"].select("id", "y"))
         pot = graph.information_potential(post)
         return spectrum.extend_modes(w, fit["long"], pot, fit["eigen"], 1.0, fit["beta"])
 
     def fit(self, df: DataFrame) -> OrbitalClassifier:
-        """Choose beta by the log loss of a readout on a part of the readout rows; keep the best."""
+        """Choose beta by the log loss of a readout on a part of the readout rows; keep the best.
+
+        ``candidates`` records every beta.  One without a stable prefix is passed over,
+        and so is one that selects its last stable mode, unless all do.
+        """
         landmarks, rest = self._parts(df)
         edges, _ = graph.self_tuning_graph(landmarks, self.k, self.k_sigma, "id", "x")
-        edges = edges.persist()
+        edges = stored(edges)
         post = graph.kernel_posterior(edges, landmarks.select("id", "y"))
-        pot = graph.information_potential(post).persist()
-        deg, lap = graph.degrees(edges), graph.laplacian(edges).persist()
-        best = None
+        pot = stored(graph.information_potential(post))
+        deg, lap = graph.degrees(edges), stored(graph.laplacian(edges))
+        best, self.candidates = None, []
         for beta in self.betas:
             eigen, modes = spectrum.solve_modes(graph.graph_operator(lap, pot.select("id", "v"), 1.0, beta), self.modes, deg)
             long = modes.select("id", F.posexplode("phi").alias("k", "phi")).withColumn("k", F.col("k") + 1)
             fit = {"landmarks": landmarks, "eigen": eigen, "long": long, "beta": beta}
-            ext = self._states(rest, fit).persist()
+            ext = stored(self._states(rest, fit))
             prefix = spectrum.stable_prefix(ext.select("k", "stable")).first()["prefix"]
             if not prefix:
+                self.candidates.append({"beta": beta, "prefix": 0, "selected": [], "ceiling": True, "loss": None})
                 continue
-            state = spectrum.states(ext, list(range(1, prefix + 1))).persist()
+            state = spectrum.states(ext, list(range(1, prefix + 1)))
+            state = stored(state)
             prior = landmarks.agg(F.avg("y")).first()[0]
-            scatter = {(r["y"], r["i"], r["j"]): r["e"] for r in dimension.class_scatter(state, landmarks.select("id", "y").union(rest.select("id", "y"))).collect()}
-            e = np.array([[[scatter.get((c, i + 1, j + 1), 0.0) for j in range(prefix)] for i in range(prefix)] for c in (0, 1)])
-            t, _, _ = readout.inverse_root(e.sum(axis=0) + 1e-9 * np.eye(prefix))
-            m1 = readout.Readout(t @ e @ t, 0.0).entries(state)
+            screen = dimension.screening_measurement(state, landmarks.select("id", "y").union(rest.select("id", "y")), prefix)
+            m1 = dimension.measurement_frame(state, screen[1])
             blocks = dimension.spectral_blocks(eigen.where(F.col("k") <= prefix))
             chosen = dimension.greedy_blocks(dimension.block_scores(dimension.gate_gradient(state, m1, prior), blocks), self.mass)
             selected = sorted(r["k"] for r in chosen.where("selected").join(blocks, "block").select("k").collect())
@@ -80,7 +87,10 @@ class OrbitalClassifier:
             trial = readout.fit_readout(a[~probe], y[~probe])
             p = np.clip(np.einsum("ni,ij,nj->n", a[probe], trial.m[1], a[probe]), 1e-7, 1 - 1e-7)
             loss = float(-(y[probe] * np.log(p) + (1 - y[probe]) * np.log(1 - p)).mean())
-            if best is None or loss < best["loss"]:
+            ceiling = max(selected) >= prefix
+            self.candidates.append({"beta": beta, "prefix": prefix, "selected": selected, "ceiling": ceiling, "loss": loss})
+            if best is None or (ceiling, loss) < best_key:
+                best_key = (ceiling, loss)
                 best = fit | {"loss": loss, "selected": selected, "readout": readout.fit_readout(a, y), "prefix": prefix}
         if best is None:
             raise ArithmeticError("no operator has a stable prefix of modes")

@@ -1,18 +1,24 @@
 """Evaluation of scores: ROC, working points, slices, correlation, histograms.
 
 Scores are rows (method, y, score [, weight]); every function handles all methods at
-once and reduces to distinct scores before anything is ordered.
+once and reduces to distinct scores before anything is ordered.  Scores that are null
+or not finite have no place in an order: they make the query fail, and
+``score_validity`` counts them beforehand.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import clopper_pearson
-from ..functions.scalars import clip
-from ..plans.prefix import running_sums
+from ..functions.prefix import quantiles, running_sums
+from ..functions.scalars import clip, finite
+from ..functions.stored import stored
 
+#: Rows up to which a table of ranks, two numbers a row, is broadcast.
+SMALL = 1_000_000
 #: Kinematic slices, lower bound included, upper excluded.
 PT_SLICES = [(20.0, 40.0), (40.0, 70.0), (70.0, 120.0), (120.0, 250.0), (250.0, None)]
 ETA_SLICES = [(0.0, 0.6), (0.6, 1.2), (1.2, 1.8), (1.8, 2.5)]
@@ -21,6 +27,8 @@ ETA_SLICES = [(0.0, 0.6), (0.6, 1.2), (1.2, 1.8), (1.8, 2.5)]
 def score_counts(df: DataFrame, by: tuple[str, ...] = ("method",), weight: str | None = None) -> DataFrame:
     """Weighted positives and negatives of each distinct score."""
     w = F.col(weight) if weight else F.lit(1)
+    refused = F.raise_error(F.lit("a score is null or not finite")).cast(df.schema["score"].dataType)
+    df = df.withColumn("score", F.when(finite(F.col("score")), F.col("score")).otherwise(refused))
     return df.groupBy(*by, "score").agg(F.sum(w * F.col("y")).alias("pos"), F.sum(w * (1 - F.col("y"))).alias("neg"))
 
 
@@ -38,25 +46,24 @@ def average_precision(df: DataFrame, by: tuple[str, ...] = ("method",)) -> DataF
     return run.groupBy(*by).agg((F.sum(step) / F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"))
 
 
-def roc_table(df: DataFrame, by: tuple[str, ...] = ("method",)) -> DataFrame:
+def roc_table(df: DataFrame, by: tuple[str, ...] = ("method",), totals: bool = False) -> DataFrame:
     """A row for each distinct score as threshold (score >= threshold passes), and the empty point before them.
 
-    ``rejection`` = 1 / fpr, null and ``censored`` without mistags.
+    ``rejection`` = 1 / fpr, null and ``censored`` without mistags; ``totals`` adds n_pos and n_neg.
     """
     counts = score_counts(df, by)
     run = running_sums(counts, "score", {"tp": "pos", "fp": "neg"}, by, descending=True)
-    totals = counts.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    empty = totals.select(*by, F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
-    out = run.select(*by, F.col("score").cast("double").alias("threshold"), "tp", "fp").unionByName(empty).join(totals, list(by))
+    sums = run.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    empty = sums.select(*by, F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
+    out = run.select(*by, F.col("score").cast("double").alias("threshold"), "tp", "fp").unionByName(empty).join(sums, list(by))
     out = out.withColumn("tpr", F.col("tp") / F.nullif(F.col("n_pos"), F.lit(0))).withColumn("fpr", F.col("fp") / F.nullif(F.col("n_neg"), F.lit(0)))
-    return out.select(*by, "threshold", "tp", "fp", "tpr", "fpr", F.when(F.col("fp") > 0, 1 / F.nullif(F.col("fpr"), F.lit(0.0))).alias("rejection"), (F.col("fp") == 0).alias("censored"))
+    return out.select(*by, "threshold", "tp", "fp", "tpr", "fpr", F.when(F.col("fp") > 0, 1 / F.nullif(F.col("fpr"), F.lit(0.0))).alias("rejection"), (F.col("fp") == 0).alias("censored"), *(("n_pos", "n_neg") if totals else ()))
 
 
 def thresholds(df: DataFrame, efficiencies: list[float], by: tuple[str, ...] = ("method",)) -> DataFrame:
     """(by, efficiency, threshold): linear quantile 1 - efficiency of the signal scores."""
-    quantiles = F.percentile("score", F.array(*(F.lit(1 - e) for e in efficiencies)))
-    held = df.where("y = 1").groupBy(*by).agg(quantiles.alias("t"))
-    pairs = F.arrays_zip(F.array(*map(F.lit, efficiencies)).alias("efficiency"), F.col("t").alias("threshold"))
+    held = quantiles(df.where("y = 1"), "score", [1 - e for e in efficiencies], by)
+    pairs = F.arrays_zip(F.array(*map(F.lit, efficiencies)).alias("efficiency"), F.col("q").alias("threshold"))
     return held.select(*by, F.explode(pairs).alias("p")).select(*by, "p.efficiency", "p.threshold")
 
 
@@ -73,10 +80,36 @@ def working_points(df: DataFrame, efficiencies: list[float], by: tuple[str, ...]
     return out.withColumn("rejection", F.when(F.col("mistags") > 0, F.col("n_background") / F.nullif(F.col("mistags"), F.lit(0)))).withColumn("censored", F.col("mistags") == 0)
 
 
+def _bounds(level: float):
+    """Clopper-Pearson bounds of k / n by batches; equal pairs are solved once."""
+
+    def solve(k: pd.Series, n: pd.Series) -> pd.DataFrame:
+        pairs = list(zip(k.tolist(), n.tolist(), strict=True))
+        held = {p: clopper_pearson(int(p[0]), int(p[1]), level) for p in set(pairs)}
+        return pd.DataFrame([held[p] for p in pairs], columns=["low", "high"], dtype=float)
+
+    return F.pandas_udf(solve, "low double, high double")
+
+
 def with_intervals(points: DataFrame, k: str = "mistags", n: str = "n_background", level: float = 0.6827) -> DataFrame:
-    """Clopper-Pearson bounds ``low`` and ``high`` of k / n, for a table of a few rows."""
-    bounds = F.udf(lambda a, b: clopper_pearson(int(a), int(b), level), "struct<low:double,high:double>")
-    return points.withColumn("_b", bounds(k, n)).select(*points.columns, "_b.low", "_b.high")
+    """Clopper-Pearson bounds ``low`` and ``high`` of k / n."""
+    return points.withColumn("_b", _bounds(level)(F.col(k), F.col(n))).select(*points.columns, "_b.low", "_b.high")
+
+
+def roc_bands(df: DataFrame, by: tuple[str, ...] = ("method",), level: float = 0.68) -> DataFrame:
+    """``roc_table`` with binomial bounds of both efficiencies and, from those of the mistag rate, of the rejection.
+
+    A bound of the rejection is null where the mistag rate's is 0, an infinite rejection.
+    """
+    table = roc_table(df, by, totals=True)
+    solve = _bounds(level)
+    # Each pair of counts is solved once: thresholds share them.
+    for name, k, n in (("fpr", "fp", "n_neg"), ("tpr", "tp", "n_pos")):
+        pairs = table.select(k, n).distinct().withColumn("_b", solve(F.col(k), F.col(n)))
+        pairs = pairs.select(k, n, F.col("_b.low").alias(f"{name}_low"), F.col("_b.high").alias(f"{name}_high"))
+        table = table.join(pairs, [k, n])
+    over = lambda c: F.when(F.col(c) > 0, 1 / F.nullif(F.col(c), F.lit(0.0)))
+    return table.withColumns({"rejection_low": over("fpr_high"), "rejection_high": over("fpr_low")})
 
 
 def probability_metrics(df: DataFrame, by: tuple[str, ...] = ("method",), eps: float = 1e-7) -> DataFrame:
@@ -123,10 +156,14 @@ def rank_table(df: DataFrame, column: str, name: str, by: tuple[str, ...] = ())
 
 
 def spearman(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
-    """(left, right, rho): rank correlation of every pair of columns."""
-    ranked = df
-    for c in dict.fromkeys([*left, *right]):
-        ranked = ranked.join(rank_table(df, c, f"_r_{c}"), c)  # of the plain rows, so that joins don't nest
+    """(left, right, rho): rank correlation of every pair of columns, over the rows that have all of them."""
+    columns = list(dict.fromkeys([*left, *right]))
+    rows = stored(df.select(*columns).where(" and ".join(f"`{c}` is not null" for c in columns)))
+    ranked = rows
+    for c in columns:
+        table = stored(rank_table(rows, c, f"_r_{c}"))  # of the plain rows, so that joins don't nest
+        few = table.limit(SMALL + 1).count() <= SMALL
+        ranked = ranked.join(F.broadcast(table) if few else table, c)
     cells = [F.corr(f"_r_{a}", f"_r_{b}").alias(f"{a}|{b}") for a in left for b in right]
     row = ranked.agg(*cells)
     pairs = F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"`{a}|{b}`").alias("rho")) for a in left for b in right))
@@ -142,9 +179,9 @@ def best_per_group(rows: DataFrame, by: list[str], value: str, tie: str) -> Data
 def class_summary(df: DataFrame, value: str, by: list[str], sample: bool = True) -> DataFrame:
     """Count, mean, deviation, median and the central 68 % bounds of a column."""
     std = F.stddev_samp(value) if sample else F.stddev_pop(value)
-    q = F.percentile(value, F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84)))
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), std.alias("std"), q.alias("_q"))
-    return out.select(*by, "n", "mean", "std", *(F.col("_q")[k].alias(c) for k, c in enumerate(("q16", "median", "q84"))))
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), std.alias("std"))
+    out = out.join(quantiles(df, value, [0.16, 0.5, 0.84], tuple(by)).drop("n"), by, "left")
+    return out.select(*by, "n", "mean", "std", *(F.col("q")[k].alias(c) for k, c in enumerate(("q16", "median", "q84"))))
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, by: list[str]) -> DataFrame:
@@ -193,11 +230,28 @@ def enclosed_level(grid: DataFrame, share: float) -> DataFrame:
 
 
 def enough_points(df: DataFrame, order: str, most: int = 2400) -> DataFrame:
-    """At most ``most`` rows at evenly spaced places of the order."""
+    """At most ``most`` rows at evenly spaced places of the order, whose values are distinct."""
     n = df.count()
     if n <= most:
         return df
-    ranked = df.withColumn("_k", F.row_number().over(Window.orderBy(order)) - 1)
+    ranked = running_sums(df.withColumn("_one", F.lit(1)), order, {"_k": "_one"}, inclusive=False)
     step = (n - 1) / (most - 1)
     place = F.round(F.round(F.col("_k") / step) * step)
-    return ranked.where(F.col("_k") == place).drop("_k")
+    return ranked.where(F.col("_k") == place).select(*df.columns)
+
+
+def visible(curve: DataFrame, least: float = 0.45) -> DataFrame:
+    """Points of ROC curves that a figure shows: efficiencies from ``least`` on, with a finite rejection."""
+    return curve.where((F.col("tpr") >= least) & ~F.col("censored"))
+
+
+def score_validity(df: DataFrame, by: tuple[str, ...] = ("method",)) -> DataFrame:
+    """(by, n, n_invalid): scores that are null, not finite or outside [0, 1]."""
+    bad = ~finite(F.col("score")) | ~F.col("score").between(0, 1)
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.coalesce(bad, F.lit(True)).cast("long")).alias("n_invalid"))
+
+
+def dropout_shift(before: DataFrame, after: DataFrame, key: str = "jet", score: str = "score") -> DataFrame:
+    """One row: mean and 95 % quantile of the change of a score when tracks are dropped."""
+    both = before.select(key, F.col(score).alias("_a")).join(after.select(key, F.col(score).alias("_b")), key).withColumn("d", F.abs(F.col("_a") - F.col("_b")))
+    return quantiles(both, "d", [0.95]).select("n", F.col("q")[0].alias("p95_shift")).crossJoin(F.broadcast(both.agg(F.avg("d").alias("mean_shift"))))

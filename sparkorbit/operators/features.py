@@ -1,17 +1,29 @@
-"""Feature maps: ``fit(df)`` reads quantiles or moments in one aggregation, ``transform`` is a projection."""
+"""Feature maps: ``fit(df)`` reads quantiles and moments, ``transform`` is a projection.
+
+Null, NaN and infinite values are missing.  Quantiles come from counts of distinct
+values, so no task holds a whole column.  ``save`` and ``load_map`` keep a fitted map
+as JSON.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clean_sentinel, clip, met_pair, pair_kinematics, topology, wrap_angle
+from ..functions.prefix import quantiles
+from ..functions.scalars import clean_sentinel, clip, finite, met_pair, pair_kinematics, topology, wrap_angle
 
 
-def _q(c: Column | str, *shares: float) -> Column:
-    return F.percentile(c, F.array(*map(F.lit, shares)))
+def column_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) -> dict[str, list[float]]:
+    """Quantiles of the finite values of several columns, by one pass over (column, value) counts; zeros without values."""
+    each = F.array(*(F.struct(F.lit(n).alias("c"), F.when(finite(v.cast("double")), v.cast("double")).alias("v")) for n, v in columns.items()))
+    rows = df.select(F.explode(each).alias("e")).select("e.*")
+    held = {r["c"]: r["q"] for r in quantiles(rows, "v", shares, ("c",)).collect()}  # a row for each column
+    return {n: held.get(n) or [0.0] * len(shares) for n in columns}
 
 
 @dataclass
@@ -26,9 +38,9 @@ class RobustMap:
     params: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> RobustMap:
-        row = df.agg(*(_q(F.when(~F.isnan(c), F.col(c)), self.low, 0.5, self.high).alias(c) for c in self.columns)).first()
+        held = column_quantiles(df, {c: F.col(c) for c in self.columns}, [self.low, 0.5, self.high])
         for c in self.columns:
-            a, m, b = row[c] or (0.0, 0.0, 0.0)
+            a, m, b = held[c]
             self.params[c] = (m, b - a if b - a > (0 if self.flat == 1.0 else self.flat) else self.flat)
         return self
 
@@ -47,14 +59,17 @@ class StandardMap:
     params: dict[str, tuple[float, float, float]] = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> StandardMap:
-        medians = df.agg(*(F.median(c).alias(c) for c in self.columns)).first()
-        filled = {c: F.coalesce(F.col(c), F.lit(medians[c] if medians[c] is not None else 0.0)) for c in self.columns}
-        row = df.agg(*(F.struct(F.avg(v), F.stddev_pop(v)).alias(c) for c, v in filled.items())).first()
-        self.params = {c: (medians[c] or 0.0, row[c][0], row[c][1]) for c in self.columns if row[c][1]}
+        medians = {c: q[0] for c, q in column_quantiles(df, {c: F.col(c) for c in self.columns}, [0.5]).items()}
+        row = df.agg(*(F.struct(F.avg(v), F.stddev_pop(v)).alias(c) for c, v in ((c, self._filled(c, medians[c])) for c in self.columns))).first()
+        self.params = {c: (medians[c], row[c][0], row[c][1]) for c in self.columns if row[c][1]}
         return self
 
+    @staticmethod
+    def _filled(c: str, median: float) -> Column:
+        return F.when(finite(F.col(c).cast("double")), F.col(c).cast("double")).otherwise(F.lit(median))
+
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.select(*(c for c in df.columns if c not in self.columns), *(((F.coalesce(F.col(c), F.lit(m)) - mean) / std).alias(c) for c, (m, mean, std) in self.params.items()))
+        return df.select(*(c for c in df.columns if c not in self.columns), *(((self._filled(c, m) - mean) / std).alias(c) for c, (m, mean, std) in self.params.items()))
 
 
 @dataclass
@@ -78,9 +93,9 @@ class ImputeMap:
 
     def fit(self, df: DataFrame) -> ImputeMap:
         clean = {c: clean_sentinel(F.col(c)) for c in self.columns}
-        row = df.agg(*(F.struct(F.median(v), F.sum(v.isNull().cast("long"))).alias(c) for c, v in clean.items())).first()
-        self.medians = {c: row[c][0] if row[c][0] is not None else 0.0 for c in self.columns}
-        self.flagged = [c for c in self.columns if row[c][1]]
+        row = df.agg(*(F.sum(v.isNull().cast("long")).alias(c) for c, v in clean.items())).first()
+        self.medians = {c: q[0] for c, q in column_quantiles(df, clean, [0.5]).items()}
+        self.flagged = [c for c in self.columns if row[c]]
         scaled = [*self.columns, *(f"{c}_missing" for c in self.flagged if self.scale_flags)]
         self.robust = RobustMap(scaled, limit=self.limit).fit(self._filled(df))
         return self
@@ -99,28 +114,222 @@ def periodic(df: DataFrame, angle: str, reference: str | None = None) -> DataFra
 HIGGS_OBJECTS = ("PRI_tau", "PRI_lep", "PRI_jet_leading", "PRI_jet_subleading")
 
 
+#: Pairs of them whose kinematics are added.
+HIGGS_PAIRS = (("PRI_tau", "PRI_lep"), ("PRI_tau", "PRI_jet_leading"), ("PRI_lep", "PRI_jet_leading"), ("PRI_jet_leading", "PRI_jet_subleading"))
+
+
 def higgs_physics(df: DataFrame) -> DataFrame:
-    """Angles relative to the missing momentum, pair kinematics and topology of the Higgs columns."""
-    out = df
-    for c in [c for c in df.columns if c.startswith(("PRI_", "DER_"))]:
-        out = out.withColumn(c, clean_sentinel(F.col(c)))
+    """Angles as sin and cos, kinematics of objects with the missing momentum and of pairs, topology of the Higgs columns."""
+    clean = {c: clean_sentinel(F.col(c)) for c in df.columns if c.startswith(("PRI_", "DER_"))}
+    out = df.withColumns(clean)
     new: dict[str, Column] = {}
+    for c in clean:
+        if c.endswith("_phi"):
+            new |= {f"{c}__sin": F.sin(c), f"{c}__cos": F.cos(c)}
     for a in HIGGS_OBJECTS:
-        new |= {f"{a}_met_{k}": v for k, v in met_pair(F.col(f"{a}_pt"), F.col(f"{a}_phi"), F.col("PRI_met"), F.col("PRI_met_phi")).items()}
-        rel = wrap_angle(F.col(f"{a}_phi") - F.col("PRI_met_phi"))
-        new |= {f"{a}_phi_rel_sin": F.sin(rel), f"{a}_phi_rel_cos": F.cos(rel)}
-    for k, a in enumerate(HIGGS_OBJECTS):
-        for b in HIGGS_OBJECTS[k + 1 :]:
-            new |= {f"{a[4:]}_{b[4:]}_{n}": v for n, v in pair_kinematics(*(F.col(f"{o}_{q}") for o in (a, b) for q in ("pt", "eta", "phi"))).items()}
+        new |= {f"{a[4:]}_met__{k}": v for k, v in met_pair(F.col(f"{a}_pt"), F.col(f"{a}_phi"), F.col("PRI_met"), F.col("PRI_met_phi")).items()}
+    for a, b in HIGGS_PAIRS:
+        new |= {f"{a[4:]}_{b[4:]}__{n}": v for n, v in pair_kinematics(*(F.col(f"{o}_{q}") for o in (a, b) for q in ("pt", "eta", "phi"))).items()}
     if "PRI_jet_num" in df.columns:
         kind = topology(F.col("PRI_jet_num"))
         new |= {f"topology_{n}": (kind == k).cast("double") for k, n in enumerate(("0", "1", "2plus"))}
-    return out.withColumns(new).drop(*(f"{a}_phi" for a in HIGGS_OBJECTS), "PRI_met_phi")
+    return out.withColumns(new).drop(*(c for c in clean if c.endswith("_phi")))
 
 
 def log_if_positive(df: DataFrame, columns: list[str], fitted: dict[str, bool] | None = None) -> tuple[DataFrame, dict[str, bool]]:
-    """log1p of the columns whose fitted minimum is not negative; the flags belong to the fit."""
+    """``df`` with <column>__log1p of the columns whose fitted minimum is not negative; the flags belong to the fit."""
     if fitted is None:
-        row = df.agg(*(F.min(c).alias(c) for c in columns)).first()
+        row = df.agg(*(F.min(F.when(finite(F.col(c)), F.col(c))).alias(c) for c in columns)).first()
         fitted = {c: row[c] is not None and row[c] >= 0 for c in columns}
-    return df.withColumns({c: F.log1p(F.greatest(F.col(c), F.lit(0.0))) for c in columns if fitted[c]}), fitted
+    return df.withColumns({f"{c}__log1p": F.when(F.col(c).isNotNull(), F.log1p(F.greatest(F.col(c), F.lit(0.0)))) for c in columns if fitted[c]}), fitted
+
+
+def _kept(df: DataFrame, columns: list[str]) -> list[str]:
+    return [c for c in df.columns if c not in columns]
+
+
+#: Parts of the names of columns whose logarithm is added if they are never negative.
+LOG_NAMES = ("_pt", "_mass", "_sumet")
+
+
+@dataclass
+class HiggsPhysicsMap:
+    """``higgs_physics`` with logarithms of momenta, masses and sums, medians for missing values, flags scaled like the rest."""
+
+    columns: list[str]
+    keys: tuple[str, ...] = ()
+    logged: dict[str, bool] = field(default_factory=dict)
+    impute: ImputeMap | None = None
+
+    def _mapped(self, df: DataFrame) -> DataFrame:
+        out = higgs_physics(df.select(*self.keys, *self.columns))
+        logs = [c for c in self.columns if any(n in c for n in LOG_NAMES) and c in out.columns]
+        out, self.logged = log_if_positive(out, logs, self.logged or None)
+        return out
+
+    def fit(self, df: DataFrame) -> HiggsPhysicsMap:
+        self.logged = {}
+        mapped = self._mapped(df)
+        self.impute = ImputeMap(_kept(mapped, list(self.keys)), scale_flags=True).fit(mapped)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.impute.transform(self._mapped(df))
+
+
+#: Angles of the compact Higgs map, of which the last is the reference.
+HIGGS_ANGLES = (*(f"{a}_phi" for a in HIGGS_OBJECTS), "PRI_met_phi")
+
+
+@dataclass
+class CompactHiggsMap:
+    """Columns that are no angle, sin and cos of four angles against that of the missing momentum, unscaled flags.
+
+    A flag stands for every original column with missing values in the fit.
+    """
+
+    columns: list[str]
+    keys: tuple[str, ...] = ()
+    flagged: list[str] = field(default_factory=list)
+    impute: ImputeMap | None = None
+
+    def _mapped(self, df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+        missing = [c for c in HIGGS_ANGLES if c not in self.columns]
+        if missing:
+            raise ValueError(f"columns are missing: {missing}")
+        clean = {c: clean_sentinel(F.col(c)) for c in self.columns}
+        plain = {c: v for c, v in clean.items() if not c.endswith("_phi")}
+        for a in HIGGS_OBJECTS:
+            d = clean[f"{a}_phi"] - clean["PRI_met_phi"]
+            plain |= {f"sin_dphi_{a}_met": F.sin(d), f"cos_dphi_{a}_met": F.cos(d)}
+        return df.select(*self.keys, *(v.alias(c) for c, v in plain.items()), *(v.isNull().cast("double").alias(f"missing__{c}") for c, v in clean.items())), plain
+
+    def fit(self, df: DataFrame) -> CompactHiggsMap:
+        mapped, plain = self._mapped(df)
+        row = mapped.agg(*(F.max(f"missing__{c}").alias(c) for c in self.columns)).first()
+        self.flagged = [c for c in self.columns if row[c]]
+        self.impute = ImputeMap(list(plain)).fit(mapped)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        mapped, plain = self._mapped(df)
+        out = self.impute.transform(mapped)
+        return out.select(*self.keys, *plain, *(f"missing__{c}" for c in self.flagged))
+
+
+#: Columns of the SUSY table, its angles and their pairs.
+SUSY_COLUMNS = (
+    "lep1_pt", "lep1_eta", "lep1_phi", "lep2_pt", "lep2_eta", "lep2_phi", "missing_energy", "missing_phi",
+    "MET_rel", "axial_MET", "M_R", "M_TR_2", "R", "MT2", "S_R", "M_Delta_R", "dPhi_r_b", "cos_theta_r1",
+)
+SUSY_ANGLES = (2, 5, 7)
+SUSY_PAIRS = ((2, 5, "lep1_lep2"), (2, 7, "lep1_met"), (5, 7, "lep2_met"))
+
+
+@dataclass
+class SusyMap:
+    """15 columns, sin and cos of three angles and of their differences, medians for missing values, scaled flags."""
+
+    columns: list[str] = field(default_factory=lambda: list(SUSY_COLUMNS))
+    keys: tuple[str, ...] = ()
+    impute: ImputeMap | None = None
+
+    def _mapped(self, df: DataFrame) -> DataFrame:
+        if len(self.columns) != 18:
+            raise ValueError("the SUSY map has 18 columns")
+        x = [clean_sentinel(F.col(c)) for c in self.columns]
+        out = {c: x[k] for k, c in enumerate(self.columns) if k not in SUSY_ANGLES}
+        for k in SUSY_ANGLES:
+            out |= {f"sin_{self.columns[k]}": F.sin(x[k]), f"cos_{self.columns[k]}": F.cos(x[k])}
+        for a, b, name in SUSY_PAIRS:
+            out |= {f"sin_dphi_{name}": F.sin(x[a] - x[b]), f"cos_dphi_{name}": F.cos(x[a] - x[b])}
+        return df.select(*self.keys, *(v.alias(c) for c, v in out.items()))
+
+    def fit(self, df: DataFrame) -> SusyMap:
+        mapped = self._mapped(df)
+        self.impute = ImputeMap(_kept(mapped, list(self.keys)), scale_flags=True).fit(mapped)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.impute.transform(self._mapped(df))
+
+
+@dataclass
+class TrackScaler:
+    """Fields of nested tracks: (x - median) / (q90 - q10) over the tracks of all jets, clipped.
+
+    A range below ``flat`` divides by it; missing values become 0 after scaling.
+    """
+
+    fields: list[str]
+    limit: float = 10.0
+    flat: float = 1e-6
+    params: dict[str, tuple[float, float]] = field(default_factory=dict)
+
+    def fit(self, df: DataFrame, tracks: str = "tracks") -> TrackScaler:
+        rows = df.select(F.explode(tracks).alias("t"))
+        held = column_quantiles(rows, {f: F.col("t")[f] for f in self.fields}, [0.1, 0.5, 0.9])
+        self.params = {f: (m, max(b - a, self.flat)) for f, (a, m, b) in held.items()}
+        return self
+
+    def transform(self, df: DataFrame, tracks: str = "tracks") -> DataFrame:
+        if not self.params:
+            raise ValueError("not fitted")
+
+        def scaled(t: Column) -> Column:
+            for f, (m, s) in self.params.items():
+                v = t[f].cast("double")
+                t = t.withField(f, F.when(finite(v), clip((v - m) / s, -self.limit, self.limit)).otherwise(F.lit(0.0)))
+            return t
+
+        return df.withColumn(tracks, F.transform(tracks, scaled))
+
+
+@dataclass
+class IdentityMap:
+    """The columns as they are; a value that is not finite makes the query fail."""
+
+    columns: list[str]
+
+    def fit(self, df: DataFrame) -> IdentityMap:
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        missing = [c for c in self.columns if c not in df.columns]
+        if missing:
+            raise ValueError(f"columns are missing: {missing}")
+        refused = F.raise_error(F.lit("a feature is not finite")).cast("double")
+        return df.withColumns({c: F.when(finite(F.col(c).cast("double")), F.col(c).cast("double")).otherwise(refused) for c in self.columns})
+
+
+#: Maps by the name of a data set or of what they do.
+MAPS = {"robust": RobustMap, "standard": StandardMap, "impute": ImputeMap, "higgs": CompactHiggsMap, "higgs_physics": HiggsPhysicsMap, "susy": SusyMap, "densenet": StandardMap, "tracks": TrackScaler, "identity": IdentityMap}
+
+
+def make_map(name: str, columns: list[str], **how):
+    """The feature map of this name."""
+    if name not in MAPS:
+        raise ValueError(f"a map is one of {sorted(MAPS)}")
+    return MAPS[name](columns, **how)
+
+
+def save_map(fitted, path: str) -> None:
+    """A fitted map as JSON."""
+    kind = next(k for k, v in MAPS.items() if type(fitted) is v)
+    Path(path).write_text(json.dumps({"kind": kind, "map": asdict(fitted)}, indent=1))
+
+
+def load_map(path: str):
+    """The map that ``save_map`` wrote."""
+
+    def made(kind: type, held: dict):
+        out = kind(**held)
+        for name, inner in (("impute", ImputeMap), ("robust", RobustMap)):
+            if isinstance(getattr(out, name, None), dict):
+                setattr(out, name, made(inner, getattr(out, name)))
+        if hasattr(out, "params"):
+            out.params = {c: tuple(v) for c, v in out.params.items()}
+        return out
+
+    data = json.loads(Path(path).read_text())
+    return made(MAPS[data["kind"]], data["map"])

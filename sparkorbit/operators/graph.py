@@ -109,7 +109,7 @@ def query_affinities(queries: DataFrame, landmarks: DataFrame, k: int = 8, k_sig
     A query's scale of zero takes the median scale of the landmarks, so the result
     does not depend on how queries are batched.
     """
-    near_l = knn(landmarks, landmarks, k, id_col, vector_col, exclude_self=True)
+    near_l = knn(landmarks, landmarks, min(k, k_sigma), id_col, vector_col, exclude_self=True)
     scales = local_scales(near_l, min(k_sigma, k))
     near = knn(queries, landmarks, k, id_col, vector_col)
     own = near.where(F.col("rank") == min(k_sigma, k)).select("src", F.sqrt("d2").alias("_s"))
@@ -118,6 +118,11 @@ def query_affinities(queries: DataFrame, landmarks: DataFrame, k: int = 8, k_sig
     return near.join(own, "src").join(scales.toDF("dst", "_b"), "dst").select("src", "dst", _weight(F.col("d2"), F.col("_a"), F.col("_b")).alias("w"))
 
 
+def dense_affinities(queries: DataFrame, landmarks: DataFrame, k_sigma: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(src, dst, w): weights of all landmarks for each query, of the scales of ``query_affinities``."""
+    return query_affinities(queries, landmarks, max(1, landmarks.count()), k_sigma, id_col, vector_col)
+
+
 def class_priors(labels: DataFrame, label: str = "y") -> DataFrame:
     """(prior0, prior1) of labels 0 and 1; a missing class gives null."""
     p = F.avg(label)

@@ -146,3 +146,57 @@ def hard_examples(df: DataFrame, n: int, key: str, score: str = "score", label:
     """The ``n`` background rows of the highest and signal rows of the lowest scores."""
     order = Window.partitionBy(label).orderBy(F.when(F.col(label) == 1, F.col(score)).otherwise(-F.col(score)), key)
     return df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
+def decomposition(state: DataFrame, m0: DataFrame, m1: DataFrame) -> DataFrame:
+    """(id, p, diagonal, diagonal_only, cross) of class 1: parts over the sum of both classes, ``diagonal_only`` over that of the diagonals."""
+    zero, one = (probability(state, m).select("id", F.col("p").alias(f"_p{c}"), F.col("diagonal").alias(f"_d{c}")) for c, m in enumerate((m0, m1)))
+    both = zero.join(one, "id")
+    all_, diagonal = F.greatest(F.col("_p0") + F.col("_p1"), F.lit(1e-12)), F.greatest(F.col("_d0") + F.col("_d1"), F.lit(1e-12))
+    return both.select("id", (F.col("_p1") / all_).alias("p"), (F.col("_d1") / all_).alias("diagonal"), (F.col("_d1") / diagonal).alias("diagonal_only"), ((F.col("_p1") - F.col("_d1")) / all_).alias("cross"))
+
+
+def summary(r: Readout) -> dict:
+    """For each class the weight off the diagonal and the smallest eigenvalue; how far the matrices are from a complete set."""
+    norm = np.linalg.norm
+    rows = [{"class": c, "off_diagonal_norm": float(norm(m - np.diag(np.diag(m)))), "off_diagonal_share": float(norm(m - np.diag(np.diag(m))) / max(norm(m), 1e-12)), "least_eigenvalue": float(np.linalg.eigvalsh(m).min())} for c, m in enumerate(r.m)]
+    return {"classes": rows, "completeness_error": float(np.abs(r.m.sum(axis=0) - np.eye(r.m.shape[1])).max()), "loss": r.loss}
+
+
+def compactness(selected: list[int], dimensions: dict[str, int]) -> dict:
+    """The number of selected modes against the dimensions of the stages before."""
+    k = len(selected)
+    return {"modes": k, "selected": sorted(selected), "dimensions": dimensions, "ratios": {n: k / d for n, d in dimensions.items()}, "reduces": {n: k < d for n, d in dimensions.items()}}
+
+
+def bounded_rows(states: DataFrame, most: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """States (id, a: array, y) of a bounded table as arrays, in the order of the id; more rows are refused."""
+    rows = states.select("id", "a", "y").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a readout is fitted on at most {most} rows")
+    rows.sort(key=lambda r: r["id"])
+    return np.array([r["a"] for r in rows], float), np.array([r["y"] for r in rows], int)
+
+
+def fit_with_hard_examples(train: DataFrame, mining: DataFrame, iterations: int = 2, share: float = 0.1, weight: float = 3.0, seed: int = 0, **how) -> tuple[Readout, list[dict]]:
+    """A readout fitted again with the hardest rows of ``mining`` at a higher weight; and a record of every fit.
+
+    Both tables have (id, a, y) and both classes.  In every iteration the background
+    rows of the highest and the signal rows of the lowest probability, ceil(share *
+    smaller class) of each, join the training rows.
+    """
+    a, y = bounded_rows(train)
+    counts = {r["y"]: r["n"] for r in mining.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if set(y.tolist()) != {0, 1} or (iterations and set(counts) != {0, 1}):
+        raise ValueError("both tables need both classes")
+    out = fit_readout(a, y, seed=seed, **how)
+    path = [{"iteration": 0, "rows": len(y), "hard": 0, "loss": out.loss}]
+    hard = max(1, -int(-share * min(counts.values()) // 1)) if iterations else 0
+    for k in range(1, iterations + 1):
+        scored = mining.withColumn("score", quadratic(F.col("a"), out.m[1]))
+        b, z = bounded_rows(hard_examples(scored, hard, "id"))
+        w = np.concatenate((np.ones(len(y)), np.full(len(z), weight)))
+        out = fit_readout(np.vstack((a, b)), np.concatenate((y, z)), weights=w, seed=seed + 1009 * k, **how)
+        p = np.einsum("ni,ij,nj->n", b, out.m[1], b)
+        path.append({"iteration": k, "rows": len(w), "hard": len(z), "loss": out.loss, "hard_probability": float(p.mean())})
+    return out, path

@@ -100,6 +100,15 @@ def stable_prefix(stable: DataFrame) -> DataFrame:
     return flags.agg((F.coalesce(F.min(F.when(~F.col("stable"), F.col("k"))), F.max("k") + 1) - 1).alias("prefix"))
 
 
+def extend_stable(affinities: DataFrame, modes: DataFrame, potential: DataFrame, eigen: DataFrame, alpha: float = 1.0, beta: float = 1.0, strict: bool = True) -> DataFrame:
+    """(id, k, phi) of the extension; an unstable mode is refused, or ends the common prefix that is returned."""
+    ext = extend_modes(affinities, modes, potential, eigen, alpha, beta)
+    bad = ext.where(~F.col("stable")).agg(F.min("k")).first()[0]
+    if bad is not None and strict:
+        raise ArithmeticError(f"mode {bad} is not stable")
+    return ext.where(F.col("k") < (bad if bad is not None else 1 << 30)).select("id", "k", "phi")
+
+
 def states(modes: DataFrame, selected: list[int] | None = None) -> DataFrame:
     """(id, k, a): values of the selected modes of each row, of unit length."""
     rows = modes if selected is None else modes.where(F.col("k").isin(*selected))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import signed_log1p, splitmix64, unsigned_mod
+from ..functions.scalars import finite, signed_log1p, splitmix64, unsigned_mod
 
 QUANTILES = (0.10, 0.25, 0.50, 0.75, 0.90)
 
@@ -22,7 +22,17 @@ def top_k(tracks: Column, value: str, k: int) -> Column:
     return F.when(n > 0, F.transform(F.slice(F.array_sort(keyed), 1, k), lambda x: x["t"])).otherwise(tracks)
 
 
-#: The transform of each track field; others stay as they are.
+#: The reconstructed fields of a track.
+FIELDS = (
+    "d0", "z0SinTheta", "dphi", "deta", "qOverP",
+    "lifetimeSignedD0Significance", "lifetimeSignedZ0SinThetaSignificance",
+    "phiUncertainty", "thetaUncertainty", "qOverPUncertainty",
+    "numberOfPixelHits", "numberOfSCTHits",
+    "numberOfInnermostPixelLayerHits", "numberOfNextToInnermostPixelLayerHits",
+    "numberOfInnermostPixelLayerSharedHits", "numberOfInnermostPixelLayerSplitHits",
+    "numberOfPixelSharedHits", "numberOfPixelSplitHits", "numberOfSCTSharedHits",
+)
+#: The transform of each track field; others stay as they are.
 TRANSFORMS = {
     "d0": lambda x: signed_log1p(x),
     "z0SinTheta": lambda x: signed_log1p(x),
@@ -42,10 +52,13 @@ def transform_field(name: str, x: Column) -> Column:
 
 
 def summaries(jets: DataFrame, tracks: DataFrame, jet: str, fields: list[str]) -> DataFrame:
-    """Mean, deviation (population) and quantiles of each field over a jet's tracks; 0 without tracks."""
+    """Mean, deviation (population) and quantiles of each field over a jet's tracks.
+
+    Null, NaN and infinite values count as missing; 0 without values.
+    """
     aggs = []
     for f in fields:
-        v = F.when(~F.isnan(f), F.col(f))
+        v = F.when(finite(F.col(f)), F.col(f))
         aggs += [F.avg(v).alias(f"{f}_mean"), F.stddev_pop(v).alias(f"{f}_std"), F.percentile(v, F.array(*map(F.lit, QUANTILES))).alias(f"_{f}")]
     per = tracks.groupBy(jet).agg(*aggs)
     names = [c for f in fields for c in (f"{f}_mean", f"{f}_std")]
@@ -76,6 +89,69 @@ def observables(tracks: Column, significance: str, deta: str, dphi: str, hits: s
     }
 
 
+#: The jet features by what they describe.
+FEATURE_GROUPS = {
+    "Impact parameter": ("max_abs_d0_significance", "mean_top3_abs_d0_significance", "max_abs_z0_significance"),
+    "Track kinematics": ("track_angular_rms", "mean_abs_deta", "mean_abs_dphi", "mean_abs_q_over_p"),
+    "Hit structure": ("mean_pixel_hits", "mean_sct_hits", "mean_shared_hits", "mean_split_hits"),
+    "Jet context": ("jet_log_pt", "jet_abs_eta", "tracks_used", "tracks_total"),
+}
+
+
+def jet_features(tracks: Column, fields: dict[str, str | list[str]], log_pt: Column, eta: Column, total: Column) -> dict[str, Column]:
+    """The features of ``FEATURE_GROUPS`` of an ordered array of tracks; means and extremes of none are 0.
+
+    ``fields`` names the fields d0, z0 (significances), deta, dphi, q_over_p, pixel
+    and sct, and lists of fields, summed, as shared and split.  The leading three
+    tracks are the first three of the array.
+    """
+    zero = F.lit(0.0)
+
+    def mean(t: Column, f) -> Column:
+        return F.coalesce(F.try_divide(F.aggregate(t, zero, lambda a, x: a + f(x).cast("double")), F.size(t)), zero)
+
+    get = lambda name: lambda x: x[fields[name]]
+    size = lambda name: lambda x: F.abs(x[fields[name]])
+    summed = lambda name: lambda x: sum((x[f] for f in fields[name]), F.lit(0))
+    most = lambda name: F.coalesce(F.array_max(F.transform(tracks, size(name))).cast("double"), zero)
+    angle = lambda x: x[fields["deta"]] * x[fields["deta"]] + x[fields["dphi"]] * x[fields["dphi"]]
+    return {
+        "max_abs_d0_significance": most("d0"),
+        "mean_top3_abs_d0_significance": mean(F.slice(tracks, 1, 3), size("d0")),
+        "max_abs_z0_significance": most("z0"),
+        "track_angular_rms": F.sqrt(mean(tracks, angle)),
+        "mean_abs_deta": mean(tracks, size("deta")),
+        "mean_abs_dphi": mean(tracks, size("dphi")),
+        "mean_abs_q_over_p": mean(tracks, size("q_over_p")),
+        "mean_pixel_hits": mean(tracks, get("pixel")),
+        "mean_sct_hits": mean(tracks, get("sct")),
+        "mean_shared_hits": mean(tracks, summed("shared")),
+        "mean_split_hits": mean(tracks, summed("split")),
+        "jet_log_pt": log_pt,
+        "jet_abs_eta": F.abs(eta),
+        "tracks_used": F.size(tracks).cast("double"),
+        "tracks_total": total.cast("double"),
+    }
+
+
+def track_batch(jets: DataFrame, tracks: Column, fields: list[str], significance: str, k: int, pt: str = "pt", eta: str = "eta") -> DataFrame:
+    """``jets`` with ``x``, the k leading tracks as arrays of transformed fields, and ``context``.
+
+    Tracks are those of the largest absolute significance; ``context`` counts all of
+    them.  A jet without tracks has an empty ``x``.
+    """
+    n = F.when(tracks.isNotNull(), F.size(tracks)).otherwise(0)
+    x = F.transform(top_k(tracks, significance, k), lambda t: F.array(*(transform_field(f, t[f]) for f in fields)))
+    cols = context(F.col(pt), F.col(eta), n)
+    return jets.withColumns({"x": F.coalesce(x, F.array().cast("array<array<double>>")), "context": F.array(*(c.cast("double") for c in cols.values()))})
+
+
+def known_flavours(jets: DataFrame, label: str = "label_raw") -> DataFrame:
+    """``jets`` with y (1 for flavour 5, 0 for 0); other and null flavours make the query fail."""
+    refused = F.raise_error(F.lit("a flavour is neither 0 nor 5")).cast("int")
+    return jets.withColumn("y", F.when(F.col(label) == 5, 1).when(F.col(label) == 0, 0).otherwise(refused))
+
+
 def relations(tracks: DataFrame, jet: str, slot: str, coords: list[str]) -> DataFrame:
     """(jet, i, j, d2): squared distances of the ordered pairs of different tracks of a jet.
 
@@ -112,6 +188,50 @@ def messages(adjacency: DataFrame, values: DataFrame, jet: str, slot: str, value
     return out
 
 
+REPRESENTATIONS = ("set", "graph", "sequential", "parallel", "hybrid")
+
+
+def applied(adjacency: DataFrame, values: DataFrame, jet: str, slot: str, fields: list[str]) -> DataFrame:
+    """(jet, slot, fields): the adjacency applied to fields of the tracks; 0 for a track without neighbours."""
+    right = values.select(jet, F.col(slot).alias("j"), *fields)
+    sums = adjacency.join(right, [jet, "j"]).groupBy(jet, F.col("i").alias(slot)).agg(*(F.sum(F.col("w") * F.col(f)).alias(f) for f in fields))
+    return values.select(jet, slot).join(sums, [jet, slot], "left").na.fill(0.0, fields)
+
+
+def node_inputs(tracks: DataFrame, jet: str, slot: str, fields: list[str], representation: str, coords: list[str], k: int = 4, temperature: float = 1.0, steps: int = 2) -> DataFrame:
+    """(jet, slot, x): what an encoder reads of a track, by representation.
+
+    set: its fields; graph: fields, messages A x of the k nearest, x - A x and x * A x;
+    sequential: fields and 1 .. ``steps`` messages; parallel: as graph, with the heat
+    kernel of all tracks; hybrid: sequential, then the kernel's messages and x - them.
+    """
+    if representation not in REPRESENTATIONS:
+        raise ValueError(f"a representation is one of {REPRESENTATIONS}")
+    own = tracks.select(jet, slot, *(F.col(f).cast("double").alias(f) for f in fields))
+    pairs = relations(tracks, jet, slot, coords)
+
+    def named(df: DataFrame, name: str) -> DataFrame:
+        return df.select(jet, slot, F.array(*fields).alias(name))
+
+    out, blocks = named(own, "x0"), ["x0"]
+    if representation in ("graph", "sequential", "hybrid"):
+        near, now = local_adjacency(pairs, jet, k), own
+        for s in range(1, (1 if representation == "graph" else steps) + 1):
+            now = applied(near, now, jet, slot, fields)
+            out = out.join(named(now, f"x{s}"), [jet, slot])
+            blocks.append(f"x{s}")
+    if representation in ("parallel", "hybrid"):
+        out = out.join(named(applied(parallel_adjacency(pairs, jet, temperature), own, jet, slot, fields), "all"), [jet, slot])
+        blocks.append("all")
+    x, last = F.col("x0"), F.col(blocks[-1])
+    parts = [F.col(b) for b in blocks]
+    if representation in ("graph", "parallel", "hybrid"):
+        parts.append(F.zip_with(x, last, lambda a, b: a - b))
+    if representation in ("graph", "parallel"):
+        parts.append(F.zip_with(x, last, lambda a, b: a * b))
+    return out.select(jet, slot, F.concat(*parts).alias("x"))
+
+
 def dropout(tracks: Column, jet: Column, keep: float, seed: int = 0) -> Column:
     """Tracks kept by a hash of jet and place; the first one stays if none is."""
     kept = F.filter(tracks, lambda t, i: unsigned_mod(splitmix64(jet * 1000 + i, seed), 10_000) < int(round(keep * 10_000)))

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..functions.intervals import paired_binomial
-from ..operators import align, bootstrap, dimension, evaluate, features, graph, readout, roles, spectrum
+from ..functions.stored import stored
+from ..operators import align, bootstrap, dimension, evaluate, features, graph, readout, roles, selection, spectrum
 from ..operators import tracks as tk
+from ..sources import artifacts, tables
+from ..sources import jets as scan
 from . import proxies as px
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,10 +44,23 @@ def fiducial_filter(spark, sf):
     return j.where(roles.fiducial(F.col("pt") / 1000, F.col("eta"), F.col("label_raw"))).select("source_row", "event_number", "label_raw", "pt", "eta")
 
 
+def _odd_jets(spark, sf):
+    """Jets of which some have a null, an infinite or a NaN coordinate."""
+    row = F.col("source_row")
+    pt = F.when(row % 13 == 0, F.lit(None)).when(row % 17 == 0, F.lit(float("inf"))).otherwise(F.col("pt"))
+    eta = F.when(row % 19 == 0, F.lit(float("nan"))).otherwise(F.col("eta"))
+    return px.jets(spark, sf).withColumns({"pt": pt, "eta": eta})
+
+
 @query
 def fiducial_audit(spark, sf):
-    j = px.jets(spark, sf)
-    return roles.fiducial_audit(j, F.col("pt") / 1000, F.col("eta"), F.col("label_raw"))
+    return roles.fiducial_audit(_odd_jets(spark, sf), F.col("pt") / 1000, F.col("eta"), F.col("label_raw"))
+
+
+@query
+def fiducial_pilot(spark, sf):
+    j = _odd_jets(spark, sf)
+    return j.where(roles.fiducial(F.col("pt") / 1000, F.col("eta"), F.col("label_raw"), pilot=True)).select("source_row", "label_raw")
 
 
 @query
@@ -54,8 +70,14 @@ def event_cap(spark, sf):
 
 @query
 def label_encoding(spark, sf):
-    j = px.jets(spark, sf)
-    return j.groupBy("label_raw", (F.col("label_raw") == 5).cast("int").alias("y")).agg(F.count("*").alias("n"))
+    text = F.when(F.col("label_raw") == 5, " S ").when(F.col("source_row") % 2 == 0, "Background").when(F.col("source_row") % 3 == 0, "0.0").otherwise("b")
+    return tables.encode_labels(px.jets(spark, sf).withColumn("label", text), "label").groupBy("label", "y").agg(F.count("*").alias("n"))
+
+
+@query
+def label_encoding_by_order(spark, sf):
+    o = px.table(spark, sf, "orders").where("o_orderstatus <> 'P'")
+    return tables.encode_labels(o, "o_orderstatus").groupBy("o_orderstatus", "y").agg(F.count("*").alias("n"))
 
 
 @query
@@ -102,24 +124,88 @@ def splitmix_split(spark, sf):
 
 @query
 def balanced_sample(spark, sf):
-    return roles.balanced_sample(px.two_flavours(spark, sf), 600, "source_row", seed=3).select("source_row", "y")
+    return roles.balanced_sample(px.two_flavours(spark, sf), 0, "source_row", seed=3).select("source_row", "y")
+
+
+def _urgent(spark, sf):
+    """Orders by whether they are urgent: a rarer class."""
+    o = px.table(spark, sf, "orders")
+    return o.select(F.col("o_orderkey").alias("source_row"), F.col("o_custkey").alias("event_number"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("y"))
 
 
 @query
 def stratified_take(spark, sf):
-    b = px.two_flavours(spark, sf).where("y = 0 or source_row % 40 = 0")
-    return roles.stratified_take(b, 2000, "source_row", seed=9).select("source_row", "y")
+    return roles.stratified_take(_urgent(spark, sf), 8000, "source_row", seed=9).select("source_row", "y")
+
+
+@query
+def stratified_limit(spark, sf):
+    return roles.proportional_sample(_urgent(spark, sf), 700, "source_row", seed=11).select("source_row", "y")
+
+
+@query
+def random_split(spark, sf):
+    return roles.random_split(_urgent(spark, sf), 0.25, "source_row", seed=12).select("source_row", "role")
+
+
+@query
+def fixed_roles(spark, sf):
+    return roles.fixed_roles(_urgent(spark, sf), {"base": 600, "operator": 200, "audit": 101}, "source_row", seed=13).select("source_row", "y", "role")
+
+
+def _grouped(spark, sf):
+    """Jets in groups of one label: those of an event and flavour."""
+    return px.two_flavours(spark, sf).withColumn("grp", F.col("event_number") * 2 + F.col("y"))
+
+
+@query
+def group_limit(spark, sf):
+    return roles.group_limit(_grouped(spark, sf), 500, "grp", seed=14).select("source_row", "grp")
 
 
 @query
 def group_holdout(spark, sf):
-    return rounded(roles.group_holdout(px.two_flavours(spark, sf), "event_number", "y", 0.2, 4), "size_error", "balance_error")
+    return rounded(roles.group_holdout(_grouped(spark, sf), "grp", "y", 0.2, 4), "size_error", "balance_error")
 
 
 @query
 def tail_split(spark, sf):
     j = px.two_flavours(spark, sf)
-    return j.groupBy(roles.tail_split(F.col("source_row"), 15_000, 3_000).alias("role")).agg(F.count("*").alias("n"), F.sum("y").alias("n_pos"))
+    n = px.jets(spark, sf).count()
+    return j.groupBy(roles.tail_split(F.col("source_row"), n, n // 5).alias("role")).agg(F.count("*").alias("n"), F.sum("y").alias("n_pos"))
+
+
+@query
+def event_halves(spark, sf):
+    j = px.jets(spark, sf).where("event_number < 100")
+    return roles.event_halves(j, "event_number", 21).groupBy("event_number", "half").agg(F.count("*").alias("n"))
+
+
+@query
+def missing_classes(spark, sf):
+    j = _with_roles(spark, sf).where("role <> 'test' or y = 1")
+    return roles.missing_classes(j)
+
+
+@query
+def split_violations(spark, sf):
+    row = F.col("source_row")
+    j = _with_roles(spark, sf).withColumn("role", F.when(row % 211 == 0, "test").otherwise(F.col("role")))
+    j = j.withColumn("part", F.when(row % 3 == 0, "encoder").when(row % 5 == 0, "early_stop"))
+    j = j.where("source_row % 97 <> 0").union(j.where("source_row % 31 = 0"))
+    residues = {"base": {0, 1, 2, 3, 4, 5}, "operator": {6, 7}, "dimension": {8}, "test": {9}}
+    return roles.split_violations(j, px.jets(spark, sf).count(), residues, {"encoder": "base", "early_stop": "base"}, part="part")
+
+
+@query
+def jet_index(spark, sf):
+    return scan.jet_index(_odd_jets(spark, sf), seed=3)[0]
+
+
+@query
+def labels_and_events(spark, sf):
+    j = px.jets(spark, sf)
+    return scan.labels_and_events(j, scan.jet_index(j, seed=3)[0])
 
 
 @query
@@ -182,7 +268,7 @@ def alignment_faults(spark, sf):
 def paired_mistag(spark, sf):
     df = align_predictions(spark, sf)
     counts = align.paired_counts(df, "score_a", "score_b", 0.6, 0.6)
-    p = F.udf(lambda a, b: paired_binomial(int(a), int(b)), "double")
+    p = F.pandas_udf(lambda a, b: a.combine(b, lambda x, y: paired_binomial(int(x), int(y))).astype(float), "double")
     return counts.withColumn("p_value", r6(p("only_a", "only_b")))
 
 
@@ -216,13 +302,91 @@ def track_transform(spark, sf):
     return t.select("jet", "slot", r6(q, "q"), r6(d, "d"), r6(w, "w"))
 
 
+def _odd_tracks(spark, sf):
+    """Tracks of which some have a value that is not finite."""
+    t, k = px.tracks(spark, sf), F.col("jet") + F.col("slot")
+    s_ = F.when(k % 5 == 0, F.lit(float("inf"))).when(k % 7 == 0, F.lit(float("nan"))).when(k % 11 == 0, F.lit(None)).otherwise(F.col("s"))
+    return t.withColumn("s", s_)
+
+
 @query
 def track_summary(spark, sf):
     j = px.jets(spark, sf).select(F.col("source_row").alias("jet"))
-    out = tk.summaries(j, px.tracks(spark, sf), "jet", ["s", "z"])
+    out = tk.summaries(j, _odd_tracks(spark, sf), "jet", ["s", "z"])
     return rounded(out, *out.columns[1:], digits=9)  # quantiles have up to eight decimals: no ties
 
 
+@query
+def jet_summaries(spark, sf):
+    index = scan.jet_index(px.jets(spark, sf), seed=3)[0]
+    out = scan.jet_summaries(px.jets(spark, sf), index, px.tracks(spark, sf), ["z"])
+    return rounded(out.select("source_row", "role", "z_mean", "z_q50"), "z_mean", "z_q50", digits=9)
+
+
+def _nested_jets(spark, sf):
+    j = px.jets(spark, sf)
+    return j.join(_nested(spark, sf).withColumnRenamed("jet", "source_row"), "source_row", "left")
+
+
+@query
+def jet_batches(spark, sf):
+    j = _nested_jets(spark, sf)
+    out = scan.jet_batches(j, scan.jet_index(j, seed=3)[0], ["s", "z"], "s", 2)
+    out = out.select("source_row", F.col("context")[3].alias("n_tracks"), F.posexplode("x").alias("place", "t"))
+    return out.select("source_row", "n_tracks", "place", r6(F.col("t")[0], "s"), r6(F.col("t")[1], "z"))
+
+
+_PARTS = {"d0": "s", "z0": "z", "deta": "u", "dphi": "v", "q_over_p": "z", "pixel": "hits", "sct": "slot", "shared": ["hits", "slot"], "split": ["hits"]}
+
+
+@query
+def jet_features(spark, sf):
+    j = _nested_jets(spark, sf)
+    j = j.withColumn("tracks", F.coalesce("tracks", F.array().cast(j.schema["tracks"].dataType)))
+    cols = tk.jet_features(F.col("tracks"), _PARTS, F.log1p(F.col("pt") / 1000), F.col("eta"), F.size("tracks"))
+    return rounded(j.select("source_row", *(c.alias(n) for n, c in cols.items())), *cols, digits=9)
+
+
+def _inputs(spark, sf, kind, fields):
+    out = tk.node_inputs(px.tracks(spark, sf), "jet", "slot", fields, kind, ["s", "z", "u", "v"], 2, 1.5)
+    return out.select("jet", "slot", F.posexplode("x").alias("place", "value")).withColumn("value", r6("value"))
+
+
+@query
+def node_inputs_set(spark, sf):
+    return _inputs(spark, sf, "set", ["s", "z"])
+
+
+@query
+def node_inputs_graph(spark, sf):
+    return _inputs(spark, sf, "graph", ["s", "z"])
+
+
+@query
+def node_inputs_sequential(spark, sf):
+    return _inputs(spark, sf, "sequential", ["s"])
+
+
+@query
+def node_inputs_parallel(spark, sf):
+    return _inputs(spark, sf, "parallel", ["s", "z"])
+
+
+@query
+def node_inputs_hybrid(spark, sf):
+    return _inputs(spark, sf, "hybrid", ["s"])
+
+
+@query
+def dropout_shift(spark, sf):
+    """The change of a jet's mean significance, squashed, when tracks are dropped."""
+    n = _nested(spark, sf)
+    score = lambda t: sc.sigmoid(F.aggregate(t, F.lit(0.0), lambda a, x: a + x["s"]) / F.size(t))
+    kept = tk.dropout(F.col("tracks"), F.col("jet"), 0.7, 5)
+    before, after = (n.select("jet", score(c).alias("score")) for c in (F.col("tracks"), kept))
+    return rounded(evaluate.dropout_shift(before, after), "p95_shift", "mean_shift")
+
+
 @query
 def jet_context(spark, sf):
     j = px.jets(spark, sf).join(px.tracks(spark, sf).groupBy(F.col("jet").alias("source_row")).agg(F.count("*").alias("n")), "source_row", "left")
@@ -331,13 +495,58 @@ def median_impute_flags(spark, sf):
     return out.select("source_row", r6("pt"), r6("eta"), "pt_missing").toDF("source_row", "pt", "eta", "pt_missing")
 
 
+@query
+def log_if_positive(spark, sf):
+    j = px.jets(spark, sf).select("source_row", "pt", "eta")
+    out = features.log_if_positive(j, ["pt", "eta"])[0]
+    return out.select("source_row", r6("pt__log1p")).toDF("source_row", "pt__log1p")
+
+
+@query
+def susy_map(spark, sf):
+    s = px.susy(spark, sf)
+    out = features.SusyMap(keys=("id",)).fit(s).transform(s)
+    names = ["lep1_pt", "M_R", "sin_lep1_phi", "cos_dphi_lep1_met", "M_R_missing", "sin_dphi_lep2_met"]
+    return rounded(out.select("id", *names), *names)
+
+
+@query
+def higgs_compact_map(spark, sf):
+    h = px.higgs(spark, sf)
+    out = features.CompactHiggsMap([c for c in h.columns if c != "id"], keys=("id",)).fit(h).transform(h)
+    names = ["DER_mass", "PRI_tau_pt", "sin_dphi_PRI_tau_met", "cos_dphi_PRI_jet_leading_met", "missing__DER_mass", "missing__PRI_jet_leading_phi"]
+    return rounded(out.select("id", *names), *names)
+
+
+@query
+def higgs_physics_map(spark, sf):
+    h = px.higgs(spark, sf)
+    out = features.HiggsPhysicsMap([c for c in h.columns if c != "id"], keys=("id",)).fit(h).transform(h)
+    names = ["DER_mass", "DER_mass__log1p", "DER_mass_missing", "PRI_tau_phi__sin", "tau_lep__dr"]
+    return rounded(out.select("id", *names), *names)
+
+
+@query
+def track_scaler(spark, sf):
+    n = tk.nest(_odd_tracks(spark, sf), "jet", ["slot"], ["slot", *_FIELDS])
+    out = features.TrackScaler(["s", "z"]).fit(n).transform(n).select("jet", F.explode("tracks").alias("t"))
+    return out.select("jet", F.col("t.slot").alias("slot"), r6(F.col("t.s"), "s"), r6(F.col("t.z"), "z"))
+
+
+@query
+def gates(spark, sf):
+    j = px.jets(spark, sf).select("source_row", (F.col("eta") * 2).alias("x"))
+    x = F.col("x")
+    return j.select("source_row", r6(sc.sigmoid(x), "open"), r6(sc.hard_concrete(x, 0.5), "gate"), r6(sc.expected_open(x, 0.5), "expected"))
+
+
 # -- graph --------------------------------------------------------------------
 
 
 def _graph(spark, sf):
     p = px.points(spark, sf)
     edges, _ = graph.self_tuning_graph(p)
-    edges = edges.persist()
+    edges = stored(edges)
     post = graph.kernel_posterior(edges, p.select(F.col("vec_id").alias("id"), "y"))
     return p, edges, graph.information_potential(post)
 
@@ -379,6 +588,23 @@ def query_affinity_posterior(spark, sf):
     return rounded(post.select("id", "degree", "p1"), "degree", "p1")
 
 
+@query
+def log_odds_field(spark, sf):
+    return _graph(spark, sf)[2].select("id", r6(sc.log_odds_field(F.col("p1"), F.col("prior1")), "field"))
+
+
+@query
+def neighbour_ranks(spark, sf):
+    return graph.ranked_neighbours(_graph(spark, sf)[1])
+
+
+@query
+def dense_affinities(spark, sf):
+    p = px.points(spark, sf).where("vec_id < 200")
+    marks, asked = p.where("vec_id % 2 = 0"), p.where("vec_id % 2 = 1")
+    return rounded(graph.dense_affinities(asked, marks), "w")
+
+
 @query
 def laplacian_entries(spark, sf):
     return rounded(graph.laplacian(_graph(spark, sf)[1]), "value")
@@ -400,7 +626,7 @@ def rayleigh_quotient(spark, sf):
 @query
 def eigen_residual(spark, sf):
     _, edges, pot = _graph(spark, sf)
-    h = graph.graph_operator(graph.laplacian(edges), pot.select("id", "v")).persist()
+    h = stored(graph.graph_operator(graph.laplacian(edges), pot.select("id", "v")))
     eigen, modes = spectrum.solve_modes(h, 12, graph.degrees(edges))
     return rounded(spectrum.residuals(h, eigen, modes).join(eigen, "k"), "residual", "epsilon")
 
@@ -423,6 +649,21 @@ def stable_prefix(spark, sf):
     return spectrum.stable_prefix(_extended(spark, sf).withColumn("stable", F.col("stable") & (F.col("k") != 5)))
 
 
+@query
+def extend_stable(spark, sf):
+    _, edges, pot = _graph(spark, sf)
+    # The potential of one vertex puts a pole at the fourth mode.
+    pot = pot.select("id", F.when(F.col("id") == 7, F.lit(0.4) - 1).otherwise(F.col("v")).alias("v"))
+    return rounded(spectrum.extend_stable(edges, px.modes(spark, sf), pot, px.eigen(spark), strict=False), "phi")
+
+
+@query
+def occupations(spark, sf):
+    s = spectrum.states(px.modes(spark, sf)).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "a"))).alias("s"))
+    n = spectrum.occupations(F.transform("s", lambda x: x["a"]))
+    return s.select("id", F.posexplode(n).alias("place", "n")).withColumn("n", r6("n"))
+
+
 @query
 def orbital_state(spark, sf):
     return rounded(spectrum.states(px.modes(spark, sf), [1, 3, 4]), "a")
@@ -434,8 +675,7 @@ def spectral_blocks(spark, sf):
 
 
 def _shares(spark, sf):
-    field = px.points(spark, sf).select(F.col("vec_id").alias("id"), (F.col("y") + F.cos(F.col("vec_id") * 0.2)).alias("g"), (1 + F.col("vec_id") % 3).cast("double").alias("degree"))
-    return dimension.field_projection(px.modes(spark, sf), field, px.eigen(spark))
+    return dimension.field_projection(px.modes(spark, sf), _field(spark, sf), px.eigen(spark))
 
 
 @query
@@ -458,6 +698,25 @@ def checkpoint_stability(spark, sf):
     return dimension.checkpoints(_shares(spark, sf), [3, 4, 5, 6], 0.9, 2)
 
 
+def _field(spark, sf):
+    return px.points(spark, sf).select(F.col("vec_id").alias("id"), (F.col("y") + F.cos(F.col("vec_id") * 0.2)).alias("g"), (1 + F.col("vec_id") % 3).cast("double").alias("degree"))
+
+
+@query
+def prefix_bootstrap(spark, sf):
+    return dimension.bootstrap_prefix(px.modes(spark, sf), _field(spark, sf), px.eigen(spark), 6, 0.9, 2, seed=50)
+
+
+@query
+def prefix_record(spark, sf):
+    return rounded(dimension.bootstrap_record(prefix_bootstrap(spark, sf), 4), "mode_fraction", "exact_fraction", "median")
+
+
+@query
+def mode_records(spark, sf):
+    return rounded(dimension.mode_records(_shares(spark, sf), px.eigen(spark), 4), "c", "power", "q", "cumulative")
+
+
 def _state(spark, sf):
     return spectrum.states(px.modes(spark, sf))
 
@@ -488,6 +747,40 @@ def greedy_select(spark, sf):
     return rounded(dimension.greedy_blocks(s, 0.8), "score", "mass")
 
 
+def _block_scores(spark, sf):
+    return dimension.block_scores(_gradients(spark, sf), dimension.spectral_blocks(px.eigen(spark)))
+
+
+@query
+def ranked_subset(spark, sf):
+    return dimension.ranked_subset(_block_scores(spark, sf), 3).select("block", "first", "size", "modes")
+
+
+@query
+def gated_records(spark, sf):
+    return rounded(dimension.gated_records(_block_scores(spark, sf), dimension.spectral_blocks(px.eigen(spark)), 0.8), "score", "weight")
+
+
+@query
+def gated_inclusion(spark, sf):
+    chosen = dimension.gated_bootstrap(_gradients(spark, sf), dimension.spectral_blocks(px.eigen(spark)), 6, 0.8, seed=60)
+    return rounded(dimension.inclusion(chosen, 6), "frequency")
+
+
+@query
+def screening_measurement(spark, sf):
+    labels = px.points(spark, sf).select(F.col("vec_id").alias("id"), "y")
+    m = dimension.screening_measurement(spectrum.states(px.modes(spark, sf), [1, 3]).withColumn("k", (F.col("k") + 1) / 2), labels, 2)
+    return rounded(dimension.measurement_frame(labels, m[1]), "m")
+
+
+@query
+def probability_decomposition(spark, sf):
+    m1 = px.measurement(spark)
+    m0 = m1.withColumn("m", F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0) - F.col("m") / 3)
+    return rounded(readout.decomposition(_state(spark, sf), m0, m1), "p", "diagonal", "diagonal_only", "cross")
+
+
 @query
 def psd_probability(spark, sf):
     return rounded(readout.probability(_state(spark, sf), px.measurement(spark)), "p", "diagonal", "cross")
@@ -504,7 +797,7 @@ def fit_predict_small(spark, sf):
 
 # -- evaluation ---------------------------------------------------------------
 
-_EFFICIENCIES = [0.6, 0.7, 0.77, 0.85]
+_EFFICIENCIES = [0.65, 0.7, 0.77, 0.85, 0.9]
 
 
 @query
@@ -561,9 +854,8 @@ def slice_efficiency(spark, sf):
 
 @query
 def efficiency_pivot(spark, sf):
-    w = evaluate.working_points(px.scores(spark, sf), _EFFICIENCIES)
-    out = w.groupBy("method").pivot("efficiency", _EFFICIENCIES).agg(F.first("rejection"))
-    return out.select("method", *(r6(f"`{e}`", f"rejection_{int(e * 100)}") for e in _EFFICIENCIES))
+    out = artifacts.comparison_table(evaluate.working_points(px.scores(spark, sf), _EFFICIENCIES), _EFFICIENCIES)
+    return rounded(out, *out.columns[1:])
 
 
 @query
@@ -575,17 +867,58 @@ def rejection_ratio(spark, sf):
 
 @query
 def score_validity(spark, sf):
-    s = px.scores(spark, sf).withColumn("score", F.when(F.col("source_row") % 23 == 0, F.lit(float("nan"))).when(F.col("source_row") % 29 == 0, F.lit(-0.1)).otherwise(F.col("score")))
-    bad = ~sc.finite(F.col("score")) | ~F.col("score").between(0, 1)
-    return s.groupBy("method").agg(F.count("*").alias("n"), F.sum(bad.cast("long")).alias("n_invalid"))
+    row = F.col("source_row")
+    odd = F.when(row % 23 == 0, F.lit(float("nan"))).when(row % 29 == 0, F.lit(-0.1)).when(row % 31 == 0, F.lit(None)).when(row % 37 == 0, F.lit(float("inf")))
+    return evaluate.score_validity(px.scores(spark, sf).withColumn("score", F.when(odd.isNotNull() | (row % 31 == 0), odd).otherwise(F.col("score"))))
 
 
 @query
 def visible_points(spark, sf):
-    t = evaluate.roc_table(px.scores(spark, sf)).where((F.col("tpr") >= 0.45) & ~F.col("censored"))
+    t = evaluate.visible(evaluate.roc_table(px.scores(spark, sf)))
     return t.groupBy("method").agg(F.count("*").alias("n"), r6(F.max("rejection"), "most"))
 
 
+@query
+def roc_bands(spark, sf):
+    bands = evaluate.roc_bands(px.scores(spark, sf))
+    names = ["tpr_low", "tpr_high", "fpr_low", "fpr_high", "rejection_low", "rejection_high"]
+    return rounded(bands.select("method", "threshold", "tp", "fp", *names), *names)
+
+
+@query
+def enough_points(spark, sf):
+    j = px.jets(spark, sf).select("source_row", "event_number")
+    return evaluate.enough_points(j, "source_row", 400)
+
+
+@query
+def aligned_comparison(spark, sf):
+    s = px.scores(spark, sf)
+    each = {f"score_{m}": s.where(F.col("method") == m).select(*align.KEYS, "score") for m in "ab"}
+    return artifacts.read_comparison(spark, px.two_flavours(spark, sf).select(*align.KEYS), each)
+
+
+@query
+def aligned_states(spark, sf):
+    rows = px.two_flavours(spark, sf).select(*align.KEYS)
+    phi = rows.select(*align.KEYS, (F.col("source_row") % 7 / 8).alias("phi_2"), (F.col("source_row") % 5 / 4).alias("phi_10"), (F.col("y") - 0.5).alias("phi_1"))
+    return artifacts.align_states(rows, phi)
+
+
+@query
+def feature_join(spark, sf):
+    j = px.jets(spark, sf).select("source_row", "pt")
+    t = px.tracks(spark, sf).where("slot <= 2").groupBy(F.col("jet").alias("source_row")).agg(r6(F.max("s"), "most"))
+    return artifacts.with_features(j, t)
+
+
+@query
+def metric_intervals(spark, sf):
+    s = px.scores(spark, sf)
+    low = bootstrap.interval_table(bootstrap.event_bootstrap_auc(s.where("method = 'a'"), 8)).where("metric = 'auc'").drop("metric")
+    return rounded(artifacts.metric_intervals(evaluate.roc_auc(s), low), "auc", "lower", "upper", "se")
+
+
 @query
 def spearman_matrix(spark, sf):
     t = px.tracks(spark, sf)
@@ -649,7 +982,7 @@ def event_bootstrap_auc(spark, sf):
 
 @query
 def paired_auc_difference(spark, sf):
-    rows = bootstrap.event_bootstrap_auc(px.scores(spark, sf), 8).persist()
+    rows = stored(bootstrap.event_bootstrap_auc(px.scores(spark, sf), 8))
     return rounded(bootstrap.paired_difference(rows, "a"), "mean", "low", "high", "p")
 
 
@@ -659,9 +992,19 @@ def event_bootstrap_metrics(spark, sf):
     return rounded(out, *out.columns[2:])
 
 
+def _stratified(spark, sf):
+    return bootstrap.stratified_bootstrap(px.scores(spark, sf), 4, most=4000)
+
+
 @query
 def stratified_bootstrap_auc(spark, sf):
-    return rounded(bootstrap.event_bootstrap_auc(px.scores(spark, sf), 4, "source_row"), "auc")
+    out = _stratified(spark, sf)
+    return rounded(out, *out.columns[2:])
+
+
+@query
+def stratified_intervals(spark, sf):
+    return rounded(bootstrap.interval_table(_stratified(spark, sf)), "lower", "upper", "se")
 
 
 @query
@@ -674,26 +1017,27 @@ def bootstrap_summary(spark, sf):
 
 
 def _arms(spark, sf):
-    """Suppliers' nations as candidate models: score, size, name."""
+    """Customers' nations as candidate models: score, size, lower bound, modes, selected set, bank."""
     c = px.table(spark, sf, "customer")
-    return c.groupBy(F.col("c_nationkey").alias("arm")).agg(F.round(F.avg("c_acctbal"), 2).alias("score"), F.count("*").alias("size"))
+    arms = c.groupBy(F.col("c_nationkey").alias("arm")).agg(F.round(F.avg("c_acctbal"), 2).alias("score"), F.count("*").alias("size"))
+    return arms.select("*", F.round(F.col("score") - 100 * (F.col("arm") % 4), 2).alias("lower"), (F.col("size") % 4).alias("k"), (F.col("arm") % 3).alias("bank"))
 
 
 @query
 def screen_topk(spark, sf):
-    return _arms(spark, sf).orderBy(F.col("score").desc(), "size", "arm").limit(5)
+    return selection.screen(_arms(spark, sf).select("arm", "score", "size"), 5)
 
 
 @query
-def one_percent_select(spark, sf):
-    arms = _arms(spark, sf)
-    most = arms.agg(F.max("score").alias("m"))
-    return arms.crossJoin(F.broadcast(most)).where(F.col("score") >= 0.99 * F.col("m")).orderBy("size", "arm").limit(1).select("arm", "score", "size")
+def arm_selection(spark, sf):
+    return selection.least_by(_arms(spark, sf), F.col("k"), F.col("lower").desc(), F.col("arm")).select("arm", "k", "lower")
 
 
 @query
-def arm_dedup(spark, sf):
-    arms = _arms(spark, sf).withColumn("bank", F.col("arm") % 3).withColumn("set_key", F.col("size") % 4)
-    return arms.groupBy("bank", "set_key").agg(F.min("arm").alias("arm"))
+def one_percent_select(spark, sf):
+    return selection.simplest_equivalent(_arms(spark, sf), share=0.9).select("arm", "lower", "score", "size")
 
 
+@query
+def arm_dedup(spark, sf):
+    return selection.distinct_sets(_arms(spark, sf), "bank", "k")

@@ -6,9 +6,12 @@ import json
 import math
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from ..operators.features import SUSY_COLUMNS
+from ..operators.roles import group_conflicts, group_limit, proportional_sample
 
 
 class SchemaError(ValueError):
@@ -28,9 +31,14 @@ def read_parquet(spark: SparkSession, path: str, required: list[str] = (), forbi
     return check_schema(spark.read.parquet(path), list(required), list(forbidden))
 
 
+#: Spellings of the two classes, and columns of a header CSV that are no features.
+LABELS = {"b": 0, "s": 1, "background": 0, "signal": 1, "0": 0, "1": 1, "0.0": 0, "1.0": 1}
+DROPPED = ("EventId", "EventID", "event_id", "Weight", "weight", "KaggleSet", "KaggleWeight")
+
+
 def encode_labels(df: DataFrame, column: str, name: str = "y") -> DataFrame:
     """0 / 1 from b, s, background, signal, 0, 1; else from the two distinct values in order."""
-    known = F.create_map(*(F.lit(v) for k, y in (("b", 0), ("s", 1), ("background", 0), ("signal", 1), ("0", 0), ("1", 1), ("0.0", 0), ("1.0", 1)) for v in (k, y)))
+    known = F.create_map(*(F.lit(v) for pair in LABELS.items() for v in pair))
     y = known[F.lower(F.trim(F.col(column).cast("string")))]
     if not df.where(y.isNull()).limit(1).count():
         return df.withColumn(name, y)
@@ -40,37 +48,88 @@ def encode_labels(df: DataFrame, column: str, name: str = "y") -> DataFrame:
     return df.withColumn(name, (F.col(column) == F.lit(values[1])).cast("int"))
 
 
-def read_header_csv(spark: SparkSession, path: str, label: str, drop: tuple[str, ...] = ("EventId", "Weight", "KaggleSet", "KaggleWeight")) -> DataFrame:
-    """A CSV with header: id and weight columns dropped, numbers, columns without any value dropped."""
+def read_header_csv(spark: SparkSession, path: str, label: str, drop: tuple[str, ...] = DROPPED, sample: int = 0, seed: int = 0) -> DataFrame:
+    """A CSV with header: id and weight columns dropped, numbers, columns without any value dropped.
+
+    ``sample`` rows keep the shares of the classes; 0 takes all.
+    """
     df = spark.read.csv(path, header=True).drop(*drop)
     numbers = [c for c in df.columns if c != label]
     df = df.select(label, *(F.expr(f"try_cast(`{c}` as double)").alias(c) for c in numbers))
     row = df.agg(*(F.count(c).alias(c) for c in numbers)).first()
-    return encode_labels(df.select(label, *(c for c in numbers if row[c])), label)
+    out = encode_labels(df.select(label, *(c for c in numbers if row[c])), label)
+    if sample <= 0:
+        return out
+    # The key is a hash of the row, so that the sample does not depend on the files' partitioning.
+    return proportional_sample(out.withColumn("_key", F.xxhash64(*out.columns)), sample, "_key", seed=seed).drop("_key")
 
 
-def read_plain_csv(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """A CSV without header, of the named doubles; other widths are refused by the parser."""
-    schema = StructType([StructField(n, DoubleType()) for n in names])
-    return spark.read.csv(path, schema=schema, mode="FAILFAST", enforceSchema=True)
+def read_plain_csv(spark: SparkSession, path: str, names: list[str], first: int = 0) -> DataFrame:
+    """A CSV without header, of the named doubles, and ``source_row``, a row's number in the order of the files.
 
-
-def read_wide_csv(spark: SparkSession, path: str, prefix: str = "f_", group: str | None = None) -> DataFrame:
-    """A CSV of many columns prefix + number as one array; equal rows share a group unless one is named."""
-    df = spark.read.csv(path, header=True, inferSchema=True)
-    cols = sorted((c for c in df.columns if c.startswith(prefix) and c[len(prefix) :].isdigit()), key=lambda c: int(c[len(prefix) :]))
+    Other widths are refused by the parser; ``first`` rows in that order, 0 for all.
+    """
+    schema = StructType([StructField(n, DoubleType()) for n in names])
+    df = spark.read.csv(path, schema=schema, mode="FAILFAST", enforceSchema=True)
+    numbered = df.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33))
+    counts = numbered.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_p", before.alias("_before"))  # a row for each partition
+    out = numbered.join(F.broadcast(offsets), "_p").withColumn("source_row", F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    return (out.where(F.col("source_row") < first) if first > 0 else out).select("source_row", *names)
+
+
+def read_susy(spark: SparkSession, path: str, first: int = 0) -> DataFrame:
+    """Label y and the 18 named columns of the SUSY table, its ``first`` rows in file order; each row is a group."""
+    df = read_plain_csv(spark, path, ["y", *SUSY_COLUMNS], first).withColumn("y", F.col("y").cast("int"))
+    labels = {r["y"] for r in df.select("y").distinct().limit(3).collect()}
+    if labels != {0, 1}:
+        raise SchemaError(f"labels are {sorted(map(str, labels))}, not 0 and 1")
+    return df.withColumn("group_id", F.col("source_row").cast("string"))
+
+
+def read_wide_csv(spark: SparkSession, path: str, prefix: str = "f_", group: str | None = None, label: str | None = None, sample: int = 0, seed: int = 0) -> DataFrame:
+    """A CSV of many columns prefix + number as one array; equal rows share a group unless one is named.
+
+    Only the header is read to find the columns.  Groups of several labels are
+    refused; ``sample`` keeps whole groups, about so many rows, 0 all.
+    """
+    names = spark.read.csv(path, header=True).columns
+    cols = sorted((c for c in names if c.startswith(prefix) and c[len(prefix) :].isdigit()), key=lambda c: int(c[len(prefix) :]))
     if not cols:
         raise SchemaError(f"no columns {prefix}<number>")
-    owner = F.col(group).cast("string") if group else F.xxhash64(*cols).cast("string")
-    return df.select(*(c for c in df.columns if c not in cols), F.array(*(F.col(c).cast("double") for c in cols)).alias("x"), owner.alias("group_id"))
-
-
-def read_predictions(spark: SparkSession, path: str, required: list[str], key: str = "source_row") -> DataFrame:
+    schema = StructType([StructField(c, DoubleType() if c in set(cols) else StringType()) for c in names])
+    df = spark.read.csv(path, schema=schema, header=True, mode="FAILFAST")
+    owner = F.col(group) if group else F.xxhash64(*cols).cast("string")
+    out = df.select(*(c for c in names if c not in set(cols)), F.array(*cols).alias("x"), owner.alias("group_id"))
+    if label is None:
+        return out
+    out = encode_labels(out, label)
+    if group_conflicts(out, "group_id", "y").limit(1).count():
+        raise SchemaError("a group has several labels")
+    return group_limit(out.withColumn("_g", F.xxhash64("group_id")), sample, "_g", "y", seed).drop("_g")
+
+
+#: The tables by name.
+DATASETS = {
+    "higgs": lambda spark, path, sample=0, seed=0: read_header_csv(spark, path, "Label", sample=sample, seed=seed),
+    "susy": lambda spark, path, sample=0, seed=0: read_susy(spark, path, sample),
+    "densenet": lambda spark, path, sample=0, seed=0: read_wide_csv(spark, path, label="label", sample=sample, seed=seed),
+}
+
+
+def read_dataset(spark: SparkSession, name: str, path: str, sample: int = 0, seed: int = 0) -> DataFrame:
+    """The table of this name: features, y and, where rows belong together, group_id."""
+    if name not in DATASETS:
+        raise ValueError(f"a data set is one of {sorted(DATASETS)}")
+    return DATASETS[name](spark, path, sample=sample, seed=seed)
+
+
+def read_predictions(spark: SparkSession, path: str, required: list[str], label: str = "y", key: str = "source_row") -> DataFrame:
     """A CSV (gzip too) of predictions: required columns, unique keys, both classes."""
-    df = check_schema(spark.read.csv(path, header=True, inferSchema=True), required)
+    df = check_schema(spark.read.csv(path, header=True, inferSchema=True), [*required, label, key])
     faults = df.groupBy(key).count().where("count > 1").limit(1).count()
-    label = next((c for c in df.columns if c.startswith("y")), None)
-    if faults or (label and df.select(label).distinct().count() != 2):
+    if faults or {r[0] for r in df.select(label).distinct().limit(3).collect()} != {0, 1}:
         raise SchemaError("rows repeat, or a class is missing")
     return df
 

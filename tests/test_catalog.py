@@ -45,4 +45,4 @@ def test_query_equals_sql(spark, sf, con, name):
 
 
 def test_every_other_query_runs_in_its_own_test():
-    assert set(QUERIES) - set(ORACLES) == {"eigen_residual", "fit_predict_small", "clopper_pearson_bands"}
+    assert set(QUERIES) - set(ORACLES) == {"eigen_residual", "fit_predict_small", "clopper_pearson_bands", "roc_bands", "screening_measurement"}

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from sparkorbit.functions import scalars as sc
 from sparkorbit.functions.intervals import beta_cdf, clopper_pearson, paired_binomial
-from sparkorbit.operators import evaluate, features, roles
-from sparkorbit.plans.prefix import running_sums
+from sparkorbit.operators import bootstrap, evaluate, features, roles
+from sparkorbit.functions.prefix import quantiles, running_sums
 
 
 def splitmix(x, seed):
@@ -87,3 +87,67 @@ def test_samples_are_stable(spark):
         roles.balanced_sample(df, 7, "source_row")
     with pytest.raises(ValueError):
         roles.balanced_sample(df, 400, "source_row")
+
+
+def test_quantiles_match_numpy(spark):
+    rng = np.random.default_rng(3)
+    rows = [("ab"[k % 2], float(v)) for k, v in enumerate(rng.integers(0, 30, 201))] + [("a", None), ("c", 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = [0.0, 0.1, 0.5, 0.841, 1.0]
+    for r in quantiles(df, "v", shares, ("g",)).collect():
+        mine = [v for g, v in rows if g == r["g"] and v is not None]
+        assert r["n"] == len(mine) and r["q"] == pytest.approx(np.quantile(mine, shares).tolist())
+    assert quantiles(df, "v", [0.5]).first()["q"] == [float(np.median([v for _, v in rows if v is not None]))]
+    assert quantiles(df.limit(0), "v", [0.5], ("g",)).collect() == [] and quantiles(df.limit(0), "v", [0.5]).first()["n"] is None
+
+
+def test_scores_without_a_place_are_refused(spark):
+    for bad in (None, float("nan"), float("inf")):
+        df = spark.createDataFrame([("m", 1, 0.5), ("m", 0, bad)], "method string, y int, score double")
+        for f in (evaluate.roc_auc, evaluate.average_precision, evaluate.roc_table):
+            with pytest.raises(Exception, match="null or not finite"):
+                f(df).collect()
+        assert evaluate.score_validity(df).first()["n_invalid"] == 1
+
+
+def test_bands_hold_the_binomial_tails(spark):
+    rng = np.random.default_rng(1)
+    rows = [("m", int(y), float(round(v + 0.3 * y, 1))) for y, v in zip(rng.integers(0, 2, 60), rng.random(60), strict=True)]
+    got = evaluate.roc_bands(spark.createDataFrame(rows, "method string, y int, score double")).collect()
+    n1 = sum(y for _, y, _ in rows)
+    tail = lambda k, n, p, low: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in (range(k, n + 1) if low else range(k + 1)))
+    for r in got:
+        for k, n, a, b in ((r["tp"], n1, r["tpr_low"], r["tpr_high"]), (r["fp"], 60 - n1, r["fpr_low"], r["fpr_high"])):
+            assert a == 0.0 if k == 0 else tail(k, n, a, True) == pytest.approx(0.16, abs=1e-6)
+            assert b == 1.0 if k == n else tail(k, n, b, False) == pytest.approx(0.16, abs=1e-6)
+        assert r["rejection_low"] == pytest.approx(1 / r["fpr_high"])
+        assert r["rejection_high"] is None if r["fp"] == 0 else r["rejection_high"] == pytest.approx(1 / r["fpr_low"])
+
+
+def test_bootstrap_draws(spark):
+    rows = [("m", k, k // 3, int(k % 30 == 0), k / 90) for k in range(90)]
+    df = spark.createDataFrame(rows, "method string, source_row long, event_number long, y int, score double")
+    drawn = bootstrap.drawn_rows(df, 40, "event_number").groupBy("replicate").agg(F.sum("w").alias("n"), F.max("y").alias("one"), F.min("y").alias("zero")).collect()
+    assert sorted(r["replicate"] for r in drawn) == list(range(40))  # 30 events, three with signal: some are drawn again
+    assert all(r["n"] == 90 and r["one"] == 1 and r["zero"] == 0 for r in drawn)
+    with pytest.raises(ValueError):
+        bootstrap.drawn_rows(df.where("y = 0"), 3, "event_number", attempts=2)
+    assert bootstrap.class_sizes({0: 90, 1: 10}, 20) == {0: 18, 1: 2} and bootstrap.class_sizes({0: 99, 1: 1}, 10) == {0: 9, 1: 1}
+    one = bootstrap.stratified_bootstrap(df, 5, most=30).collect()
+    assert len(one) == 5 and all(0 <= r["auc"] <= 1 for r in one)
+    with pytest.raises(ValueError):
+        bootstrap.class_sizes({0: 5, 1: 0})
+
+
+def test_screening_measurement(spark):
+    from sparkorbit.operators import dimension
+
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(40, 3))
+    y = rng.integers(0, 2, 40)
+    state = spark.createDataFrame([(i, k + 1, float(a[i, k])) for i in range(40) for k in range(3)], "id long, k int, a double")
+    m = np.array(dimension.screening_measurement(state, spark.createDataFrame([(i, int(c)) for i, c in enumerate(y)], "id long, y int"), 3))
+    e = np.array([a[y == c].T @ a[y == c] / (y == c).sum() + 5e-4 * np.eye(3) for c in (0, 1)])
+    value, vector = np.linalg.eigh(e.sum(axis=0))
+    t = vector @ np.diag(value**-0.5) @ vector.T
+    assert np.allclose(m, t @ e @ t) and np.allclose(m.sum(axis=0), np.eye(3))
