@@ -9,9 +9,9 @@ them unchanged, at a place that the lengths bound: it probes, for its own and th
 smaller lengths in reach, the substrings that may be that segment.  Substring
 values come from prefix polynomials over code points.  Only keys that two lines
 share are followed up; candidates are verified by a banded bit-parallel edit
-distance.  Buckets are never expanded into all pairs (see ``near_dup.star_links``):
-lines of those that stay open are paired by their rarest grams of ``GRAM`` characters,
-of which ``GRAM * EDITS + 1`` are enough, at places ``EDITS`` apart at most.
+distance.  Buckets are never expanded into all pairs at first (see
+``near_dup.star_links``); within those that stay open, lines are compared by how often
+each kind of character stands in them, and by the distance if that allows it.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
@@ -28,7 +28,6 @@ from .near_dup import components, star_links
 from .shared import checked_broadcast, heavy_keys, is_small, join_by_key, materialize
 
 EDITS, LEAST = 2, 20
-GRAM = 4
 
 _BASES = tuple(int(b) for b in K.mix(np.array([101, 202], np.uint64)) | np.uint64(1))
 _UNBASES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
@@ -247,42 +246,7 @@ def placed_lines(docs: DataFrame, id_col: str, text_col: str, edits: int, least:
     return out.select("id", "number", "h1", "h2", *(F.when(F.col("shared"), F.col(c)).alias(c) for c in ("line", "letters", "keys")))
 
 
-def rare_gram_pairs(lines: DataFrame, edits: int, least: int) -> DataFrame:
-    """Pairs (a, b) of different labels that may be near, from rows (node, label, line) of ``least`` characters or more.
-
-    An edit changes at most q grams of q characters, so near lines share one of their
-    q * edits + 1 rarest grams, about at the same place.
-    """
-    q = max(1, min(GRAM, least // (edits + 1)))
-
-    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            points = [np.frombuffer(v.encode("utf-32-le"), np.uint32).astype(np.uint64) for v in batch.column(1).to_pylist()]
-            for k, p in enumerate(points):
-                n = max(0, len(p) - q + 1)
-                value = K.mix(sum((p[j : j + n] * _C[j] for j in range(q)), np.zeros(n, np.uint64)) + _C[q])
-                cols = [batch.column(0).take(pa.array(np.full(n, k))), _long(value), pa.array(np.arange(n, dtype=np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, ["node", "gram", "at"])
-
-    grams = materialize(lines.select("node", "line").mapInArrow(cut, "node long, gram long, at int"), "grams")
-    often = materialize(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram-counts")
-    ranked = join_by_key(grams, often, ["gram"], heavy_keys(often, ["gram"]))
-    first = F.slice(F.sort_array(F.collect_list(F.struct("n", "gram", "at"))), 1, q * edits + 1)
-    heads = ranked.where("n > 1").groupBy("node").agg(first.alias("first")).select("node", F.explode("first").alias("g"))
-    # Grams that stand in one line alone take places among the rarest too.
-    alone = ranked.where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("g"))
-    heads = heads.withColumn("place", place).join(alone, "node", "left").where(F.col("place") + F.coalesce("alone", F.lit(0)) <= q * edits + 1)
-    heads = heads.join(lines.select("node", "label", F.length("line").alias("size")), "node").select("node", "label", "size", F.col("g.gram").alias("gram"), F.col("g.at").alias("at"))
-    heads = materialize(heads, "gram-heads")
-    mixed = heads.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
-    heads = materialize(heads.join(mixed, "gram"), "gram-heads")
-    right = heads.select("gram", F.col("node").alias("b"), F.col("label").alias("other"), F.col("size").alias("width"), F.col("at").alias("place"))
-    alike = (F.abs(F.col("at") - F.col("place")) <= edits) & (F.abs(F.col("size") - F.col("width")) <= edits) & (F.col("node") < F.col("b")) & (F.col("label") != F.col("other"))
-    return heads.join(right, "gram").where(alike).select(F.col("node").alias("a"), "b").distinct()
-
-
-def line_classes(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def line_classes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(h1, h2, label): the class of the lines, by their two values, that have near but unequal ones."""
     nodes = lines.where("line is not null").groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("letters").alias("letters"), F.first("keys").alias("keys"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -305,12 +269,13 @@ def line_classes(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> Da
 
     edges, left = star_links(materialize(active, "active"), verified)
     if left is not None:
-        open_lines = nodes.join(left.select("node", "label").distinct(), "node").select("node", "label", "line", "letters")
-        pairs = rare_gram_pairs(materialize(open_lines, "open-lines"), edits, least)
-        letters = nodes.select("node", "letters")
-        pairs = pairs.join(letters.toDF("a", "x"), "a").join(letters.toDF("b", "y"), "b")
-        apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x)
-        edges = edges.union(verified(materialize(pairs.where(apart <= 2 * edits).select("a", "b"), "pairs")))
+        # Lines that share a segment only are told apart by their letters, within the join.
+        left = left.join(nodes.select("node", "letters"), "node")
+        right = left.select("key", F.col("node").alias("b"), F.col("label").alias("other"), F.col("letters").alias("counts"))
+        apart = F.aggregate(F.zip_with("letters", "counts", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x)
+        near_letters = (F.col("node") < F.col("b")) & (F.col("label") != F.col("other")) & (apart <= 2 * edits)
+        pairs = left.join(right, "key").where(near_letters).select(F.col("node").alias("a"), "b").distinct()
+        edges = edges.union(verified(materialize(pairs, "pairs")))
     return materialize(nodes.select("node", "h1", "h2").join(components(edges), "node").select("h1", "h2", "label"), "line-classes")
 
 
@@ -323,7 +288,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document; rows of a null id are one document, which comes last.
     """
     lines = placed_lines(docs, id_col, text_col, edits, least)
-    classes = line_classes(lines, edits, least)
+    classes = line_classes(lines, edits)
     rows = lines.select("id", "number", "h1", "h2")
     rows = rows.join(checked_broadcast(classes), ["h1", "h2"], "left")
     per = rows.groupBy("id", F.coalesce("label", "h1").alias("k1"), F.when(F.col("label").isNull(), F.col("h2")).otherwise(-1).alias("k2"), F.col("label").isNotNull().alias("near"), (F.col("number") < 0).alias("mark"))
