@@ -5,13 +5,16 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contained_items
+from .licenses import scan_licenses
 from .line_dedup import dedup_lines
+from .merkle import fold, leaf_digest, merkle_manifest, proof_digest
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .oracles import ORACLE
@@ -80,6 +83,28 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    head = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    small = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, leaf_digest(*head, small))
+    out = merkle_manifest(docs, leaf_digest(*head, F.col("text")), F.col("source"), F.col("doc_id"), {"doc_id": F.col("doc_id"), "changed": F.unhex(changed)})
+    folded = fold(F.col("proof"), F.coalesce(F.lower(F.hex("changed")), F.col("leaf")))
+    out = out.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("license_spans", lambda s: s["base"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    starts = F.transform(base, lambda s: s["start"])
+    return found.select(
+        "doc_id", F.col("license_words").alias("n_words"), F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("license_spans")).alias("labels"), F.col("license_score").alias("score"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secrets": op2_secrets,
@@ -91,6 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_training_order": op9_training_order,
     "op10_topk": op10_topk,
+    "op11_manifest": op11_manifest,
+    "op12_licenses": op12_licenses,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
