@@ -1,7 +1,7 @@
 """Self-tuning k-nearest-neighbour graphs, kernel posteriors, and the graph operator.
 
-Landmarks (graph vertices) are a bounded sample: ``MAX_LANDMARKS`` rows.  Their
-matrix is broadcast; queries of any number stream past it in Arrow batches.
+Up to ``MAX_LANDMARKS`` landmarks (graph vertices) are broadcast, and queries of any
+number stream past them in Arrow batches; more landmarks are joined by pivots.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import information, information_bound
+from .metric_join import knn_by_pivots, nearest
 
 MAX_LANDMARKS = 20_000
 FLOOR = 1e-12
@@ -30,9 +31,10 @@ def _matrix(vertices: DataFrame, id_col: str, vector_col: str) -> tuple[np.ndarr
 def knn(queries: DataFrame, landmarks: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """(src, dst, rank, d2): exact nearest landmarks of each query, ties to the smaller id.
 
-    A rough distance picks all landmarks that its rounding leaves among the nearest k,
-    however many tie; those are ranked by the exact one.
+    Up to ``MAX_LANDMARKS`` landmarks are broadcast; more are joined by pivots.
     """
+    if landmarks.limit(MAX_LANDMARKS + 1).count() > MAX_LANDMARKS:
+        return knn_by_pivots(queries, landmarks, k, id_col, vector_col, exclude_self)
     ids, points = _matrix(landmarks, id_col, vector_col)
     k = min(k, len(ids) - int(exclude_self))
     held = queries.sparkSession.sparkContext.broadcast((ids, points))
@@ -41,37 +43,11 @@ def knn(queries: DataFrame, landmarks: DataFrame, k: int, id_col: str = "vec_id"
         ids, points = held.value
         if k < 1:
             return
-        square = (points * points).sum(axis=1)
-        # The rough distance is off by less than this share of |x|^2 + |p|^2, the exact one's own rounding included.
-        share = 4 * (points.shape[1] + 8) * np.finfo(np.float64).eps
-        step = max(1, (1 << 20) // points.shape[1])
         for batch in it:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                own = part.column(0).to_numpy(zero_copy_only=False)
-                x = np.array(part.column(1).to_pylist(), np.float64)
-                with np.errstate(all="ignore"):
-                    norms = (x * x).sum(axis=1)[:, None] + square
-                    rough = norms - 2 * x @ points.T
-                    norms *= share
-                    norms += 1e-300
-                    unsure = ~np.isfinite(rough)
-                    high, low = rough + norms, rough - norms
-                high[unsure], low[unsure] = np.inf, -np.inf
-                if exclude_self:
-                    high[own[:, None] == ids[None, :]] = np.inf
-                near_enough = low <= np.partition(high, k - 1, axis=1)[:, k - 1 : k]
-                if exclude_self:
-                    near_enough &= own[:, None] != ids[None, :]
-                cols: list[list[np.ndarray]] = [[], [], [], []]
-                for r in range(len(x)):
-                    cand = np.flatnonzero(near_enough[r])
-                    with np.errstate(over="ignore"):
-                        d2 = np.concatenate([((x[r] - points[cand[i : i + step]]) ** 2).sum(axis=1) for i in range(0, max(1, len(cand)), step)])
-                    order = np.lexsort((ids[cand], d2))[:k]
-                    for c, v in zip(cols, (np.full(len(order), own[r]), ids[cand[order]], np.arange(1, len(order) + 1, dtype=np.int32), d2[order]), strict=True):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["src", "dst", "rank", "d2"])
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            row, dst, d2 = nearest(np.array(batch.column(1).to_pylist(), np.float64), own, points, ids, k, exclude_self)
+            first = np.searchsorted(row, row)
+            yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(dst), pa.array((np.arange(len(row)) - first + 1).astype(np.int32)), pa.array(d2)], ["src", "dst", "rank", "d2"])
 
     return queries.select(F.col(id_col).cast("long"), vector_col).mapInArrow(near, "src long, dst long, rank int, d2 double")
 

@@ -1,7 +1,8 @@
 """Low modes of the graph operator, their extension to new points, and states.
 
-The operator lives on at most ``graph.MAX_LANDMARKS`` vertices, so its modes are
-solved on the driver from its entries; everything per query stays distributed.
+Modes of an operator on at most ``graph.MAX_LANDMARKS`` vertices are solved on the
+driver from its entries, those of a larger one by ``eigensolver``; everything per query
+stays distributed.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stored import stored
+from .eigensolver import smallest_modes
 from .graph import MAX_LANDMARKS
 
 DENSE = 3000
@@ -46,10 +49,13 @@ def _lanczos(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n: int, k:
 
 
 def solve_modes(entries: DataFrame, k: int, degrees: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(k, epsilon) of the k smallest eigenvalues, ascending, and (id, u, phi), phi = u / sqrt(degree)."""
+    """(k, epsilon) of the k smallest eigenvalues, ascending, and (id, u, phi), phi = u / sqrt(degree).
+
+    The component of u that is largest in size is positive.
+    """
     deg = {r["id"]: r["degree"] for r in degrees.select("id", "degree").limit(MAX_LANDMARKS + 1).collect()}
     if len(deg) > MAX_LANDMARKS:
-        raise ValueError(f"an operator has at most {MAX_LANDMARKS} vertices")
+        return distributed_modes(entries, k, degrees, seed)
     ids = np.array(sorted(deg))
     got = entries.select("src", "dst", "value").toPandas()
     r, c = np.searchsorted(ids, got["src"]), np.searchsorted(ids, got["dst"])
@@ -69,6 +75,17 @@ def solve_modes(entries: DataFrame, k: int, degrees: DataFrame, seed: int = 0) -
     return eigen, modes
 
 
+def distributed_modes(entries: DataFrame, k: int, degrees: DataFrame, seed: int = 0, **how) -> tuple[DataFrame, DataFrame]:
+    """``solve_modes`` for any number of vertices: neither entries nor vectors come to the driver."""
+    values, vectors = smallest_modes(entries, k, seed, **how)
+    vectors = stored(vectors)
+    largest = [F.max_by(F.get("u", F.lit(j)), F.struct(F.abs(F.get("u", F.lit(j))), -F.col("id"))).alias(str(j)) for j in range(len(values))]
+    signs = [-1.0 if x is not None and x < 0 else 1.0 for x in (vectors.agg(*largest).first() if values else [])]
+    turned = F.transform("u", lambda x, j: x * F.get(F.array(*map(F.lit, signs)), j)) if values else F.col("u")
+    modes = vectors.select("id", turned.alias("u")).join(degrees.select("id", "degree"), "id").select("id", "u", F.transform("u", lambda x: x / F.sqrt("degree")).alias("phi"))
+    return entries.sparkSession.createDataFrame([(j + 1, float(x)) for j, x in enumerate(values)], "k int, epsilon double"), modes
+
+
 def residuals(entries: DataFrame, eigen: DataFrame, modes: DataFrame) -> DataFrame:
     """(k, residual): the norm of H u - epsilon u of each mode."""
     long = modes.select("id", F.posexplode("u").alias("k", "x")).withColumn("k", F.col("k") + 1)
