@@ -45,6 +45,22 @@ def running_sums(df: DataFrame, order: str, sums: dict[str, str], by: tuple[str,
     return out.select(*df.columns, *((F.col(n) + F.col(f"_{n}")).alias(n) for n in sums))
 
 
+def following(df: DataFrame, order: str, columns: list[str], by: tuple[str, ...] = (), descending: bool = False, ranges: int | None = None) -> DataFrame:
+    """``df``, written once, with ``next``: the columns of the row that follows in the order within ``by``, null after the last.
+
+    Order values are distinct within ``by``.  The last row of a range finds the next one
+    in the first row of the ranges after it.
+    """
+    df = stored(df)
+    binned = df.withColumn("_bin", range_bin(df, order, ranges))
+    held, way = F.struct(*columns), (lambda c: F.col(c).desc() if descending else F.col(c).asc())
+    edge = F.max_by if descending else F.min_by
+    heads = binned.groupBy(*by, "_bin").agg(edge(held, F.col(order)).alias("_head"))
+    heads = heads.select(*by, "_bin", F.lead("_head").over(Window.partitionBy(*by).orderBy(way("_bin"))).alias("_head"))
+    inner = F.lead(held).over(Window.partitionBy(*by, "_bin").orderBy(way(order)))
+    return binned.withColumn("next", inner).join(heads, [*by, "_bin"]).select(*df.columns, F.coalesce("next", "_head").alias("next"))
+
+
 def quantiles(df: DataFrame, value: str, shares: list[float], by: tuple[str, ...] = ()) -> DataFrame:
     """(by, n, q): linear quantiles ``q``, in the order of ``shares``, of the values that are not null; n of them.
 

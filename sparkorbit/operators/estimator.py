@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import clip
 from ..functions.stored import stored
 from . import dimension, graph, readout, spectrum
 from .roles import proportional_sample
@@ -80,18 +80,17 @@ class OrbitalClassifier:
             chosen = dimension.greedy_blocks(dimension.block_scores(dimension.gate_gradient(state, m1, prior), blocks), self.mass)
             selected = sorted(r["k"] for r in chosen.where("selected").join(blocks, "block").select("k").collect())
             picked = spectrum.states(ext, selected)
-            rows = picked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "a"))).alias("s")).join(rest.select("id", "y"), "id").orderBy("id").collect()
-            a = np.array([[v["a"] for v in r["s"]] for r in rows])
-            y = np.array([r["y"] for r in rows])
-            probe = np.arange(len(y)) % 5 == 0
-            trial = readout.fit_readout(a[~probe], y[~probe])
-            p = np.clip(np.einsum("ni,ij,nj->n", a[probe], trial.m[1], a[probe]), 1e-7, 1 - 1e-7)
-            loss = float(-(y[probe] * np.log(p) + (1 - y[probe]) * np.log(1 - p)).mean())
+            rows = picked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "a"))).alias("s")).join(rest.select("id", "y"), "id")
+            rows = stored(rows.select("id", F.col("s.a").alias("a"), "y"))
+            probe = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0
+            trial = readout.fit_states(rows.where(~probe))
+            p = clip(readout.quadratic(F.col("a"), trial.m[1]), 1e-7, 1 - 1e-7)
+            loss = float(rows.where(probe).agg(F.avg(-F.ln(F.when(F.col("y") == 1, p).otherwise(1 - p)))).first()[0])
             ceiling = max(selected) >= prefix
             self.candidates.append({"beta": beta, "prefix": prefix, "selected": selected, "ceiling": ceiling, "loss": loss})
             if best is None or (ceiling, loss) < best_key:
                 best_key = (ceiling, loss)
-                best = fit | {"loss": loss, "selected": selected, "readout": readout.fit_readout(a, y), "prefix": prefix}
+                best = fit | {"loss": loss, "selected": selected, "readout": readout.fit_states(rows), "prefix": prefix}
         if best is None:
             raise ArithmeticError("no operator has a stable prefix of modes")
         self.fitted = best

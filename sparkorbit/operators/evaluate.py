@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import clopper_pearson
-from ..functions.prefix import quantiles, running_sums
+from ..functions.prefix import following, quantiles, running_sums
 from ..functions.scalars import clip, finite
 from ..functions.stored import stored
 
@@ -60,6 +60,18 @@ def roc_table(df: DataFrame, by: tuple[str, ...] = ("method",), totals: bool = F
     return out.select(*by, "threshold", "tp", "fp", "tpr", "fpr", F.when(F.col("fp") > 0, 1 / F.nullif(F.col("fpr"), F.lit(0.0))).alias("rejection"), (F.col("fp") == 0).alias("censored"), *(("n_pos", "n_neg") if totals else ()))
 
 
+def roc_corners(df: DataFrame, by: tuple[str, ...] = ("method",)) -> DataFrame:
+    """``roc_table`` without the points in the middle of a line: those after which the counts grow as before them.
+
+    The empty point, the first threshold and the last stay, and so the area is the same.
+    """
+    counts = following(score_counts(df, by), "score", ["pos", "neg"], by, descending=True)
+    first = counts.groupBy(*by).agg(F.max("score").alias("_first"))
+    inner = (F.col("next.pos") == F.col("pos")) & (F.col("next.neg") == F.col("neg")) & (F.col("score") != F.col("_first"))
+    gone = counts.join(F.broadcast(first), list(by)).where(inner).select(*by, F.col("score").cast("double").alias("threshold"))  # a row for each method
+    return roc_table(df, by).join(gone, [*by, "threshold"], "left_anti")
+
+
 def thresholds(df: DataFrame, efficiencies: list[float], by: tuple[str, ...] = ("method",)) -> DataFrame:
     """(by, efficiency, threshold): linear quantile 1 - efficiency of the signal scores."""
     held = quantiles(df.where("y = 1"), "score", [1 - e for e in efficiencies], by)

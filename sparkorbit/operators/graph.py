@@ -95,8 +95,32 @@ def query_affinities(queries: DataFrame, landmarks: DataFrame, k: int = 8, k_sig
 
 
 def dense_affinities(queries: DataFrame, landmarks: DataFrame, k_sigma: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(src, dst, w): weights of all landmarks for each query, of the scales of ``query_affinities``."""
-    return query_affinities(queries, landmarks, max(1, landmarks.count()), k_sigma, id_col, vector_col)
+    """(src, w: array): weights of all landmarks, by id, for each query; of the scales of ``query_affinities``.
+
+    One row for each query, and at most ``MAX_LANDMARKS`` landmarks: more are refused,
+    as each would be a component of every array.
+    """
+    ids, points = _matrix(landmarks, id_col, vector_col)
+    near_l = knn(landmarks, landmarks, k_sigma, id_col, vector_col, exclude_self=True)
+    scales = {r["id"]: r["sigma"] for r in local_scales(near_l, min(k_sigma, max(1, len(ids) - 1))).collect()}
+    sigma = np.array([scales[i] for i in ids.tolist()], np.float64)
+    middle = float(np.median(sigma)) if len(sigma) else 1.0
+    held = queries.sparkSession.sparkContext.broadcast((points, sigma))
+
+    def weigh(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, sigma = held.value
+        k = min(k_sigma, len(points))
+        for batch in it:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                x = np.array(part.column(1).to_pylist(), np.float64)
+                d2 = np.stack([((points - v) ** 2).sum(axis=1) for v in x])
+                own = np.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1]) if k else np.zeros(len(x))
+                own = np.where(own > 0, own, middle)
+                w = np.exp(-d2 / np.maximum(own[:, None] * sigma, FLOOR))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(w))], ["src", "w"])
+
+    return queries.select(F.col(id_col).cast("long").alias("src"), vector_col).mapInArrow(weigh, "src long, w array<double>")
 
 
 def class_priors(labels: DataFrame, label: str = "y") -> DataFrame:

@@ -23,6 +23,11 @@ def simplest_equivalent(arms: DataFrame, lower: str = "lower", score: str = "sco
     return least_by(near, F.col(size).asc(), F.col(score).desc(), F.col(k).asc(), F.col(name).asc())
 
 
-def distinct_sets(arms: DataFrame, bank: str, selected: str, name: str = "arm") -> DataFrame:
-    """One arm, the first by name, of those of a bank that select the same set."""
-    return arms.groupBy(bank, selected).agg(F.min(name).alias(name))
+def distinct_sets(arms: DataFrame, bank: str, selected: str, k: str = "k", name: str = "arm") -> DataFrame:
+    """One arm, the one of the smallest k, then the first by name, of those of a bank that select the same set.
+
+    ``selected`` is an array; its order and repeated members do not matter.
+    """
+    best = F.min(F.struct(F.col(k).alias("k"), F.col(name).alias("name")))
+    out = arms.groupBy(bank, F.array_sort(F.array_distinct(selected)).alias(selected)).agg(best.alias("_b"))
+    return out.select(bank, selected, F.col("_b.k").alias(k), F.col("_b.name").alias(name))

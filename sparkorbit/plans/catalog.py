@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..functions.intervals import paired_binomial
 from ..functions.stored import stored
-from ..operators import align, bootstrap, dimension, evaluate, features, graph, readout, roles, selection, spectrum
+from ..operators import align, bootstrap, dimension, evaluate, features, gated_encoder, graph, metric_join, readout, roles, selection, spectrum
 from ..operators import tracks as tk
 from ..sources import artifacts, tables
 from ..sources import jets as scan
@@ -177,8 +177,7 @@ def tail_split(spark, sf):
 
 @query
 def event_halves(spark, sf):
-    j = px.jets(spark, sf).where("event_number < 100")
-    return roles.event_halves(j, "event_number", 21).groupBy("event_number", "half").agg(F.count("*").alias("n"))
+    return roles.event_halves(px.jets(spark, sf), "event_number", 21).groupBy("event_number", "half").agg(F.count("*").alias("n"))
 
 
 @query
@@ -377,6 +376,27 @@ def node_inputs_hybrid(spark, sf):
     return _inputs(spark, sf, "hybrid", ["s"])
 
 
+def _encoder_rows(spark, sf):
+    """Jets of two flavours with the hybrid inputs of their tracks: key, event, y, nodes, context."""
+    x = tk.node_inputs(px.tracks(spark, sf), "jet", "slot", ["s", "z"], "hybrid", ["s", "z", "u", "v"], 2, 1.5)
+    nodes = x.groupBy("jet").agg(F.array_sort(F.collect_list(F.struct("slot", "x"))).alias("t"))
+    j = px.two_flavours(spark, sf).join(nodes, F.col("jet") == F.col("source_row"), "left")
+    return stored(j.select(F.col("source_row").alias("key"), F.col("event_number").alias("event"), "y", F.col("t.x").alias("nodes"), F.array(F.col("pt") / 1e5, F.col("eta")).alias("context")))
+
+
+@query
+def architecture_search(spark, sf):
+    arms = [{"hidden": h, "depth": d, "heads": m} for h, d, m in ((4, 1, 1), (8, 1, 1), (8, 2, 1), (8, 1, 2), (12, 2, 2), (8, 3, 4))]
+    shape = gated_encoder.Shape(fields=2, branches=5, context=2, geometry=6)
+    return gated_encoder.search(_encoder_rows(spark, sf), shape, arms, rungs=(4, 8, 16))
+
+
+@query
+def gated_branches(spark, sf):
+    model = gated_encoder.GatedEncoder(gated_encoder.Shape(fields=2, branches=5, context=2, hidden=6, geometry=4), steps=12, refit_steps=4).fit(_encoder_rows(spark, sf))
+    return rounded(spark.createDataFrame([(i, float(a), bool(b)) for i, (a, b) in enumerate(zip(model.soft, model.gates, strict=True))], "branch int, gate double, open boolean"), "gate")
+
+
 @query
 def dropout_shift(spark, sf):
     """The change of a jet's mean significance, squashed, when tracks are dropped."""
@@ -557,6 +577,23 @@ def knn_edges(spark, sf):
     return rounded(graph.knn(p, p, 8, exclude_self=True), "d2").select("src", "dst", F.col("rank").cast("long").alias("rank"), "d2")
 
 
+@query
+def knn_by_pivots(spark, sf):
+    p = px.points(spark, sf)
+    out = metric_join.knn_by_pivots(p, p, 8, exclude_self=True)
+    return rounded(out, "d2").select("src", "dst", F.col("rank").cast("long").alias("rank"), "d2")
+
+
+@query
+def distributed_modes(spark, sf):
+    _, edges, pot = _graph(spark, sf)
+    h = stored(graph.graph_operator(graph.laplacian(edges), pot.select("id", "v")))
+    eigen, modes = spectrum.distributed_modes(h, 6, graph.degrees(edges))
+    unit = modes.select(F.posexplode(F.transform("u", lambda x: x * x)).alias("k", "n")).groupBy((F.col("k") + 1).alias("k")).agg(F.sum("n").alias("n"))
+    out = spectrum.residuals(h, eigen, stored(modes)).join(unit, "k")
+    return out.select(F.col("k").cast("long").alias("k"), (F.col("residual") < 1e-6).alias("converged"), (F.abs(F.col("n") - 1) < 1e-9).alias("unit"))
+
+
 @query
 def self_tuning_graph(spark, sf):
     return rounded(_graph(spark, sf)[1], "w")
@@ -600,9 +637,11 @@ def neighbour_ranks(spark, sf):
 
 @query
 def dense_affinities(spark, sf):
-    p = px.points(spark, sf).where("vec_id < 200")
-    marks, asked = p.where("vec_id % 2 = 0"), p.where("vec_id % 2 = 1")
-    return rounded(graph.dense_affinities(asked, marks), "w")
+    p = px.points(spark, sf)
+    w = graph.dense_affinities(p.where("vec_id % 2 = 1"), p.where("vec_id % 2 = 0"))
+    total = lambda f: F.aggregate(F.transform("w", f), F.lit(0.0), lambda s, x: s + x)
+    out = w.select("src", F.size("w").cast("long").alias("n"), total(lambda x: x).alias("total"), F.array_max("w").alias("most"), total(lambda x, j: x * (j % 7)).alias("placed"))
+    return rounded(out, "total", "most", "placed")
 
 
 @query
@@ -671,7 +710,9 @@ def orbital_state(spark, sf):
 
 @query
 def spectral_blocks(spark, sf):
-    return dimension.spectral_blocks(px.eigen(spark))
+    c = px.table(spark, sf, "customer").groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal"), -2).alias("epsilon"))
+    order = Window.orderBy("epsilon", "c_nationkey")  # a row for each nation
+    return dimension.spectral_blocks(c.select(F.row_number().over(order).cast("long").alias("k"), "epsilon"))
 
 
 def _shares(spark, sf):
@@ -770,7 +811,7 @@ def gated_inclusion(spark, sf):
 @query
 def screening_measurement(spark, sf):
     labels = px.points(spark, sf).select(F.col("vec_id").alias("id"), "y")
-    m = dimension.screening_measurement(spectrum.states(px.modes(spark, sf), [1, 3]).withColumn("k", (F.col("k") + 1) / 2), labels, 2)
+    m = dimension.screening_measurement(spectrum.states(px.modes(spark, sf), [1, 3]).withColumn("k", ((F.col("k") + 1) / 2).cast("int")), labels, 2)
     return rounded(dimension.measurement_frame(labels, m[1]), "m")
 
 
@@ -815,6 +856,12 @@ def roc_table(spark, sf):
     return rounded(evaluate.roc_table(px.scores(spark, sf)), "tpr", "fpr", "rejection")
 
 
+@query
+def roc_corners(spark, sf):
+    out = evaluate.roc_corners(px.scores(spark, sf))
+    return rounded(out.select("method", "threshold", "tp", "fp", "tpr", "fpr"), "tpr", "fpr")
+
+
 @query
 def working_points(spark, sf):
     return rounded(evaluate.working_points(px.scores(spark, sf), _EFFICIENCIES), "threshold", "signal_efficiency", "mistag_rate", "rejection")
@@ -908,7 +955,7 @@ def aligned_states(spark, sf):
 @query
 def feature_join(spark, sf):
     j = px.jets(spark, sf).select("source_row", "pt")
-    t = px.tracks(spark, sf).where("slot <= 2").groupBy(F.col("jet").alias("source_row")).agg(r6(F.max("s"), "most"))
+    t = px.tracks(spark, sf).groupBy(F.col("jet").alias("source_row")).agg(r6(F.max("s"), "most"))
     return artifacts.with_features(j, t)
 
 
@@ -1004,7 +1051,7 @@ def stratified_bootstrap_auc(spark, sf):
 
 @query
 def stratified_intervals(spark, sf):
-    return rounded(bootstrap.interval_table(_stratified(spark, sf)), "lower", "upper", "se")
+    return rounded(bootstrap.interval_table(_stratified(spark, sf)), "lower", "upper", "se", digits=9)
 
 
 @query
@@ -1040,4 +1087,6 @@ def one_percent_select(spark, sf):
 
 @query
 def arm_dedup(spark, sf):
-    return selection.distinct_sets(_arms(spark, sf), "bank", "k")
+    every = F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3))
+    arms = _arms(spark, sf).withColumn("chosen", F.concat(F.filter(every, lambda x: x <= F.col("k") % 2), F.filter(every, lambda x: x == F.col("size") % 2)))
+    return selection.distinct_sets(arms, "bank", "chosen").withColumn("chosen", F.array_join("chosen", ","))

@@ -56,7 +56,7 @@ _GROUPED = px.BL + ", gb AS (SELECT *, event_number * 2 + y AS grp FROM bl), grp
 sql("group_limit", _GROUPED + ", " + ranked("k", "grp", 14, "grp") + ", n AS (SELECT sum(y) AS n1, sum(1 - y) AS n0, count(*) AS n, (SELECT count(*) FROM gb) AS rows FROM grp), w AS (SELECT *, least(greatest(round_even(n * 500.0 / rows, 0), 2), n - 1)::BIGINT AS w FROM n)", f"SELECT source_row, gb.grp FROM gb JOIN k USING (grp), w WHERE rows <= 500 OR r <= CASE WHEN k.y = 1 THEN {share('w')} ELSE w - {share('w')} END")
 sql("group_holdout", _GROUPED + ", " + ranked("k", "grp", 4, "grp") + ", f AS (SELECT ((r - 1) % 5)::INT AS fold, gb.y FROM gb JOIN k USING (grp)), t AS (SELECT count(*) AS n, avg(y) AS p FROM bl), e AS (SELECT fold, count(*) AS n, abs(count(*) / any_value(t.n) - 0.2::DOUBLE) AS size_error, abs(avg(y) - any_value(t.p)) AS balance_error FROM f, t GROUP BY 1)", "SELECT fold, n, round(size_error, 6) AS size_error, round(balance_error, 6) AS balance_error, row_number() OVER (ORDER BY round(size_error + balance_error, 12), fold) = 1 AS best FROM e")
 sql("tail_split", px.BL + ", n AS (SELECT count(*) AS n FROM jets)", "SELECT CASE WHEN source_row >= n - n // 5 THEN 'test' ELSE 'development' END AS role, count(*) AS n, sum(y)::BIGINT AS n_pos FROM bl, n GROUP BY 1")
-sql("event_halves", px.JETS + ", ev AS (SELECT event_number, count(*) AS n FROM jets WHERE event_number < 100 GROUP BY 1), " + px.splitmix("ev", "event_number", 21, "hashed"), "SELECT event_number, (h % 2)::INT AS half, n FROM hashed")
+sql("event_halves", px.JETS + ", ev AS (SELECT event_number, count(*) AS n FROM jets GROUP BY 1), " + px.splitmix("ev", "event_number", 21, "hashed"), "SELECT event_number, (h % 2)::INT AS half, n FROM hashed")
 sql("missing_classes", px.BL + f", r AS (SELECT y, {_ROLE} AS role FROM bl)", "SELECT role, count(DISTINCT y) AS n_classes FROM r WHERE role <> 'test' OR y = 1 GROUP BY 1 HAVING count(DISTINCT y) < 2")
 _SV = px.BL + f", a AS (SELECT source_row, event_number, CASE WHEN source_row % 211 = 0 THEN 'test' ELSE {_ROLE} END AS role, CASE WHEN source_row % 3 = 0 THEN 'encoder' WHEN source_row % 5 = 0 THEN 'early_stop' END AS part FROM bl), r AS (SELECT * FROM a WHERE source_row % 97 <> 0 UNION ALL SELECT * FROM a WHERE source_row % 31 = 0)"
 _OWN = "CASE role WHEN 'base' THEN event_number % 10 <= 5 WHEN 'operator' THEN event_number % 10 IN (6, 7) WHEN 'dimension' THEN event_number % 10 = 8 ELSE event_number % 10 = 9 END"
@@ -150,6 +150,8 @@ sql("gates", px.JETS + ", x AS (SELECT source_row, eta * 2 AS x FROM jets)", "SE
 
 # -- graph --------------------------------------------------------------------
 sql("knn_edges", px.GRAPH, "SELECT src, dst, rank, round(d2, 6) AS d2 FROM knn")
+sql("knn_by_pivots", px.GRAPH, "SELECT src, dst, rank, round(d2, 6) AS d2 FROM knn")
+sql("distributed_modes", "", "SELECT k, true AS converged, true AS unit FROM range(1, 7) t(k)")
 sql("self_tuning_graph", px.GRAPH, "SELECT src, dst, round(w, 6) AS w FROM edges")
 sql("graph_degree", px.GRAPH, "SELECT round(min(degree), 6) AS least, round(median(degree), 6) AS middle, round(max(degree), 6) AS most, (SELECT count(*) FROM edges) AS nnz FROM vote")
 sql("kernel_posterior", px.GRAPH, "SELECT id, round(degree, 6) AS degree, round(p1, 6) AS p1 FROM post")
@@ -164,11 +166,12 @@ w AS (SELECT k.src, k.dst, exp(-k.d2 / greatest(a.sigma * b.sigma, 1e-12)) AS w
 pr AS (SELECT avg(y) AS p1 FROM marks)""", "SELECT src AS id, round(sum(w), 6) AS degree, round((sum(w * y) + any_value(p1)) / (sum(w) + 1), 6) AS p1 FROM w JOIN marks ON vec_id = dst, pr GROUP BY 1")
 sql("log_odds_field", px.GRAPH, "SELECT id, round(ln(p1 / prior1) - ln((1 - p1) / (1 - prior1)), 6) + 0 AS field FROM pot")
 sql("neighbour_ranks", px.GRAPH, "SELECT src, dst, w, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS place FROM edges")
-sql("dense_affinities", px.POINTS + """, marks AS (SELECT * FROM points WHERE vec_id < 200 AND vec_id % 2 = 0), asked AS (SELECT * FROM points WHERE vec_id < 200 AND vec_id % 2 = 1),
+sql("dense_affinities", px.POINTS + """, marks AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM points WHERE vec_id % 2 = 0), asked AS (SELECT * FROM points WHERE vec_id % 2 = 1),
 pl AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.embedding, b.embedding) ** 2 AS d2 FROM marks a JOIN marks b ON a.vec_id <> b.vec_id),
-sl AS (SELECT src AS id, sqrt(d2) AS sigma FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(d2, 12), dst) AS r FROM pl) WHERE r = 4),
-pq AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.embedding, b.embedding) ** 2 AS d2 FROM asked a, marks b),
-sq AS (SELECT src AS id, sqrt(d2) AS sigma FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(d2, 12), dst) AS r FROM pq) WHERE r = 4)""", "SELECT k.src, k.dst, round(exp(-k.d2 / greatest(a.sigma * b.sigma, 1e-12)), 6) AS w FROM pq k JOIN sq a ON a.id = k.src JOIN sl b ON b.id = k.dst")
+sl AS (SELECT src AS id, sqrt((list_sort(list(d2)))[4]) AS sigma FROM pl GROUP BY 1),
+pq AS (SELECT a.vec_id AS src, b.vec_id AS dst, b.place, list_distance(a.embedding, b.embedding) ** 2 AS d2 FROM asked a, marks b),
+sq AS (SELECT src AS id, sqrt((list_sort(list(d2)))[4]) AS sigma FROM pq GROUP BY 1),
+w AS (SELECT k.src, k.place, exp(-k.d2 / greatest(a.sigma * b.sigma, 1e-12)) AS w FROM pq k JOIN sq a ON a.id = k.src JOIN sl b ON b.id = k.dst)""", "SELECT src, count(*) AS n, round(sum(w), 6) AS total, round(max(w), 6) AS most, round(sum(w * (place % 7)), 6) AS placed FROM w GROUP BY 1")
 sql("laplacian_entries", px.LAPLACIAN, "SELECT src, dst, round(value, 6) AS value FROM lap")
 _H = px.LAPLACIAN + ", h AS (SELECT src, dst, sum(value) AS value FROM (SELECT * FROM lap UNION ALL SELECT id, id, 0.5 * v FROM pot) GROUP BY 1, 2)"
 sql("operator_entries", _H, "SELECT src, dst, round(value, 6) AS value FROM h")
@@ -183,7 +186,7 @@ sql("extend_stable", _EXT4, "SELECT id, k, round(s / den, 6) AS phi FROM ext WHE
 sql("occupations", px.CLOSED, "SELECT id, (k - 1)::INT AS place, round(a * a, 6) AS n FROM state")
 sql("orbital_state", px.CLOSED, "SELECT id, k, round(phi / sqrt(sum(phi * phi) OVER (PARTITION BY id) + 1e-12), 6) AS a FROM modes WHERE k IN (1, 3, 4)")
 _BLOCKS = px.CLOSED + ", gap AS (SELECT *, epsilon - lag(epsilon) OVER (ORDER BY epsilon, k) AS g, 100 * sqrt(2.220446049250313e-16) * greatest(1, max(abs(epsilon)) OVER ()) AS tol FROM eigen), blocks AS (SELECT k, epsilon, sum(CASE WHEN g > tol THEN 1 ELSE 0 END) OVER (ORDER BY epsilon, k)::BIGINT AS block FROM gap)"
-sql("spectral_blocks", _BLOCKS, "SELECT * FROM blocks")
+sql("spectral_blocks", "c AS (SELECT c_nationkey, round(avg(c_acctbal), -2) AS epsilon FROM customer GROUP BY 1), eigen AS (SELECT row_number() OVER (ORDER BY epsilon, c_nationkey) AS k, epsilon FROM c), gap AS (" + _BLOCKS.split("gap AS (")[1], "SELECT * FROM blocks")
 _SHARES = _BLOCKS + """, field AS (SELECT vec_id AS id, CASE WHEN label >= 5 THEN 1 ELSE 0 END + cos(vec_id * 0.2::DOUBLE) AS g, (1 + vec_id % 3)::DOUBLE AS degree FROM embeddings),
 centre AS (SELECT sum(degree * g) / sum(degree) AS m FROM field),
 proj AS (SELECT k, sum(degree * phi * (g - m)) / sqrt(sum(degree * phi * phi)) AS c FROM modes JOIN field USING (id), centre GROUP BY 1),
@@ -221,6 +224,12 @@ _GREEDY = _BS + ', r AS (SELECT *, score / sum(score) OVER () AS q, row_number()
 sql("gated_records", _GREEDY, "SELECT k, epsilon, block, round(score / size, 6) AS score, round(q / size, 6) AS weight, rank <= last AS selected, row_number() OVER (ORDER BY q / size DESC, k) AS rank FROM s JOIN blocks USING (block), e")
 sql("gated_inclusion", _BS + ", ids AS (SELECT DISTINCT id, 1 AS one FROM per), " + ranked("rk", "ids", 60, "id", "one") + ", " + draws("dw", 6, "SELECT count(*) FROM ids", "SELECT count(*) FROM ids", 61) + ', sc AS (SELECT replicate, block, sum(w * g * g) / sum(w) AS score FROM per JOIN rk USING (id) JOIN dw USING (r) GROUP BY 1, 2), r AS (SELECT replicate, block, size, score / sum(score) OVER (PARTITION BY replicate) AS q, row_number() OVER (PARTITION BY replicate ORDER BY sc.score DESC, "first") AS rank FROM sc JOIN (SELECT block, "first", size FROM bs) USING (block)), s AS (SELECT *, sum(q) OVER (PARTITION BY replicate ORDER BY rank) AS mass, sum(size) OVER (PARTITION BY replicate ORDER BY rank) AS modes, 1 / sum(q * q) OVER (PARTITION BY replicate) AS p FROM r), e AS (SELECT replicate, coalesce(min(rank) FILTER (mass >= 0.8 - 1e-12 AND rank >= ceil(p) AND modes >= 2), max(rank)) AS last FROM s GROUP BY 1)', "SELECT k, round(count(*) / 6, 6) AS frequency FROM s JOIN e USING (replicate) JOIN blocks USING (block) WHERE rank <= last GROUP BY 1")
 _M0 = "(CASE WHEN m.i = m.j THEN 1 ELSE 0 END - m.m / 3)"
+sql("screening_measurement", px.CLOSED + """, a AS (SELECT id, phi, k, phi / sqrt(sum(phi * phi) OVER (PARTITION BY id) + 1e-12) AS a FROM modes WHERE k IN (1, 3)),
+v AS (SELECT id, max(a) FILTER (k = 1) AS a1, max(a) FILTER (k = 3) AS a2 FROM a GROUP BY 1),
+e AS (SELECT CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y, avg(a1 * a1) + 0.0005::DOUBLE AS e11, avg(a1 * a2) AS e12, avg(a2 * a2) + 0.0005::DOUBLE AS e22 FROM v JOIN embeddings ON vec_id = id GROUP BY 1),
+s AS (SELECT sum(e11) AS p, sum(e12) AS q, sum(e22) AS r FROM e), d AS (SELECT *, sqrt(p * r - q * q) AS d FROM s),
+t AS (SELECT (r + d) / (d * n) AS t11, -q / (d * n) AS t12, (p + d) / (d * n) AS t22 FROM (SELECT *, sqrt(p + r + 2 * d) AS n FROM d)),
+m AS (SELECT t11 * t11 * e11 + 2 * t11 * t12 * e12 + t12 * t12 * e22 AS m11, t11 * t12 * e11 + (t11 * t22 + t12 * t12) * e12 + t12 * t22 * e22 AS m12, t12 * t12 * e11 + 2 * t12 * t22 * e12 + t22 * t22 * e22 AS m22 FROM e, t WHERE y = 1)""", "SELECT 1 AS i, 1 AS j, round(m11, 6) AS m FROM m UNION ALL SELECT 1, 2, round(m12, 6) FROM m UNION ALL SELECT 2, 1, round(m12, 6) FROM m UNION ALL SELECT 2, 2, round(m22, 6) FROM m")
 sql("probability_decomposition", px.CLOSED + f", t AS (SELECT a.id, a.k AS i, b.k AS j, a.a * m.m * b.a AS v1, a.a * {_M0} * b.a AS v0 FROM state a JOIN state b USING (id) JOIN meas m ON m.i = a.k AND m.j = b.k), g AS (SELECT id, sum(v1) AS p1, sum(v0) AS p0, sum(v1) FILTER (i = j) AS d1, sum(v0) FILTER (i = j) AS d0 FROM t GROUP BY 1)", 'SELECT id, round(p1 / greatest(p0 + p1, 1e-12), 6) AS p, round(d1 / greatest(p0 + p1, 1e-12), 6) AS diagonal, round(d1 / greatest(d0 + d1, 1e-12), 6) AS diagonal_only, round((p1 - d1) / greatest(p0 + p1, 1e-12), 6) AS "cross" FROM g')
 sql("psd_probability", px.CLOSED + ", t AS (SELECT a.id, a.k AS i, b.k AS j, a.a * m.m * b.a AS v FROM state a JOIN state b USING (id) JOIN meas m ON m.i = a.k AND m.j = b.k)", "SELECT id, round(sum(v), 6) AS p, round(coalesce(sum(v) FILTER (i = j), 0), 6) AS diagonal, round(sum(v) - coalesce(sum(v) FILTER (i = j), 0), 6) AS \"cross\" FROM t GROUP BY 1")
 
@@ -238,6 +247,8 @@ _DESC = px.SCORES + ", cnt AS (SELECT method, score, sum(y) AS p, sum(1 - y) AS
 _AP = "sum(p * tp / (tp + fp)) / sum(p)"
 sql("average_precision", _DESC, f"SELECT method, round({_AP}, 6) AS average_precision FROM run GROUP BY 1")
 _ROC = _DESC + ", roc AS (SELECT method, score AS threshold, tp, fp, tot_p, tot_n FROM run UNION ALL SELECT DISTINCT method, NULL, 0, 0, tot_p, tot_n FROM run)"
+sql("roc_corners", _DESC + """, c AS (SELECT *, lag(tp) OVER w IS NULL AS first, tp - coalesce(lag(tp) OVER w, 0) AS p0, fp - coalesce(lag(fp) OVER w, 0) AS n0, lead(tp) OVER w - tp AS p1, lead(fp) OVER w - fp AS n1 FROM run WINDOW w AS (PARTITION BY method ORDER BY score DESC)),
+k AS (SELECT method, score AS threshold, tp, fp, tot_p, tot_n FROM c WHERE first OR p1 IS NULL OR p0 <> p1 OR n0 <> n1 UNION ALL SELECT DISTINCT method, NULL, 0, 0, tot_p, tot_n FROM run)""", "SELECT method, threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, round(tp / tot_p, 6) AS tpr, round(fp / tot_n, 6) AS fpr FROM k")
 sql("roc_table", _ROC, "SELECT method, threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, round(tp / tot_p, 6) AS tpr, round(fp / tot_n, 6) AS fpr, CASE WHEN fp > 0 THEN round(1 / (fp / tot_n), 6) END AS rejection, fp = 0 AS censored FROM roc")
 _EFF = (0.65, 0.7, 0.77, 0.85, 0.9)
 
@@ -271,7 +282,7 @@ _RHO = _RK + ", rho AS (" + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}'
 sql("enough_points", px.JETS + ", n AS (SELECT count(*) AS n FROM jets), k AS (SELECT source_row, event_number, row_number() OVER (ORDER BY source_row) - 1 AS k FROM jets)", "SELECT source_row, event_number FROM k, n WHERE n <= 400 OR k = round(round(k / ((n - 1) / 399)) * ((n - 1) / 399))")
 sql("aligned_comparison", px.SCORES + ", " + _WIDE, "SELECT * FROM wide")
 sql("aligned_states", px.BL, "SELECT source_row, event_number, y, y - 0.5::DOUBLE AS orbital_1, source_row % 7 / 8 AS orbital_2, source_row % 5 / 4 AS orbital_3 FROM bl")
-sql("feature_join", px.JETS + ", " + px.TRACKS, "SELECT source_row, pt, round(max(s) FILTER (slot <= 2), 6) AS most FROM jets LEFT JOIN tracks ON jet = source_row GROUP BY 1, 2")
+sql("feature_join", px.JETS + ", " + px.TRACKS, "SELECT source_row, pt, round(max(s), 6) AS most FROM jets LEFT JOIN tracks ON jet = source_row GROUP BY 1, 2")
 sql("spearman_matrix", _RHO, 'SELECT "left", "right", round(rho, 6) AS rho FROM rho')
 sql("best_feature_per_group", _RHO, 'SELECT "left", "right", round(rho, 6) AS rho FROM (SELECT *, row_number() OVER (PARTITION BY "left" ORDER BY abs(rho) DESC, "right") AS k FROM rho) WHERE k = 1')
 for _n, _s in (("class_summary", "stddev_samp"), ("class_summary_population", "stddev_pop")):
@@ -296,7 +307,7 @@ _ARMS = 'a0 AS (SELECT c_nationkey AS arm, round(avg(c_acctbal), 2) AS score, co
 sql("screen_topk", _ARMS, "SELECT arm, score, size FROM arms ORDER BY score DESC, size, arm LIMIT 5")
 sql("arm_selection", _ARMS, 'SELECT arm, k, "lower" FROM arms ORDER BY k, "lower" DESC, arm LIMIT 1')
 sql("one_percent_select", _ARMS, 'SELECT arm, "lower", score, size FROM arms WHERE "lower" >= 0.9::DOUBLE * (SELECT max("lower") FROM arms) ORDER BY size, score DESC, k, arm LIMIT 1')
-sql("arm_dedup", _ARMS, "SELECT bank, k, min(arm) AS arm FROM arms GROUP BY 1, 2")
+sql("arm_dedup", _ARMS + ", c AS (SELECT *, array_to_string(list_filter([0, 1, 2, 3], lambda x: x <= k % 2 OR x = size % 2), ',') AS chosen FROM arms)", "SELECT bank, chosen, k, arm FROM (SELECT *, row_number() OVER (PARTITION BY bank, chosen ORDER BY k, arm) AS r FROM c) WHERE r = 1")
 
 # -- more of the above --------------------------------------------------------
 sql("physical_coordinates", px.TRACKS, "SELECT jet, round(max(abs(s)), 6) AS max_s, round(max(abs(z)), 6) AS max_z, count(*) AS n_tracks FROM tracks GROUP BY 1")
@@ -309,7 +320,7 @@ _N = "SELECT {} FROM sizes"
 _STRAT = px.SCORES + ", " + ranked("rk", "bl", 37) + ", c0 AS (SELECT sum(1 - y) AS n0, sum(y) AS n1, least(count(*), 4000) AS n, count(*) AS everything FROM bl), sizes AS (SELECT n0, n1, least(greatest(1, round_even(n * n0 / everything, 0)), n - 1)::BIGINT AS z, n - least(greatest(1, round_even(n * n0 / everything, 0)), n - 1)::BIGINT AS o FROM c0), " + draws("d0", 4, _N.format("z"), _N.format("n0"), 41) + ", " + draws("d1", 4, _N.format("o"), _N.format("n1"), 42) + ", dw AS (SELECT *, 0 AS y FROM d0 UNION ALL SELECT *, 1 AS y FROM d1), drawn AS (SELECT s.method, s.score, s.y, replicate, w FROM scores s JOIN (SELECT source_row, y, r FROM rk) USING (source_row, y) JOIN dw USING (r, y)), " + auc("replicate, method", "drawn", "w") + f", st AS (SELECT replicate, method, {_LOSS} AS log_loss, {_ACC} AS accuracy, {_BAL} AS balanced_accuracy FROM drawn GROUP BY 1, 2), both_ AS (SELECT replicate, method, auc, log_loss, accuracy, balanced_accuracy FROM auc JOIN st USING (replicate, method))"
 _SM = ("auc", "log_loss", "accuracy", "balanced_accuracy")
 sql("stratified_bootstrap_auc", _STRAT, "SELECT replicate, method, " + ", ".join(f"round({c}, 6) AS {c}" for c in _SM) + " FROM both_")
-sql("stratified_intervals", _STRAT, " UNION ALL ".join(f"SELECT method, '{c}' AS metric, round(quantile_cont({c}, 0.025), 6) AS \"lower\", round(quantile_cont({c}, 0.975), 6) AS \"upper\", round(stddev_samp({c}), 6) AS se FROM both_ GROUP BY 1" for c in _SM))
+sql("stratified_intervals", _STRAT, " UNION ALL ".join(f"SELECT method, '{c}' AS metric, round(quantile_cont({c}, 0.025), 9) AS \"lower\", round(quantile_cont({c}, 0.975), 9) AS \"upper\", round(stddev_samp({c}), 9) AS se FROM both_ GROUP BY 1" for c in _SM))
 sql("rejection_ratio", _WP + ", r AS (SELECT method, efficiency, CASE WHEN mistags > 0 THEN n_background / mistags END AS rejection FROM wp)", "SELECT a.efficiency, round(b.rejection / a.rejection, 6) AS ratio FROM r a JOIN r b ON a.efficiency = b.efficiency AND a.method = 'a' AND b.method = 'b'")
 _CHECK = ", ".join(f"w{w} AS (SELECT k, block, q / sum(q) OVER () AS q FROM shares WHERE k <= {w}), n{w} AS (SELECT greatest(2, ceil((SELECT 1 / sum(q * q) FROM w{w})), min(k) FILTER (run >= 0.9 - 1e-12)) AS raw FROM (SELECT k, sum(q) OVER (ORDER BY k) AS run FROM w{w}))" for w in (3, 4, 5, 6))
 _ALL = " UNION ALL ".join(f"SELECT {w} AS width, (SELECT max(k) FROM w{w} WHERE block = (SELECT block FROM w{w} WHERE k = raw))::INT AS selected FROM n{w}" for w in (3, 4, 5, 6))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkorbit.operators import graph, metric_join, spectrum
+from sparkorbit.operators import graph, metric_join, readout, spectrum
 from sparkorbit.operators.eigensolver import smallest_modes
 
 
@@ -118,3 +118,41 @@ def test_solve_modes_beyond_the_driver(spark, monkeypatch):
     assert e1.keys() == e2.keys() and all(abs(e1[k] - e2[k]) < 1e-9 for k in e1)
     m1, m2 = ({r["id"]: (r["u"], r["phi"]) for r in x[1].collect()} for x in (near, far))
     assert m1.keys() == m2.keys() and max(np.abs(np.array(m1[i]) - np.array(m2[i])).max() for i in m1) < 1e-6
+
+
+def unit_states(spark, n, k, seed):
+    rng = np.random.default_rng(seed)
+    a = rng.normal(size=(n, k))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    y = (a[:, 0] ** 2 + 0.1 * rng.normal(size=n) > a[:, 1] ** 2).astype(int)
+    w = rng.uniform(0.5, 2, n)
+    df = spark.createDataFrame([(i, v.tolist(), int(c), float(x)) for i, (v, c, x) in enumerate(zip(a, y, w, strict=True))], "id long, a array<double>, y int, w double")
+    return a, y, w, df
+
+
+def test_gradient_of_spread_rows(spark):
+    a, y, w, df = unit_states(spark, 900, 5, 3)
+    b = np.random.default_rng(1).normal(size=(2, 2, 5))
+    near = readout.penalized(b, readout.local_likelihood(a, y, w / w.sum()), 1e-3, 1e-3)
+    for parts in (1, 7):
+        far = readout.penalized(b, readout.spread_likelihood(df.repartition(parts), w.sum()), 1e-3, 1e-3)
+        assert abs(near[0] - far[0]) < 1e-12 and np.abs(near[1] - far[1]).max() < 1e-12
+
+
+def test_fit_of_any_number_of_rows(spark, monkeypatch):
+    _, _, _, df = unit_states(spark, 400, 4, 5)
+    near = readout.fit_states(df, restarts=1)
+    monkeypatch.setattr(readout, "MAX_ROWS", 50)
+    far = readout.fit_states(df.repartition(3), restarts=1)
+    assert abs(near.loss - far.loss) < 1e-5 and np.abs(near.m - far.m).max() < 5e-3  # both stop where the loss is flat
+    for bad in ("array(1D, null, 0D, 0D)", "array(1D)", "cast(null as array<double>)"):
+        with pytest.raises(ValueError, match="one size"):
+            readout.fit_states(df.withColumn("a", F.when(F.col("id") == 3, F.expr(bad)).otherwise(F.col("a"))))
+
+
+@pytest.mark.parametrize("n", [1, 7, 20, 90, 500])
+def test_hardest_rows_with_ties(spark, n):
+    rows = [(i, (i * 7 % 5) / 4, int(i % 3 == 0)) for i in range(200)] + [(300 + i, 0.5, 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, score double, y int")
+    want = sorted(r["id"] for r in readout.hard_examples(df, n, "id").collect())
+    assert sorted(r["id"] for r in readout.hardest(df, n, "id").collect()) == want

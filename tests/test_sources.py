@@ -263,6 +263,7 @@ def test_hard_examples_enter_the_fit(spark):
         readout.fit_with_hard_examples(df.where("y = 1"), df)
     with pytest.raises(ValueError):
         readout.bounded_rows(df, 10)
+    assert path[1]["mean_probability"] > 0 and path[0].get("mean_probability") is None
 
 
 def test_track_scaler_keeps_missing_at_zero(spark, tmp_path):
