@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
+import io
+import re
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import align, roles
 from ..operators.estimator import OrbitalClassifier
 from ..operators.readout import Readout
-from .tables import SchemaError, check_schema, write_json
+from . import files
+from .tables import SchemaError, check_schema
 
 #: Roles of a frozen split and the residues of their event numbers modulo 10.
 FROZEN_ROLES = {"base": {0, 1, 2, 3, 4, 5}, "operator_validation": {6, 7}, "derivative_gate": {8}, "wp_validation": {8}, "independent_test": {9}}
@@ -52,6 +55,71 @@ def read_split_arrays(spark: SparkSession, path: str, names: tuple[str, ...] = t
     return spark.createDataFrame(out, "source_row long, event_number long, role string")
 
 
+#: File names of state exports below a run's folder, the first kind that is there counts.
+STATE_FILES = ("*locked*test*orbital*.npz", "*locked*test*orbital*.csv*", "*locked*test*state*.csv*")
+#: Prefixes of the columns that hold a state, the first one that is there counts.
+STATE_COLUMNS = ("normalized_orbital", "selected_orbital", "orbital", "phi", "psi")
+STATE_SCHEMA = "source_row long, event_number long, y int, state array<double>"
+
+
+def find_states(spark: SparkSession, root: str, patterns: tuple[str, ...] = STATE_FILES) -> DataFrame:
+    """(path, bytes, digest, kind) of the state exports anywhere below a folder; executors read and digest them.
+
+    ``kind`` is the number of the pattern that the file's name has first.
+    """
+    out = None
+    for k, p in enumerate(patterns):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", p).load(root)
+        found = found.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"), F.lit(k).alias("kind"))
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("path", "bytes", "digest").agg(F.min("kind").alias("kind"))
+
+
+def choose_states(found: DataFrame) -> str | None:
+    """The path of the export to read, or None; several of the first kind are one if their contents are equal, else refused."""
+    first = found.join(F.broadcast(found.agg(F.min("kind").alias("kind"))), "kind")
+    row = first.agg(F.countDistinct("digest").alias("n"), F.min("path").alias("path"), F.array_sort(F.collect_set("path")).alias("paths")).first()
+    if row["n"] > 1:
+        raise SchemaError(f"state exports differ: {row['paths'][:10]}")
+    return row["path"]
+
+
+def state_columns(columns: list[str]) -> list[str]:
+    """The columns of a state, by number: those of the first prefix of ``STATE_COLUMNS`` that has any."""
+    for prefix in STATE_COLUMNS:
+        held = sorted((int(m[1]), c) for c in columns if (m := re.fullmatch(prefix + r"_?(\d+)", c, re.IGNORECASE)))
+        if held:
+            return [c for _, c in held]
+    raise SchemaError("no state columns")
+
+
+def read_states(spark: SparkSession, path: str, label: str = "y") -> DataFrame:
+    """(source_row, event_number, y, state) of a CSV, or of the arrays of an NPZ file, which an executor reads."""
+    if not path.endswith(".npz"):
+        df = spark.read.csv(path, header=True)
+        columns = state_columns(df.columns)
+        check_schema(df, ["source_row", "event_number", label])
+        number = lambda c: F.col(c).cast("double").cast("long")
+        return df.select(number("source_row").alias("source_row"), number("event_number").alias("event_number"), number(label).cast("int").alias("y"), F.array(*(F.col(c).cast("double") for c in columns)).alias("state"))
+
+    def arrays(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in it:
+            for content in frame["content"]:
+                with np.load(io.BytesIO(content), allow_pickle=False) as held:
+                    state = next((n for n in ("orbitals", "normalized_state") if n in held.files), None)
+                    missing = [n for n in ("source_row", "event_number", label) if n not in held.files]
+                    if missing or state is None:
+                        raise SchemaError(f"arrays are missing: {missing or ['orbitals']}")
+                    keys, values = [held[n] for n in ("source_row", "event_number", label)], held[state].astype(float)
+                if values.ndim != 2 or not values.shape[1] or {len(k) for k in keys} != {len(values)}:
+                    raise SchemaError("a state array has a row for each jet and a column for each mode")
+                for i in range(0, len(values), 10_000):
+                    part = slice(i, i + 10_000)
+                    yield pd.DataFrame({"source_row": keys[0][part], "event_number": keys[1][part], "y": keys[2][part], "state": list(values[part])})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(arrays, STATE_SCHEMA)
+
+
 def align_states(expected: DataFrame, states: DataFrame, keys: list[str] = align.KEYS, prefix: str = "phi_") -> DataFrame:
     """``expected`` with the columns ``prefix``<number> of exactly its rows, renamed orbital_1 ..., all finite."""
     columns = align.orbital_columns(states.columns, prefix)
@@ -118,12 +186,12 @@ def save_classifier(model: OrbitalClassifier, path: str) -> None:
         fit[name].write.mode("overwrite").parquet(f"{path}/{name}")
     own = {n: getattr(model, n) for n in ("k", "k_sigma", "modes", "betas", "mass", "max_landmarks", "max_readout", "id_col", "vector_col", "label")}
     kept = {n: fit[n] for n in ("beta", "loss", "selected", "prefix")} | {"readout": fit["readout"].m.tolist(), "readout_loss": fit["readout"].loss}
-    write_json({"parameters": own, "fitted": kept}, f"{path}/model.json")
+    files.replace_json(f"{path}/model.json", {"parameters": own, "fitted": kept})
 
 
 def load_classifier(spark: SparkSession, path: str) -> OrbitalClassifier:
     """The classifier that ``save_classifier`` wrote; its readout is checked."""
-    held = json.loads(Path(path, "model.json").read_text())
+    held = files.read_json(f"{path}/model.json")
     model = OrbitalClassifier(**held["parameters"] | {"betas": tuple(held["parameters"]["betas"])})
     fit = dict(held["fitted"])
     readout = Readout(np.array(fit.pop("readout")), fit.pop("readout_loss"))

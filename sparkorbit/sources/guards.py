@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import json
+import uuid
 import zlib
 from collections.abc import Callable
 from pathlib import Path
@@ -11,7 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import to_json, write_json
+from . import files
+from .tables import to_json
 
 #: Size and Adler-32 of the published files.
 PUBLISHED = {
@@ -93,23 +94,27 @@ def resolve_input(path: str | None, roots: list[str], name: str) -> Path:
 
 
 def score_once(status: str | Path, context: dict) -> None:
-    """Record that a test is scored; a second time, or in another context than the record's, is refused."""
-    path = Path(status)
-    if path.exists():
-        held = json.loads(path.read_text())
-        if held.get("scored"):
-            raise GuardError("this test has been scored already")
+    """Record that a test is scored; a second time, or in another context than the frozen one, is refused.
+
+    Who creates ``<status>.scored`` may score: of several at once, one.  Paths may be
+    on any file system that Spark reaches; a session is needed.
+    """
+    path = str(status)
+    if files.exists(f"{path}.scored"):
+        raise GuardError("this test has been scored already")
+    if files.exists(path):
+        held = files.read_json(path)
         changed = [k for k, v in held.get("context", {}).items() if to_json(context.get(k)) != v]
         if changed:
             raise GuardError(f"the run differs from the frozen one in {changed}")
-    write_json({"scored": True, "context": context}, str(path))
+    if not files.create_json(f"{path}.scored", {"scored": True, "context": context}):
+        raise GuardError("this test has been scored already")
 
 
 def freeze_context(status: str | Path, context: dict) -> None:
     """Record the context in which a test may be scored, once."""
-    if Path(status).exists():
+    if files.exists(f"{status}.scored") or not files.create_json(str(status), {"context": context}):
         raise GuardError("a context is frozen already")
-    write_json({"scored": False, "context": context}, str(status))
 
 
 def digest_of(df: DataFrame) -> str:
@@ -120,18 +125,18 @@ def digest_of(df: DataFrame) -> str:
 
 
 def cached_scores(spark: SparkSession, path: str, model_digest: str, keys: DataFrame, score: Callable[[], DataFrame], name: str = "p", most: float = 1e-6, check: bool = False) -> DataFrame:
-    """Scores stored below ``path``, made by ``score`` the first time.
+    """Scores stored beside ``path``, made by ``score`` the first time; ``<path>.json`` is their receipt.
 
     Later runs read them if the model and the keys are those of the receipt, and
     refuse otherwise; ``check`` scores again and refuses a difference above ``most``.
     """
-    receipt = Path(path.removeprefix("file://") + ".json")
-    ids = digest_of(keys)
-    if not receipt.exists():
-        score().write.mode("overwrite").parquet(path)
-        write_json({"model": model_digest, "keys": ids, "scores": digest_of(spark.read.parquet(path))}, str(receipt))
-        return spark.read.parquet(path)
-    held, stored = json.loads(receipt.read_text()), spark.read.parquet(path)
+    receipt, ids = f"{path}.json", digest_of(keys)
+    if not files.exists(receipt):
+        own = f"{path}-{uuid.uuid4().hex}"  # of several runs at once each writes its own; the receipt names one
+        score().write.parquet(own)
+        files.create_json(receipt, {"model": model_digest, "keys": ids, "scores": digest_of(spark.read.parquet(own)), "path": own})
+    held = files.read_json(receipt)
+    stored = spark.read.parquet(held["path"])
     if (held["model"], held["keys"], held["scores"]) != (model_digest, ids, digest_of(stored)):
         raise GuardError("the stored scores are of another model, of other rows, or changed")
     if check:

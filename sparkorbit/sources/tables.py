@@ -126,37 +126,20 @@ def read_dataset(spark: SparkSession, name: str, path: str, sample: int = 0, see
 
 
 def read_predictions(spark: SparkSession, path: str, required: list[str], label: str = "y", key: str = "source_row") -> DataFrame:
-    """A CSV (gzip too) of predictions: required columns, unique keys, both classes."""
-    df = check_schema(spark.read.csv(path, header=True, inferSchema=True), [*required, label, key])
+    """A CSV (gzip too) of predictions: required columns, unique keys, both classes.
+
+    The header names the columns; required ones are numbers, the label is an integer,
+    and so are the key and the event number.  Others stay text.
+    """
+    df = check_schema(spark.read.csv(path, header=True), [*required, label, key])
+    kinds = {c: "double" for c in required} | {c: "long" for c in (key, "event_number") if c in df.columns} | {label: "int"}
+    df = df.withColumns({c: F.col(c).cast("double").cast(k) for c, k in kinds.items()})
     faults = df.groupBy(key).count().where("count > 1").limit(1).count()
     if faults or {r[0] for r in df.select(label).distinct().limit(3).collect()} != {0, 1}:
         raise SchemaError("rows repeat, or a class is missing")
     return df
 
 
-def read_hdf5(spark: SparkSession, path: str, dataset: str, fields: list[str], rows_per_part: int = 100_000) -> DataFrame:
-    """Fields of an HDF5 compound dataset, read by row ranges on the executors (needs h5py there)."""
-    import h5py
-
-    with h5py.File(path) as f:
-        n = len(f[dataset])
-        kinds = {c: "long" if f[dataset].dtype[c].kind in "iu" else "double" for c in fields}
-
-    def part(it):
-        import h5py
-        import pandas as pd
-
-        with h5py.File(path) as f:
-            for pdf in it:
-                for at in pdf["id"]:
-                    rows = f[dataset][at : at + rows_per_part]
-                    yield pd.DataFrame({"source_row": range(at, at + len(rows))} | {c: rows[c].astype("int64" if kinds[c] == "long" else "float64") for c in fields})
-
-    schema = "source_row long, " + ", ".join(f"`{c}` {k}" for c, k in kinds.items())
-    starts = spark.range(0, n, rows_per_part)
-    return starts.repartition(max(1, -(-n // rows_per_part))).mapInPandas(part, schema)
-
-
 def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
     """Parquet, or CSV with header and gzip."""
     if form == "csv":

@@ -91,7 +91,7 @@ def test_input_discovery(tmp_path):
         guards.resolve_input(None, [str(tmp_path)], "none.json")
 
 
-def test_a_test_is_scored_once(tmp_path):
+def test_a_test_is_scored_once(spark, tmp_path):
     path = tmp_path / "status.json"
     guards.freeze_context(path, {"tree": "a", "size": 3})
     with pytest.raises(guards.GuardError, match="tree"):
