@@ -22,7 +22,7 @@ import logging
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkorbit.functions.stored import release, stored
+from sparkorbit.functions.stored import scope, stored
 from sparkorbit.operators.evaluate import average_precision, best_per_group, roc_auc, thresholds, with_intervals, working_points
 from sparkorbit.sources.workers import importable
 
@@ -67,8 +67,12 @@ def scored_rows(documents: DataFrame, labels: DataFrame, label: str, size_edges:
 def run(spark: SparkSession, documents: str, labels: str, output: str, label: str = "quality", efficiencies: tuple[float, ...] = (0.5, 0.7, 0.9), size_edges: tuple[int, ...] = (200, 1000, 5000)) -> dict:
     """Write the screen and the working points of the documents and labels at these paths."""
     importable(spark)
-    docs = spark.read.parquet(documents)
-    rows = stored(scored_rows(docs, spark.read.parquet(labels), label, list(size_edges)))
+    with scope():
+        return _run(spark, documents, labels, output, label, list(efficiencies), list(size_edges))
+
+
+def _run(spark: SparkSession, documents: str, labels: str, output: str, label: str, efficiencies: list[float], size_edges: list[int]) -> dict:
+    rows = stored(scored_rows(spark.read.parquet(documents), spark.read.parquet(labels), label, size_edges))
     everywhere = rows.where("axis = 'all'")
     log.info("read %s and %s: %s labelled documents", documents, labels, everywhere.where("feature = 'words'").count())
 
@@ -77,12 +81,11 @@ def run(spark: SparkSession, documents: str, labels: str, output: str, label: st
     screen = areas.join(best, list(BY), "left").select(*BY, "n_pos", "n_neg", F.round("auc", 9).alias("auc"), F.round("average_precision", 9).alias("average_precision"), F.coalesce("strongest", F.lit(False)).alias("strongest"))
     screen.coalesce(1).write.mode("overwrite").partitionBy("axis").parquet(f"{output}/screen")  # a row for each slice and feature
 
-    cuts = thresholds(everywhere, list(efficiencies), ("feature",))
-    points = with_intervals(working_points(rows, list(efficiencies), BY, within=cuts))
+    cuts = thresholds(everywhere, efficiencies, ("feature",))
+    points = with_intervals(working_points(rows, efficiencies, BY, within=cuts))
     points.coalesce(1).write.mode("overwrite").partitionBy("axis").orc(f"{output}/working_points")
     wrote = {t: r.count() for t, r in (("screen", read_screen(spark, output)), ("working_points", spark.read.orc(f"{output}/working_points")))}
     log.info("wrote %s below %s", wrote, output)
-    release(rows)
     return wrote
 
 

@@ -21,6 +21,7 @@ A batch that runs again after a failure overwrites its own partitions with the s
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,15 +50,21 @@ def with_roles(docs: DataFrame, seed: int, stop_share: float) -> DataFrame:
     return out.withColumns({"half": F.when(known, split_bit(event, seed)), "stop": F.when(known, split_fraction(event, stop_share, seed)), "role": F.when(known, mod10_role(event)).otherwise("outside")})
 
 
-def _settings(spark: SparkSession, path: str, **now: object) -> None:
-    """Write the settings at the first run; refuse others later."""
-    schema = ", ".join(f"{k} {'double' if isinstance(v, float) else 'long'}" for k, v in now.items())
+def _or_none(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What a reader gives; None if nothing is at its path."""
     try:
-        held = [r.asDict() for r in spark.read.schema(schema).json(path).collect()]
+        return read()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        held = []
+        return None
+
+
+def _settings(spark: SparkSession, path: str, **now: object) -> None:
+    """Write the settings at the first run; refuse others later."""
+    schema = ", ".join(f"{k} {'double' if isinstance(v, float) else 'long'}" for k, v in now.items())
+    before = _or_none(lambda: spark.read.schema(schema).json(path))
+    held = [r.asDict() for r in before.collect()] if before is not None else []
     if not held:  # none yet, or a run that broke off before it had written them
         spark.createDataFrame([tuple(now.values())], schema).coalesce(1).write.mode("overwrite").json(path)
     elif held != [now]:
@@ -74,8 +81,13 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, seed:
         session = batch.sparkSession
         rows = with_roles(batch, seed, stop_share).withColumn("batch", F.lit(number))
         rows.hint("rebalance", "role").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("role", "batch").parquet(ledger)
-        written = session.read.schema(LEDGER).parquet(ledger).where(F.col("batch") == number)
-        held = written.groupBy("role", "source", "batch").agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("n_chars"))
+        # Only the folders of this batch are listed; an empty batch has none.
+        mine = _or_none(lambda: session.read.schema(LEDGER).option("basePath", ledger).parquet(f"{ledger}/role=*/batch={number}"))
+        if mine is None:
+            log.info("batch %s of %s: read 0 rows", number, documents)
+            taken["batches"] += 1
+            return
+        held = mine.groupBy("role", "source", "batch").agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("n_chars"))
         held.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(counts)
         by_role = {r["role"]: r["n"] for r in session.read.schema(COUNTS).parquet(counts).where(F.col("batch") == number).groupBy("role").agg(F.sum("n_rows").alias("n")).collect()}
         log.info("batch %s of %s: read %s rows, wrote %s to %s", number, documents, sum(by_role.values()), by_role, ledger)
@@ -87,12 +99,9 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, seed:
     stream.awaitTermination()
     if not taken["batches"]:
         log.info("nothing new in %s", documents)
-    try:
-        held = spark.read.schema(COUNTS).parquet(counts)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return taken | {"held": {}}  # no file has come yet
+    held = _or_none(lambda: spark.read.schema(COUNTS).parquet(counts))
+    if held is None:  # no file has come yet
+        return taken | {"held": {}}
     held = held.groupBy("role", "source").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_chars").alias("n_chars"))
     held.coalesce(1).write.mode("overwrite").partitionBy("role").json(f"{output}/audit")
     audit = spark.read.schema("source string, n_rows long, n_chars long, role string").json(f"{output}/audit")

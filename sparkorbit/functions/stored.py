@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +50,18 @@ def release(*tables: DataFrame) -> None:
             df._stored = None
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Remove at the end the tables that ``stored`` has made inside; nothing may read them afterwards."""
+    held = len(_written)
+    try:
+        yield
+    finally:
+        for spark, path in _written[held:]:
+            _delete(spark, path)
+        del _written[held:]
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:
