@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import checked_broadcast, materialize, text_of
+from .shared import checked_broadcast, heavy_keys, is_small, materialize, text_of
 
 SHARDS = 16
 #: Rows that one window task orders, about.
@@ -32,7 +32,7 @@ def gapless_rank(df: DataFrame, keys: list[str], rows: int, name: str = "rank")
     """``df`` with a rank from 0 within the keys, in the order of the hash ``o`` (ties by ``rid``).
 
     Two levels: ranges of the hash get offsets from their counts, so no task orders
-    more than one range of a key.
+    more than one range of a key.  Rows that are equal have different hashes.
     """
     bits = max(6, (max(1, rows // RUN) - 1).bit_length())
     binned = df.withColumn("range", F.shiftrightunsigned(F.col("o").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits))
@@ -44,6 +44,35 @@ def gapless_rank(df: DataFrame, keys: list[str], rows: int, name: str = "rank")
     return binned.withColumn("inner", inner).join(checked_broadcast(offsets), by).withColumn(name, F.col("offset") + F.col("inner")).drop("inner", "offset", "range")
 
 
+def _numbered(slim: DataFrame) -> DataFrame:
+    """``slim`` with ``nth``, a number from 0 among rows of equal ``same``.
+
+    Numbers within the pieces that tasks read come first, then counts of the pieces
+    before, so equal rows are spread over as many tasks as read them.
+    """
+    repeated = materialize(slim.groupBy("same").agg(F.count("*").alias("n")).where("n > 1").select("same"), "repeated")
+    if not repeated.limit(1).count():
+        return slim.withColumn("nth", F.lit(0).cast("long"))
+    pieces = slim.withColumn("piece", F.shiftright("rid", 33)).withColumn("bit", F.pmod("rid", F.lit(64)).cast("int"))
+    repeated = checked_broadcast(repeated)
+    rows = materialize(pieces.join(repeated, "same", "left_semi"), "equal")
+    by = ["same", "piece", "bit"]
+    before = Window.partitionBy("same").orderBy("piece", "bit").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    own = F.row_number().over(Window.partitionBy(*by).orderBy("rid")) - 1
+    rows = rows.withColumn("own", own).join(checked_broadcast(materialize(first, "pieces")), by).withColumn("nth", F.col("first") + F.col("own"))
+    return slim.join(repeated, "same", "left_anti").withColumn("nth", F.lit(0).cast("long")).unionByName(rows.select(*slim.columns, "nth"))
+
+
+def _left(rows: DataFrame, values: DataFrame, keys: list[str], heavy: DataFrame | None) -> DataFrame:
+    """A left join on ``g`` and more; where ``values`` is too large to broadcast, rows of heavy groups stay where they are."""
+    if heavy is None or is_small(values):
+        return rows.join(checked_broadcast(values), keys, "left")
+    light = rows.join(F.broadcast(heavy), "g", "left_anti").join(values, keys, "left")
+    hot = values.join(F.broadcast(heavy), "g", "left_semi")  # a row for each heavy group and shard at most
+    return light.unionByName(rows.join(F.broadcast(heavy), "g", "left_semi").join(F.broadcast(hot), keys, "left"))
+
+
 def _targets(linked: DataFrame, free: DataFrame) -> DataFrame:
     """(g, shard, target): target holds most of the group among the shards of ``free`` (ties by hash), shard no more."""
     held = linked.groupBy("g", "shard").agg(F.count("*").alias("held"))
@@ -63,11 +92,13 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     """
     text = text_of(text_col)
     slim = docs.select(F.col(id_col).alias("sid"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.xxhash64(text).alias("x"))
-    slim = slim.withColumn("g", F.xxhash64("x", "crc", "size")).withColumn("o", F.xxhash64("sid", "x", "crc"))
+    slim = slim.withColumn("g", F.xxhash64("x", "crc", "size")).withColumn("same", F.xxhash64("sid", "x", "crc"))
     slim = materialize(slim.withColumn("rid", F.monotonically_increasing_id()), "slim")
     rows = slim.count()
-    groups = materialize(slim.groupBy("g").agg(F.count("*").alias("members")).where("members > 1").select("g"), "groups")
-    slim = slim.join(checked_broadcast(groups.withColumn("linked", F.lit(True))), "g", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    groups = materialize(slim.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+    heavy = heavy_keys(groups, ["g"])
+    slim = _numbered(slim).withColumn("o", F.xxhash64("same", "nth")).drop("same", "nth")
+    slim = _left(slim, groups.select("g", F.lit(True).alias("linked")), ["g"], heavy).withColumn("linked", F.coalesce("linked", F.lit(False)))
     state = gapless_rank(slim, [], rows, "deal").withColumn("shard", (F.col("deal") % shards).cast("int")).drop("deal", "x")
     state = materialize(state, "state")
     columns = state.columns
@@ -78,8 +109,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
         free = every.join(state.where("not linked").groupBy("shard").agg(F.count("*").alias("free")), "shard", "left").na.fill(0)
         free = materialize(free, "free")
         asks = materialize(_targets(state.where("linked"), free if every_shard else free.where("free > 0")), "asks")
-        linked = state.where("linked").join(checked_broadcast(asks), ["g", "shard"], "left")
-        linked = materialize(linked, "linked")
+        linked = materialize(_left(state.where("linked"), asks, ["g", "shard"], heavy), "linked")
         asked = linked.where("target is not null")
         quota = _quotas(asked, free)
         if not quota.where("granted > 0").limit(1).count():

@@ -127,5 +127,36 @@ def test_pairs_meet_without_unlinked_rows(spark):
     assert sum(a != b for a, b in shards.values()) <= 0.2 * len(shards)
 
 
+def test_equal_rows_are_spread(spark, monkeypatch):
+    """A third of all rows without id and text: no range of the dealing order is large, and no row is lost."""
+    from sparkorbit.llm import sharding
+
+    sizes = []
+    rank = sharding.gapless_rank
+
+    def seen(df, keys, rows, name="rank"):
+        bits = max(6, (max(1, rows // sharding.RUN) - 1).bit_length())
+        ranges = df.groupBy(*keys, F.shiftrightunsigned(F.col("o").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits).alias("r")).count()
+        sizes.append(max([r["count"] for r in ranges.collect()], default=0))
+        return rank(df, keys, rows, name)
+
+    monkeypatch.setattr(sharding, "gapless_rank", seen)
+    df = spark.range(12_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    got = shard_documents(df.repartition(5), 4)
+    per = {r["shard"]: r["count"] for r in got.groupBy("shard").count().collect()}
+    assert set(per.values()) == {3000} and max(sizes) < 400
+
+
+def test_numbers_of_equal_rows(spark):
+    from sparkorbit.llm.sharding import _numbered
+
+    rows = spark.range(3000).select(F.pmod("id", F.lit(7)).alias("same"), "id").where("same <> 6 or id < 7").repartition(4)
+    rows = rows.withColumn("rid", F.monotonically_increasing_id())
+    per = {}
+    for r in _numbered(rows).collect():
+        per.setdefault(r["same"], []).append(r["nth"])
+    assert set(per) == set(range(7)) and all(sorted(v) == list(range(len(v))) for v in per.values()) and len(per[6]) == 1
+
+
 def test_digest_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
