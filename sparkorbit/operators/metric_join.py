@@ -30,31 +30,50 @@ def error_share(dim: int) -> float:
     return 4 * (dim + 8) * np.finfo(np.float64).eps
 
 
-def nearest(x: np.ndarray, own: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _own_places(mine: np.ndarray, ids: np.ndarray, by_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, point) of the points that have the id of a row; ``by_id`` orders the ids."""
+    held = ids[by_id]
+    first, after = np.searchsorted(held, mine), np.searchsorted(held, mine, "right")
+    size = after - first
+    row = np.repeat(np.arange(len(mine)), size)
+    return row, by_id[np.repeat(first - np.cumsum(size) + size, size) + np.arange(len(row))]
+
+
+def nearest(x: np.ndarray, own: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, exclude_self: bool, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, id and squared distance of the k nearest points of each x, ties to the smaller id, in order.
 
     A rough distance picks all points that its rounding leaves among the nearest k,
-    however many tie; those are ranked by the exact one.
+    however many tie; those are ranked by the exact one.  ``within`` bounds the squared
+    distance of each row: points that are surely beyond are left out.
     """
     square, share = (points * points).sum(axis=1), error_share(points.shape[1])
-    step = max(1, (1 << 20) // points.shape[1])
+    most, step, by_id = square.max(initial=0.0), max(1, (1 << 20) // points.shape[1]), np.argsort(ids, kind="stable")
     k = min(k, len(ids))
     cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
     for at in range(0, len(x) if k > 0 else 0, 128):
         part, mine = x[at : at + 128], own[at : at + 128]
         with np.errstate(all="ignore"):
-            norms = (part * part).sum(axis=1)[:, None] + square
-            rough = norms - 2 * part @ points.T
-            norms *= share
-            norms += 1e-300
-            unsure = ~np.isfinite(rough)
-            high, low = rough + norms, rough - norms
-        high[unsure], low[unsure] = np.inf, -np.inf
-        if exclude_self:
-            high[mine[:, None] == ids[None, :]] = np.inf
-        near_enough = low <= np.partition(high, k - 1, axis=1)[:, k - 1 : k]
-        if exclude_self:
-            near_enough &= mine[:, None] != ids[None, :]
+            norm = (part * part).sum(axis=1)
+            rough = part @ points.T
+            rough *= -2
+            rough += square
+            rough += norm[:, None]
+            off = share * (norm + most) + 1e-300
+        unsure = not (np.isfinite(norm).all() and np.isfinite(most) and np.isfinite(rough).all())
+        if unsure:  # overflow: any of these may be near
+            rough[~np.isfinite(rough)] = -np.inf
+            off[:] = np.inf
+        same = _own_places(mine, ids, by_id) if exclude_self else None
+        if same is not None:
+            rough[same] = np.inf
+        if unsure:
+            near_enough = np.ones(rough.shape, bool)
+        elif within is not None:
+            near_enough = rough <= (within[at : at + 128] * (1 + 1e-9) + off)[:, None]
+        else:
+            near_enough = rough <= (np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * off)[:, None]
+        if same is not None:
+            near_enough[same] = False
         for r in range(len(part)):
             cand = np.flatnonzero(near_enough[r])
             with np.errstate(over="ignore"):
@@ -141,11 +160,11 @@ def _wanted(queries: DataFrame, cells: _Cells, enough: int, bounded: bool) -> Da
 
 
 def _meet(queries: DataFrame, wanted: DataFrame, points: DataFrame, k: int, dim: int, exclude_self: bool, query_rows: int) -> DataFrame:
-    """(q, src, dst, d2): of each query and block, the k nearest points of the block."""
+    """(q, src, dst, d2): of each query and block, the k nearest points of the block, none surely beyond the query's ``d2``."""
     wanted = stored(wanted)
     share = wanted.groupBy("block").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("shares"))
     share = stored(share)  # a row for each block
-    copies = wanted.join(F.broadcast(share), "block").select("q", "block", F.pmod(F.xxhash64("q"), "shares").cast("int").alias("share")).join(queries.select("q", "src", "v"), "q")
+    copies = wanted.join(F.broadcast(share), "block").select("q", "block", F.pmod(F.xxhash64("q"), "shares").cast("int").alias("share")).join(queries.select("q", "src", "v", "d2"), "q")
     spread = points.join(F.broadcast(share), "block").select("block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "id", "v")
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -153,7 +172,9 @@ def _meet(queries: DataFrame, wanted: DataFrame, points: DataFrame, k: int, dim:
         if not len(q):
             row, dst, d2 = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         else:
-            row, dst, d2 = nearest(vectors(left["v"], dim), src, vectors(right["v"], dim), right["id"].to_numpy(), k, exclude_self)
+            within = left["d2"].to_numpy()
+            within = np.where(np.isnan(within), np.inf, within) if np.isfinite(within).any() else None
+            row, dst, d2 = nearest(vectors(left["v"], dim), src, vectors(right["v"], dim), right["id"].to_numpy(), k, exclude_self, within)
         return pa.table({"q": q[row], "src": src[row], "dst": dst, "d2": d2})
 
     return copies.groupBy("block", "share").cogroup(spread.groupBy("block", "share")).applyInArrow(tile, _FOUND)
@@ -192,10 +213,11 @@ def knn_by_pivots(queries: DataFrame, landmarks: DataFrame, k: int, id_col: str
     asked = queries.select(known(queries).alias("src"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("q", F.monotonically_increasing_id())
     asked = stored(asked)
     query_rows = max(64, QUERY_BYTES // (8 * dim)) if block_rows is None else 2 * block_rows
-    meet = lambda wanted: stored(_meet(asked, wanted, points, k, dim, exclude_self, query_rows))
-    near = meet(_wanted(asked, cells, k + int(exclude_self), False))
+    meet = lambda asked, wanted: stored(_meet(asked, wanted, points, k, dim, exclude_self, query_rows))
+    near = meet(asked.withColumn("d2", F.lit(None).cast("double")), _wanted(asked, cells, k + int(exclude_self), False))
     order = Window.partitionBy("q").orderBy("d2", "dst")
     bound = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("q", "d2")
-    far = meet(_wanted(asked.join(bound, "q", "left"), cells, k + int(exclude_self), True))
+    asked = stored(asked.join(bound, "q", "left"))
+    far = meet(asked, _wanted(asked, cells, k + int(exclude_self), True))
     best = near.unionByName(far).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("src", "dst", "rank", "d2")
