@@ -88,9 +88,16 @@ def count_tokens(docs: DataFrame, fields: tuple[str, ...] = ("source", "lang", "
     number = "double" if rule == "split" else "long"
     kind = pa.float64() if rule == "split" else pa.int64()
 
+    def in_chunks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of at most ``K.CHUNK`` bytes of text, or of one row: lists of lines are held for those alone."""
+        for batch in it:
+            offs = sum((K.utf8(batch.column(k + 1))[1] for k in range(len(fields))), np.zeros(batch.num_rows + 1, np.int64))
+            for i, j in K.chunks(offs):
+                yield batch.slice(i, j - i)
+
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, size = encoder(vocabulary)
-        for batch in it:
+        for batch in in_chunks(it):
             texts = [[v or "" for v in batch.column(k + 1).to_pylist()] for k in range(len(fields))]
             n, crossed, lines = [], [], []
             sums: list[list] = [[] for _ in fields]

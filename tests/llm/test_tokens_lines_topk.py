@@ -84,6 +84,18 @@ def test_slots_are_ranks_of_the_permuted_index(spark):
     assert [(d, k) for _, d, k in sorted(places)] == [(r["doc_id"], r["seq"]) for r in sorted(got, key=lambda r: r["slot"])]
 
 
+def test_many_long_texts_in_one_batch(spark):
+    """More text than one chunk takes: every row comes out once, with its own lines."""
+    enc, _ = T.encoder(T.VOCABULARY)
+    rows = [(i, "s", None, f"line {i} of some\n" * (20_000 + i) if i % 3 else "short") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in T.count_tokens(df).collect()}
+    assert sorted(got) == list(range(12))
+    for i, _, _, text in rows:
+        assert len(got[i]["line_tokens"]) == text.count("\n") + 1 and got[i]["text_tokens"] == sum(got[i]["line_tokens"])
+        assert got[i]["n_tokens"] == len(enc.encode_ordinary(f"s  {text}"))
+
+
 def test_shares_of_fields_and_lines_by_plain_spans(spark):
     enc, _ = T.encoder(T.VOCABULARY)
     rows = [(1, "en", "web", "one\ntwo three\n\nfour's  é𝒳"), (2, None, "b", "\n\nx"), (3, "de", None, None), (4, "", "", "a" * 50 + "\nb")]
