@@ -104,7 +104,8 @@ def smallest_modes(entries: DataFrame, k: int, seed: int = 0, tolerance: float =
     top = entries.groupBy("src").agg(F.sum(F.abs("value")).alias("r")).agg(F.max("r")).first()[0] * (1 + 1e-9) + 1e-12
     blocks = max(1, -(-size["nnz"] // block_entries))
     packed = stored(_packed(entries, blocks))
-    width = min(n, k + max(8, k // 2))
+    width = k + max(8, k // 2)
+    width = n if n <= 3 * width else width  # of few vertices all directions: the first projection is exact
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     homes = entries.select(F.col("dst").alias("id"), place(F.col("src").cast("long")).alias("b")).union(entries.select("src", place(F.col("src").cast("long"))))
     unit = lambda j: F.xxhash64("id", F.lit(seed), F.lit(j)) * (2.0**-63)

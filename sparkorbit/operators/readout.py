@@ -148,13 +148,13 @@ def loss_and_gradient(b: np.ndarray, a: np.ndarray, y: np.ndarray, w: np.ndarray
     return penalized(b, local_likelihood(a, y, w), rho, l2)
 
 
-def fit_measurement(likelihood: Likelihood, classes: int, k: int, rank: int = 0, rho: float = 1e-3, l2: float = 1e-4, restarts: int = 2, seed: int | tuple[int, ...] = 0) -> Readout:
-    """The best of the restarts; ``rank`` 0 takes two factors, or one if there is one mode."""
+def fit_measurement(likelihood: Likelihood, classes: int, k: int, rank: int = 0, rho: float = 1e-3, l2: float = 1e-4, restarts: int = 2, seed: int | tuple[int, ...] = 0, steps: int = 300) -> Readout:
+    """The best of the restarts, of at most ``steps`` each; ``rank`` 0 takes two factors, or one if there is one mode."""
     rank = min(rank or 2, k)
     best = None
     for run in range(max(1, restarts)):
         start = np.random.default_rng([*np.atleast_1d(seed), run]).normal(0, 0.5, classes * rank * k)
-        x, loss = lbfgs(lambda x: penalized(x.reshape(classes, rank, k), likelihood, rho, l2), start)
+        x, loss = lbfgs(lambda x: penalized(x.reshape(classes, rank, k), likelihood, rho, l2), start, steps=steps)
         if best is None or loss < best[1]:
             best = (x, loss)
     out = Readout(measurements(best[0].reshape(classes, rank, k), rho), best[1])

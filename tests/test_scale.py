@@ -84,9 +84,8 @@ def ring(spark, n, seed):
     return h, d, df.repartition(3)
 
 
-@pytest.mark.parametrize("block_entries", [10_000, 300])
-def test_modes_equal_dense_ones(spark, block_entries):
-    h, d, entries = ring(spark, 240, 2)
+def test_modes_equal_dense_ones(spark, block_entries=300):
+    h, d, entries = ring(spark, 120, 2)
     want, u = np.linalg.eigh(h)
     values, vectors = smallest_modes(entries, 6, block_entries=block_entries)
     assert np.allclose(values, want[:6], atol=1e-9)
@@ -141,10 +140,10 @@ def test_gradient_of_spread_rows(spark):
 
 def test_fit_of_any_number_of_rows(spark, monkeypatch):
     _, _, _, df = unit_states(spark, 400, 4, 5)
-    near = readout.fit_states(df, restarts=1)
+    near = readout.fit_states(df, restarts=1, steps=15)
     monkeypatch.setattr(readout, "MAX_ROWS", 50)
-    far = readout.fit_states(df.repartition(3), restarts=1)
-    assert abs(near.loss - far.loss) < 1e-5 and np.abs(near.m - far.m).max() < 5e-3  # both stop where the loss is flat
+    far = readout.fit_states(df.repartition(3), restarts=1, steps=15)
+    assert abs(near.loss - far.loss) < 1e-8 and np.abs(near.m - far.m).max() < 1e-6  # the same steps
     for bad in ("array(1D, null, 0D, 0D)", "array(1D)", "cast(null as array<double>)"):
         with pytest.raises(ValueError, match="one size"):
             readout.fit_states(df.withColumn("a", F.when(F.col("id") == 3, F.expr(bad)).otherwise(F.col("a"))))
