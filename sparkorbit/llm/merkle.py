@@ -22,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import broadcast_by_size, importable, materialize, shared_dir
+from .shared import _delete as delete
+from .shared import broadcast_by_size, discard, importable, materialize, shared_dir
 
 ARITY = 16
 #: Levels of the largest subtree that is built alone: its 16 ** 2 leaves are one row of a table, 25 KB.
@@ -153,6 +154,13 @@ def _in_ranges(leaves: DataFrame, n: int) -> DataFrame:
     return rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("g", "leaf", "own").checkpoint()
 
 
+def _forget(rows: DataFrame) -> None:
+    """Remove the files of a checkpoint that nothing reads any more."""
+    held = rows._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if held.isDefined():
+        delete(rows.sparkSession, held.get())
+
+
 def _runs(trees: DataFrame, top: int) -> list[DataFrame]:
     """For each level, (g, n, idx, run, digest): the children that were ragged, joined, of parent ``idx``; its digest."""
     nodes, made, out = trees.select("g", "n", "level", "idx", "digest"), None, []
@@ -218,11 +226,16 @@ def _proofs(trees: DataFrame) -> DataFrame:
 
 
 def _forest(leaves: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame]:
-    """Of rows (g, o, leaf, own): the subtrees, the runs of each level above them, and (g, n, subroot)."""
+    """Of rows (g, o, leaf, own): the subtrees, the runs of each level above them, and (g, n, subroot).
+
+    ``leaves`` is a table made by ``materialize``; it is removed.
+    """
     spark = leaves.sparkSession
     rows = _in_ranges(leaves, leaves.count())
     ends = rows.mapInArrow(_ends, "part long, groups long, first string, n_first long, last string, n_last long").orderBy("part").collect()  # one row for each partition
     trees = materialize(_subtrees(rows, _offsets(ends)), "subtrees")
+    _forget(rows)
+    discard(leaves)
     runs = _runs(trees, levels(trees.agg(F.max("n")).first()[0] or 1))
     lone = trees.where(F.col("n") <= F.pow(F.lit(ARITY), "level")).select("g", "n", F.col("digest").alias("subroot"))
     for level, r in enumerate(runs, 1):

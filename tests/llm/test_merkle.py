@@ -1,4 +1,6 @@
+import glob
 import hashlib
+import os
 import random
 
 import pytest
@@ -98,6 +100,13 @@ def test_pieces_cover_and_are_complete(n, data):
     assert at == n
 
 
+def test_no_checkpoint_is_left(spark, odd_docs):
+    before = spark.sparkContext.getCheckpointDir() or shared.shared_dir(spark)
+    run(odd_docs)
+    root = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    assert before and not [p for p in glob.glob(f"{root}/rdd-*") if os.listdir(p)]
+
+
 def test_no_task_takes_the_equal_rows(spark):
     """A third of all rows equal: the sorted ranges stay even."""
     rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit("+x")).otherwise(F.concat(F.lit("+"), F.col("id") % 50)).alias("g"), F.when(F.col("id") % 3 != 0, F.col("id")).alias("o"))
