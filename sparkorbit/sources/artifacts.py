@@ -55,10 +55,20 @@ def read_split_arrays(spark: SparkSession, path: str, names: tuple[str, ...] = t
     return spark.createDataFrame(out, "source_row long, event_number long, role string")
 
 
-#: File names of state exports below a run's folder, the first kind that is there counts.
-STATE_FILES = ("*locked*test*orbital*.npz", "*locked*test*orbital*.csv*", "*locked*test*state*.csv*")
-#: Prefixes of the columns that hold a state, the first one that is there counts.
+#: File names of state exports below a run's folder, the first kind that is there counts.
+STATE_FILES = (
+    "self_configuring_locked_test_orbitals.csv.gz",
+    "self_configuring_locked_test_orbitals.csv",
+    "self_configuring_locked_test_predictions_with_orbitals.csv.gz",
+    "self_configuring_locked_test_predictions.csv.gz",
+    "self_configuring_locked_test_orbitals.npz",
+    "*locked*test*orbital*.csv*",
+    "*locked*test*state*.csv*",
+    "*locked*test*orbital*.npz",
+)
+#: Prefixes of the columns that hold a state, and arrays that do; the first one that is there counts.
 STATE_COLUMNS = ("normalized_orbital", "selected_orbital", "orbital", "phi", "psi")
+STATE_ARRAYS = ("orbitals", "normalized_state")
 STATE_SCHEMA = "source_row long, event_number long, y int, state array<double>"
 
 
@@ -76,12 +86,27 @@ def find_states(spark: SparkSession, root: str, patterns: tuple[str, ...] = STAT
 
 
 def choose_states(found: DataFrame) -> str | None:
-    """The path of the export to read, or None; several of the first kind are one if their contents are equal, else refused."""
-    first = found.join(F.broadcast(found.agg(F.min("kind").alias("kind"))), "kind")
-    row = first.agg(F.countDistinct("digest").alias("n"), F.min("path").alias("path"), F.array_sort(F.collect_set("path")).alias("paths")).first()
-    if row["n"] > 1:
-        raise SchemaError(f"state exports differ: {row['paths'][:10]}")
-    return row["path"]
+    """The path of the export to read, or None: of the first kind that holds states.
+
+    CSV files without state columns are passed over.  Several files of a kind are one if
+    their contents are equal, else refused.
+    """
+    each = found.groupBy("kind").agg(F.countDistinct("digest").alias("n"), F.array_sort(F.collect_set("path")).alias("paths"))
+    for row in each.orderBy("kind").collect():  # a row for each pattern
+        path = row["paths"][0]
+        if not path.endswith(".npz") and not _has_states(found.sparkSession.read.csv(path, header=True).columns):
+            continue
+        if row["n"] > 1:
+            raise SchemaError(f"state exports differ: {row['paths'][:10]}")
+        return path
+    return None
+
+
+def _has_states(columns: list[str]) -> bool:
+    try:
+        return bool(state_columns(columns))
+    except SchemaError:
+        return False
 
 
 def state_columns(columns: list[str]) -> list[str]:
@@ -106,7 +131,7 @@ def read_states(spark: SparkSession, path: str, label: str = "y") -> DataFrame:
         for frame in it:
             for content in frame["content"]:
                 with np.load(io.BytesIO(content), allow_pickle=False) as held:
-                    state = next((n for n in ("orbitals", "normalized_state") if n in held.files), None)
+                    state = next((n for n in STATE_ARRAYS if n in held.files), None)
                     missing = [n for n in ("source_row", "event_number", label) if n not in held.files]
                     if missing or state is None:
                         raise SchemaError(f"arrays are missing: {missing or ['orbitals']}")

@@ -1,5 +1,6 @@
 """Files on the shared file system: receipts, state exports, and HDF5 by a stand-in for h5py."""
 
+import gzip
 import os
 import threading
 
@@ -59,16 +60,20 @@ def test_state_exports_are_found_and_read(spark, tmp_path):
     (tmp_path / "one" / "locked_test_state.csv").write_text("source_row,event_number,y,psi_2,psi_10,psi_1\n4,2,1,0.2,1.0,0.1\n")
     (tmp_path / "other.npz").write_bytes(b"x")
     found = artifacts.find_states(spark, root)
-    assert sorted(r["kind"] for r in found.collect()) == [0, 0, 2]
-    path = artifacts.choose_states(found)
+    kinds = {r["path"].rsplit("/", 1)[1]: r["kind"] for r in found.collect()}
+    assert found.count() == 3 and kinds["locked_test_state.csv"] < kinds["my_locked_test_orbitals.npz"]
+    assert artifacts.choose_states(found).endswith("locked_test_state.csv")
+    path = artifacts.choose_states(found.where("path like '%npz'"))
     assert path.endswith("one/my_locked_test_orbitals.npz")
+    (tmp_path / "one" / "self_configuring_locked_test_predictions.csv.gz").write_bytes(gzip.compress(b"source_row,score\n1,0.5\n"))
+    assert artifacts.choose_states(artifacts.find_states(spark, root)).endswith("locked_test_state.csv")  # the other has no states
     got = artifacts.read_states(spark, path).orderBy("source_row").collect()
     assert [r["event_number"] for r in got] == held["event_number"].tolist() and np.allclose([r["state"] for r in got], held["orbitals"])
     row = artifacts.read_states(spark, f"{root}/one/locked_test_state.csv").first()
     assert row["state"] == [0.1, 0.2, 1.0] and row["source_row"] == 4 and row["y"] == 1
     np.savez(tmp_path / "two" / "locked_test_orbitals.npz", **states(30, 2))
     with pytest.raises(SchemaError, match="differ"):
-        artifacts.choose_states(artifacts.find_states(spark, root))
+        artifacts.choose_states(artifacts.find_states(spark, root, ("*.npz",)).where("path not like '%other%'"))
     assert artifacts.choose_states(artifacts.find_states(spark, root, ("*none*",))) is None
     np.savez(tmp_path / "bad.npz", source_row=np.arange(3))
     with pytest.raises(Exception, match="missing"):
