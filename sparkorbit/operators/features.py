@@ -1,29 +1,142 @@
 """Feature maps: ``fit(df)`` reads quantiles and moments, ``transform`` is a projection.
 
-Null, NaN and infinite values are missing.  Quantiles come from counts of distinct
-values, so no task holds a whole column.  ``save`` and ``load_map`` keep a fitted map
-as JSON.
+Null, NaN and infinite values are missing.  Quantiles are exact: a sketch brackets each
+of them, and only values inside the brackets are counted and ordered, so neither does a
+task hold a whole column nor are all values shuffled.  ``save`` and ``load_map`` keep a
+fitted map as JSON.
 """
 
 from __future__ import annotations
 
 import json
+import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.prefix import quantiles
 from ..functions.scalars import clean_sentinel, clip, finite, met_pair, pair_kinematics, topology, wrap_angle
 
 
-def column_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) -> dict[str, list[float]]:
-    """Quantiles of the finite values of several columns, by one pass over (column, value) counts; zeros without values."""
-    each = F.array(*(F.struct(F.lit(n).alias("c"), F.when(finite(v.cast("double")), v.cast("double")).alias("v")) for n, v in columns.items()))
-    rows = df.select(F.explode(each).alias("e")).select("e.*")
-    held = {r["c"]: r["q"] for r in quantiles(rows, "v", shares, ("c",)).collect()}  # a row for each column
-    return {n: held.get(n) or [0.0] * len(shares) for n in columns}
+#: Rows that a task sorts at a time, of which each ``STEP``-th value enters the sketch, and half of the width of a bracket in ranks.
+BUFFER_ROWS, STEP, SLACK = 1 << 17, 256, 0.0015
+
+
+#: Bytecodes of a method up to which the JVM compiles it; a longer one runs some ten times slower.
+METHOD_BYTES = 8000
+
+
+@contextmanager
+def _compiled(spark: SparkSession) -> Iterator[None]:
+    """Stages whose code is too long for the JVM to compile are run operator by operator inside, in shorter methods."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    held = spark.conf.get(name)
+    spark.conf.set(name, str(METHOD_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
+
+
+def _buffers(it: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The finite values of each column, of up to ``BUFFER_ROWS`` rows at a time."""
+    held, rows = [], 0
+
+    def columns() -> Iterator[np.ndarray]:
+        for k in range(held[0].num_columns):
+            x = np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]).astype(np.float64, copy=False)
+            yield x[np.isfinite(x)]
+
+    for batch in it:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= BUFFER_ROWS:
+            yield columns()
+            held, rows = [], 0
+    if rows:
+        yield columns()
+
+
+def _sketch(df: DataFrame) -> DataFrame:
+    """(c, v, n): number of a column and every ``STEP``-th of its sorted values, by task; rows without v count the values."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for buffer in _buffers(it):
+            for k, x in enumerate(buffer):
+                size = len(x)
+                x = np.sort(x)[STEP // 2 :: STEP]
+                none = np.arange(len(x) + 1) == len(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x) + 1, k), pa.int32()), pa.array(np.append(x, 0.0), mask=none), pa.array(np.where(none, size, 0))], ["c", "v", "n"])
+
+    return df.mapInArrow(run, "c int, v double, n long")
+
+
+def _bracketed(df: DataFrame, brackets: list[tuple[int, float, float]]) -> DataFrame:
+    """(k, v, n): how often the values inside bracket k = (column, low, high) occur; the row without v counts those below."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for buffer in _buffers(it):
+            for c, x in enumerate(buffer):
+                for k, low, high in ((k, low, high) for k, (of, low, high) in enumerate(brackets) if of == c):
+                    v, n = np.unique(x[(x >= low) & (x <= high)], return_counts=True)
+                    none = np.arange(len(v) + 1) == 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(none), k), pa.int32()), pa.array(np.append(0.0, v), mask=none), pa.array(np.append((x < low).sum(), n))], ["k", "v", "n"])
+
+    return df.mapInArrow(run, "k int, v double, n long").groupBy("k", "v").agg(F.sum("n").alias("n"))
+
+
+def column_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float], counts: dict[str, int] | None = None) -> dict[str, list[float]]:
+    """Exact linear quantiles of the finite values of several columns, zeros without values; ``counts`` receives their numbers.
+
+    The first pass over the rows takes a sketch, the second one counts the values next to
+    each quantile and those below.  A bracket that misses its ranks, which the counts
+    tell, is replaced by all values of the column.
+    """
+    with _compiled(df.sparkSession):
+        return _column_quantiles(df, columns, shares, counts)
+
+
+def _column_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float], counts: dict[str, int] | None) -> dict[str, list[float]]:
+    names = list(columns)
+    values = df.select(*(v.cast("double").alias(str(k)) for k, v in enumerate(columns.values())))
+    edges = [min(1.0, max(0.0, p + d)) for p in shares for d in (-SLACK, SLACK)]
+    rows = _sketch(values).groupBy("c").agg(F.sum("n").alias("n"), F.percentile_approx("v", F.array(*map(F.lit, edges)), F.lit(10_000)).alias("q")).collect()  # a row for each column
+    sizes, brackets, ranks = [0] * len(names), [], []
+    for r in sorted(rows, key=lambda r: r["c"]):
+        sizes[r["c"]] = n = r["n"]
+        for k, p in enumerate(shares if n else []):
+            at = p * (n - 1)
+            wide = r["q"] is None or n < 64 * STEP  # too few values for a sketch
+            low, high = (-math.inf, math.inf) if wide else (r["q"][2 * k] if p > SLACK else -math.inf, r["q"][2 * k + 1] if p < 1 - SLACK else math.inf)
+            brackets.append((r["c"], low, high))
+            ranks.append((math.floor(at), math.ceil(at), at - math.floor(at)))
+    if counts is not None:
+        counts.update(zip(names, sizes, strict=True))
+    found: dict[int, float] = {}
+    while len(found) < len(brackets):
+        todo = [k for k in range(len(brackets)) if k not in found]
+        upto = F.sum("n").over(Window.partitionBy("k").orderBy(F.col("v").asc_nulls_first()))
+        run = _bracketed(values, [brackets[k] for k in todo]).withColumn("upto", upto)
+        at = lambda j: F.element_at(F.array(*(F.lit(ranks[k][j]).cast("long") for k in todo)), F.col("k") + 1)
+        below = F.max(F.when(F.col("v").isNull(), F.col("upto")))
+        ends = (F.min(F.when(F.col("upto") > at(j), F.struct("upto", "v"))) for j in (0, 1))
+        for r in run.groupBy("k").agg(below.alias("below"), F.max("upto").alias("most"), *(e.alias(n) for e, n in zip(ends, ("low", "high"), strict=True))).collect():  # a row for each bracket
+            k = todo[r["k"]]
+            low, high, part = ranks[k]
+            if r["below"] <= low and high < r["most"]:
+                found[k] = r["low"]["v"] + part * (r["high"]["v"] - r["low"]["v"])
+            else:
+                brackets[k] = (brackets[k][0], -math.inf, math.inf)
+    out = {n: [0.0] * len(shares) for n in names}
+    of = [(c, j) for c, n in enumerate(sizes) if n for j in range(len(shares))]
+    for k, (c, j) in enumerate(of):
+        out[names[c]][j] = found[k]
+    return out
 
 
 @dataclass
@@ -93,9 +206,9 @@ class ImputeMap:
 
     def fit(self, df: DataFrame) -> ImputeMap:
         clean = {c: clean_sentinel(F.col(c)) for c in self.columns}
-        row = df.agg(*(F.sum(v.isNull().cast("long")).alias(c) for c, v in clean.items())).first()
-        self.medians = {c: q[0] for c, q in column_quantiles(df, clean, [0.5]).items()}
-        self.flagged = [c for c in self.columns if row[c]]
+        counts: dict[str, int] = {}
+        self.medians = {c: q[0] for c, q in column_quantiles(df, clean | {"": F.lit(0.0)}, [0.5], counts).items() if c}
+        self.flagged = [c for c in self.columns if counts[c] < counts[""]]
         scaled = [*self.columns, *(f"{c}_missing" for c in self.flagged if self.scale_flags)]
         self.robust = RobustMap(scaled, limit=self.limit).fit(self._filled(df))
         return self
@@ -139,7 +252,8 @@ def higgs_physics(df: DataFrame) -> DataFrame:
 def log_if_positive(df: DataFrame, columns: list[str], fitted: dict[str, bool] | None = None) -> tuple[DataFrame, dict[str, bool]]:
     """``df`` with <column>__log1p of the columns whose fitted minimum is not negative; the flags belong to the fit."""
     if fitted is None:
-        row = df.agg(*(F.min(F.when(finite(F.col(c)), F.col(c))).alias(c) for c in columns)).first()
+        with _compiled(df.sparkSession):
+            row = df.agg(*(F.min(F.when(finite(F.col(c)), F.col(c))).alias(c) for c in columns)).first()
         fitted = {c: row[c] is not None and row[c] >= 0 for c in columns}
     return df.withColumns({f"{c}__log1p": F.when(F.col(c).isNotNull(), F.log1p(F.greatest(F.col(c), F.lit(0.0)))) for c in columns if fitted[c]}), fitted
 

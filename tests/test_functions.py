@@ -151,3 +151,26 @@ def test_screening_measurement(spark):
     value, vector = np.linalg.eigh(e.sum(axis=0))
     t = vector @ np.diag(value**-0.5) @ vector.T
     assert np.allclose(m, t @ e @ t) and np.allclose(m.sum(axis=0), np.eye(3))
+
+
+def test_column_quantiles_count_only_what_is_near(spark, monkeypatch):
+    """Exact quantiles by sketch and brackets, with ties, gaps and missing values, and of brackets that miss."""
+    from sparkorbit.operators import features
+
+    rng = np.random.default_rng(8)
+    n = 9000
+    x = {"a": rng.normal(size=n), "ties": rng.integers(0, 3, n).astype(float), "few": np.where(np.arange(n) % 900 == 0, rng.normal(size=n), np.nan), "none": np.full(n, np.inf), "sorted": np.arange(n) / 7.0}
+    df = spark.createDataFrame([tuple(float(v[i]) for v in x.values()) for i in range(n)], ", ".join(f"{c} double" for c in x)).repartition(3)
+    shares = [0.0, 0.1, 0.5, 0.9, 1.0]
+    want = {c: np.quantile(v[np.isfinite(v)], shares) if np.isfinite(v).any() else np.zeros(5) for c, v in x.items()}
+    monkeypatch.setattr(features, "BUFFER_ROWS", 500)
+    monkeypatch.setattr(features, "STEP", 4)
+    for slack in (0.05, 1e-9):
+        monkeypatch.setattr(features, "SLACK", slack)
+        counts = {}
+        got = features.column_quantiles(df, {c: F.col(c) for c in x}, shares, counts)
+        assert counts == {c: int(np.isfinite(v).sum()) for c, v in x.items()}
+        assert all(np.allclose(got[c], want[c], rtol=0, atol=1e-12) for c in x)
+    near = features._bracketed(df.select("a"), [(0, -0.01, 0.01)]).count()
+    assert near < n / 50  # the other values are only counted
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535"
