@@ -174,3 +174,17 @@ def test_column_quantiles_count_only_what_is_near(spark, monkeypatch):
     near = features._bracketed(df.select("a"), [(0, -0.01, 0.01)]).count()
     assert near < n / 50  # the other values are only counted
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535"
+
+
+def test_node_inputs_take_one_shuffle_and_keep_nulls(spark):
+    from sparkorbit.operators import tracks as tk
+
+    rows = [(1, 1, 0.5, 1.0), (1, 2, None, 2.0), (1, 3, 2.5, 4.0), (2, 1, 7.0, 0.0)]
+    df = spark.createDataFrame(rows, "jet long, slot int, f double, c double")
+    out = tk.node_inputs(df, "jet", "slot", ["f"], "graph", ["c"], 2)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+    got = {(r["jet"], r["slot"]): r["x"] for r in out.collect()}
+    w = {(i, j): math.exp(-0.5 * (a - b) ** 2) for i, a in ((1, 1.0), (2, 2.0), (3, 4.0)) for j, b in ((1, 1.0), (2, 2.0), (3, 4.0)) if i != j}
+    one, two, three = w[1, 3] / (w[1, 2] + w[1, 3]) * 2.5, (w[2, 1] * 0.5 + w[2, 3] * 2.5) / (w[2, 1] + w[2, 3]), w[3, 1] / (w[3, 1] + w[3, 2]) * 0.5
+    assert got[1, 1] == pytest.approx([0.5, one, 0.5 - one, 0.5 * one]) and got[1, 3] == pytest.approx([2.5, three, 2.5 - three, 2.5 * three])
+    assert got[1, 2] == [None, pytest.approx(two), None, None] and got[2, 1] == [7.0, 0.0, 7.0, 0.0]
