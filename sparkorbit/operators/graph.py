@@ -13,11 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prefix import range_bin
 from ..functions.scalars import information, information_bound
-from .metric_join import knn_by_pivots, nearest
+from ..functions.stored import stored
+from .metric_join import knn_by_pivots, nearest, vectors
 
 MAX_LANDMARKS = 20_000
 FLOOR = 1e-12
+#: Queries, and landmarks, of a tile of dense affinities, and the share of the norms below which a difference of them is not used.
+TILE_ROWS, CANCELS = 2048, 1e-3
 
 
 def _matrix(vertices: DataFrame, id_col: str, vector_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -94,12 +98,43 @@ def query_affinities(queries: DataFrame, landmarks: DataFrame, k: int = 8, k_sig
     return near.join(own, "src").join(scales.toDF("dst", "_b"), "dst").select("src", "dst", _weight(F.col("d2"), F.col("_a"), F.col("_b")).alias("w"))
 
 
+def _numbered(points: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(place, v): the points with their places, from 0, in the order of the ids; no task orders all of them."""
+    points = stored(points.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
+    binned = stored(points.withColumn("bin", range_bin(points, "id")))
+    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = binned.groupBy("bin").agg(F.count("*").alias("n")).select("bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))  # a row for each range
+    return binned.join(F.broadcast(sizes), "bin").select((F.col("first") + F.row_number().over(Window.partitionBy("bin").orderBy("id", "v")) - 1).alias("place"), "v")
+
+
+def _weights(x: np.ndarray, own: np.ndarray, points: np.ndarray, sigma: np.ndarray) -> Iterator[np.ndarray]:
+    """Weights of all points for 64 rows of x at a time; distances that cancel are taken from the differences."""
+    square = (points * points).sum(axis=1)
+    most = square.max(initial=0.0)
+    for at in range(0, len(x), 64):
+        part = x[at : at + 64]
+        norm = (part * part).sum(axis=1)[:, None]
+        d2 = part @ points.T
+        d2 *= -2
+        d2 += square
+        d2 += norm
+        r, c = np.nonzero(~(d2 > CANCELS * (norm + most)) | np.isinf(d2))
+        for i in range(0, len(r), 1 << 16):
+            some = slice(i, i + (1 << 16))
+            d2[r[some], c[some]] = ((part[r[some]] - points[c[some]]) ** 2).sum(axis=1)
+        d2 /= -np.maximum(own[at : at + 64, None] * sigma, FLOOR)
+        yield np.exp(d2, out=d2)
+
+
 def dense_affinities(queries: DataFrame, landmarks: DataFrame, k_sigma: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(src, w: array): weights of all landmarks, by id, for each query; of the scales of ``query_affinities``.
+    """(src, q, first, w: array): weights of all landmarks, by id, for each query; of the scales of ``query_affinities``.
 
-    One row for each query, and at most ``MAX_LANDMARKS`` landmarks: more are refused,
-    as each would be a component of every array.
+    Each query has a number ``q`` of its own.  Up to ``MAX_LANDMARKS`` landmarks make one row
+    for each query; of more, a row holds those of ``TILE_ROWS`` places, the first of which is
+    ``first``, and tiles of queries and landmarks meet in tasks that hold neither side whole.
     """
+    if landmarks.limit(MAX_LANDMARKS + 1).count() > MAX_LANDMARKS:
+        return _dense_tiles(queries, landmarks, k_sigma, id_col, vector_col)
     ids, points = _matrix(landmarks, id_col, vector_col)
     near_l = knn(landmarks, landmarks, k_sigma, id_col, vector_col, exclude_self=True)
     scales = {r["id"]: r["sigma"] for r in local_scales(near_l, min(k_sigma, max(1, len(ids) - 1))).collect()}
@@ -113,14 +148,63 @@ def dense_affinities(queries: DataFrame, landmarks: DataFrame, k_sigma: int = 4,
         for batch in it:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                x = np.array(part.column(1).to_pylist(), np.float64)
+                x = np.array(part.column(2).to_pylist(), np.float64)
                 d2 = np.stack([((points - v) ** 2).sum(axis=1) for v in x])
                 own = np.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1]) if k else np.zeros(len(x))
                 own = np.where(own > 0, own, middle)
                 w = np.exp(-d2 / np.maximum(own[:, None] * sigma, FLOOR))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(w))], ["src", "w"])
-
-    return queries.select(F.col(id_col).cast("long").alias("src"), vector_col).mapInArrow(weigh, "src long, w array<double>")
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.zeros(len(x), np.int64)), pa.array(list(w))], ["src", "q", "first", "w"])
+
+    return queries.select(F.col(id_col).cast("long").alias("src"), F.monotonically_increasing_id().alias("q"), vector_col).mapInArrow(weigh, "src long, q long, first long, w array<double>")
+
+
+def _dense_tiles(queries: DataFrame, landmarks: DataFrame, k_sigma: int, id_col: str, vector_col: str) -> DataFrame:
+    """``dense_affinities`` of any number of landmarks: groups of queries by groups of landmarks."""
+    marks = stored(_numbered(landmarks, id_col, vector_col))
+    asked = stored(queries.select(F.col(id_col).cast("long").alias("src"), F.monotonically_increasing_id().alias("q"), F.col(vector_col).cast("array<double>").alias("v")))
+    scales = stored(local_scales(knn(marks, marks, k_sigma, "place", "v", exclude_self=True), k_sigma))
+    middle = scales.agg(F.median("sigma")).first()[0]
+    far = knn(asked, marks.withColumnRenamed("place", "q"), k_sigma, "q", "v").where(F.col("rank") == k_sigma).select(F.col("src").alias("q"), F.sqrt("d2").alias("_s"))
+    asked = asked.join(far, "q").withColumn("own", F.when(F.col("_s") > 0, F.col("_s")).otherwise(F.lit(middle)))
+    rows, m, n = TILE_ROWS, scales.count(), queries.count()
+    groups, tiles = max(1, -(-n // rows)), -(-m // rows)
+    span = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = asked.select(F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int").alias("group"), span(tiles).alias("tile"), "src", "q", "v", "own")
+    right = marks.join(scales.toDF("place", "sigma"), "place").select(span(groups).alias("group"), F.floor(F.col("place") / rows).cast("int").alias("tile"), "place", "v", "sigma")
+
+    def weigh(asked: pa.Table, marks: pa.Table) -> pa.Table:
+        schema = pa.schema({"src": pa.int64(), "q": pa.int64(), "first": pa.int64(), "w": pa.list_(pa.float64())})
+        if not asked.num_rows:
+            return schema.empty_table()
+        marks = marks.sort_by("place")
+        dim, at, out = len(marks["v"][0]), 0, []
+        x, points = vectors(asked["v"], dim), vectors(marks["v"], dim)
+        for w in _weights(x, asked["own"].to_numpy(), points, marks["sigma"].to_numpy()):
+            part = asked.slice(at, len(w)).combine_chunks()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, w.size + 1, w.shape[1]), pa.int32()), pa.array(w.ravel()))
+            first = pa.array(np.full(len(w), marks["place"][0].as_py()))
+            out.append(pa.table([part["src"], part["q"], first, lists], schema=schema))
+            at += len(w)
+        return pa.concat_tables(out)
+
+    return left.groupBy("group", "tile").cogroup(right.groupBy("group", "tile")).applyInArrow(weigh, "src long, q long, first long, w array<double>")
+
+
+def affinity_totals(affinities: DataFrame, period: int) -> DataFrame:
+    """(src, q, n, total, most, placed) of each query of ``dense_affinities``: number, sum and largest of its weights, and their sum by place modulo ``period``."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            w, size, first = b["w"].flatten().to_numpy(zero_copy_only=False), b["w"].value_lengths().to_numpy(zero_copy_only=False), b["first"].to_numpy()
+            total, most, placed = np.zeros(len(size)), np.zeros(len(size)), np.zeros(len(size))
+            upto = np.cumsum(size, dtype=np.int64)
+            for r in np.flatnonzero(size):
+                row = w[upto[r] - size[r] : upto[r]]
+                total[r], most[r], placed[r] = row.sum(), row.max(), row @ (np.arange(first[r], first[r] + size[r]) % period)
+            yield pa.RecordBatch.from_arrays([b["src"], b["q"], pa.array(size, pa.int64()), pa.array(total), pa.array(most, mask=size == 0), pa.array(placed)], ["src", "q", "n", "total", "most", "placed"])
+
+    parts = affinities.select("src", "q", "first", "w").mapInArrow(run, "src long, q long, n long, total double, most double, placed double")
+    return parts.groupBy("src", "q").agg(*(f(c).alias(c) for c, f in (("n", F.sum), ("total", F.sum), ("most", F.max), ("placed", F.sum))))
 
 
 def class_priors(labels: DataFrame, label: str = "y") -> DataFrame:

@@ -69,6 +69,29 @@ def test_large_graphs_take_the_pivot_join(spark, sf, monkeypatch):
     same(rows(graph.knn(e, e, 6, exclude_self=True)), want)
 
 
+def test_dense_affinities_of_more_landmarks_than_are_broadcast(spark, monkeypatch, rows=20):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 4))
+    x[30:37] = x[2]  # copies: distances of zero, and scales that take the median
+    df = spark.createDataFrame([(5 * i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    queries, marks = df.where("vec_id % 2 = 1").union(df.where("vec_id in (10, 150)")), df.where("vec_id % 2 = 0")
+    near = graph.dense_affinities(queries, marks)
+    want = {r["src"]: np.array(r["w"]) for r in near.collect()}
+    totals = {r["src"]: r for r in graph.affinity_totals(near, 7).collect()}
+    monkeypatch.setattr(graph, "MAX_LANDMARKS", 10)
+    monkeypatch.setattr(graph, "TILE_ROWS", rows)
+    tiles = graph.dense_affinities(queries, marks)
+    got = {}
+    for r in sorted(tiles.collect(), key=lambda r: r["first"]):
+        assert len(r["w"]) <= rows and len(got.setdefault(r["src"], [])) == r["first"]
+        got[r["src"]] += r["w"]
+    assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], rtol=1e-9, atol=1e-300) for i in want)
+    for r in graph.affinity_totals(tiles, 7).collect():
+        w, one = want[r["src"]], totals[r["src"]]
+        assert r["n"] == one["n"] == len(w) == 45 and r["most"] == pytest.approx(one["most"]) == pytest.approx(w.max())
+        assert r["total"] == pytest.approx(one["total"]) == pytest.approx(w.sum()) and r["placed"] == pytest.approx(one["placed"]) == pytest.approx(w @ (np.arange(45) % 7))
+
+
 def ring(spark, n, seed):
     """The Laplacian of a ring with chords, and a potential."""
     rng = np.random.default_rng(seed)
