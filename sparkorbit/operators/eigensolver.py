@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import by_rows
 from ..functions.stored import release, stored
 
 #: Entries of a block, which one task holds: 24 bytes each.
@@ -95,6 +96,11 @@ def smallest_modes(entries: DataFrame, k: int, seed: int = 0, tolerance: float =
     each vertex is a source.  Pairs are repeated until their residual norms are below
     ``tolerance``; a cluster that does not separate within ``ROUNDS`` raises.
     """
+    with by_rows(entries.sparkSession):  # a row of the state is a vertex, a packed one a block
+        return _smallest_modes(entries, k, seed, tolerance, block_entries)
+
+
+def _smallest_modes(entries: DataFrame, k: int, seed: int, tolerance: float, block_entries: int) -> tuple[list[float], DataFrame]:
     entries = stored(entries.groupBy("src", "dst").agg(F.sum("value").alias("value")))
     size = entries.agg(F.count("*").alias("nnz"), F.countDistinct("src").alias("n")).first()
     n, k = size["n"], min(k, size["n"])

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import by_rows
 from ..functions.stored import stored
 
 #: Bytes of the vectors of a block, and of the queries that meet it in one task.
@@ -188,6 +189,11 @@ def knn_by_pivots(queries: DataFrame, landmarks: DataFrame, k: int, id_col: str
     own, equal ids or not; null ids are refused, and so are vectors that are null, of
     another size or not finite.  ``block_rows`` sets the size of a block in rows.
     """
+    with by_rows(queries.sparkSession):  # a row is a vector
+        return _knn_by_pivots(queries, landmarks, k, id_col, vector_col, exclude_self, block_rows)
+
+
+def _knn_by_pivots(queries: DataFrame, landmarks: DataFrame, k: int, id_col: str, vector_col: str, exclude_self: bool, block_rows: int | None) -> DataFrame:
     spark = queries.sparkSession
     known = lambda df: F.when(F.col(id_col).isNotNull(), F.col(id_col).cast("long")).otherwise(F.raise_error(F.lit("a point has no id")).cast("long"))
     points = landmarks.select(known(landmarks).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
