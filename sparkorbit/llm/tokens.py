@@ -157,6 +157,11 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if urlparse(uri).scheme else (fs.LocalFileSystem(), uri)
 
 
+def record_codec() -> pa.Codec:
+    """How records are packed on their way to the shards: a third of zlib's time for nearly its size."""
+    return pa.Codec("zstd", compression_level=1)
+
+
 def shard_name(shard: int) -> str:
     return f"tokens-{shard:07d}.bin"
 
@@ -215,6 +220,7 @@ def write_training_order(docs: DataFrame, out_dir: str, key: int = 1, length: in
 
     def encoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, _ = encoder(vocabulary)
+        codec = record_codec()
         for batch in it:
             numbers = batch.column(1).to_numpy()
             firsts, copies = batch.column(3).to_numpy(), batch.column(4).to_numpy()
@@ -232,7 +238,7 @@ def write_training_order(docs: DataFrame, out_dir: str, key: int = 1, length: in
                         seq += [k // length] * times
                         n += [size] * times
                         crc += [zlib.crc32(record)] * times
-                        packed += [zlib.compress(record[: 2 * size], 1)] * times
+                        packed += [codec.compress(record[: 2 * size], asbytes=True)] * times
                         copy += range(int(firsts[r]), int(firsts[r]) + times)
                 if single:
                     number = (numbers[row] - low).astype(np.uint64)
@@ -247,6 +253,7 @@ def write_training_order(docs: DataFrame, out_dir: str, key: int = 1, length: in
     def written(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _open(out_dir)
         store.create_dir(root, recursive=True)
+        codec = record_codec()
         shard, out, part, at = None, None, "", 0
 
         def close() -> None:
@@ -262,7 +269,7 @@ def write_training_order(docs: DataFrame, out_dir: str, key: int = 1, length: in
                     shard, part, at = s, f"{root}/.{shard_name(s)}.{uuid.uuid4().hex}", 0
                     out = store.open_output_stream(part)
                 record = np.full(length, end, "<u2")
-                record[:n] = np.frombuffer(zlib.decompress(packed.as_py()), "<u2")
+                record[:n] = np.frombuffer(codec.decompress(packed.as_py(), 2 * n, asbytes=True), "<u2")
                 out.write(record.tobytes())
                 inner.append(at)
                 at += 1
