@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
@@ -90,53 +90,115 @@ def _bracketed(df: DataFrame, brackets: list[tuple[int, float, float]]) -> DataF
     return df.mapInArrow(run, "k int, v double, n long").groupBy("k", "v").agg(F.sum("n").alias("n"))
 
 
-def column_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float], counts: dict[str, int] | None = None) -> dict[str, list[float]]:
-    """Exact linear quantiles of the finite values of several columns, zeros without values; ``counts`` receives their numbers.
+#: Steps of the shares at which a sketch is read.
+GRID = 1000
+
+
+def _order_statistics(df: DataFrame, columns: dict[str, Column], wanted: Callable[[int, int], list[tuple[int, int]]]) -> tuple[int, dict[str, int], dict[str, dict[tuple[int, int], tuple[float, float]]]]:
+    """Rows, finite values of each column, and the values at the pairs of ranks (from 0) that ``wanted`` names for a column of n values, n > 0, and a number of rows.
 
     The first pass over the rows takes a sketch, the second one counts the values next to
-    each quantile and those below.  A bracket that misses its ranks, which the counts
-    tell, is replaced by all values of the column.
+    each pair and those below.  A bracket that misses its ranks, which the counts tell, is
+    replaced by all values of the column.
     """
     with _compiled(df.sparkSession):
-        return _column_quantiles(df, columns, shares, counts)
-
-
-def _column_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float], counts: dict[str, int] | None) -> dict[str, list[float]]:
-    names = list(columns)
-    values = df.select(*(v.cast("double").alias(str(k)) for k, v in enumerate(columns.values())))
-    edges = [min(1.0, max(0.0, p + d)) for p in shares for d in (-SLACK, SLACK)]
-    rows = _sketch(values).groupBy("c").agg(F.sum("n").alias("n"), F.percentile_approx("v", F.array(*map(F.lit, edges)), F.lit(10_000)).alias("q")).collect()  # a row for each column
-    sizes, brackets, ranks = [0] * len(names), [], []
-    for r in sorted(rows, key=lambda r: r["c"]):
-        sizes[r["c"]] = n = r["n"]
-        for k, p in enumerate(shares if n else []):
-            at = p * (n - 1)
-            wide = r["q"] is None or n < 64 * STEP  # too few values for a sketch
-            low, high = (-math.inf, math.inf) if wide else (r["q"][2 * k] if p > SLACK else -math.inf, r["q"][2 * k + 1] if p < 1 - SLACK else math.inf)
-            brackets.append((r["c"], low, high))
-            ranks.append((math.floor(at), math.ceil(at), at - math.floor(at)))
+        names = list(columns)
+        values = df.select(*(v.cast("double").alias(str(k)) for k, v in enumerate([*columns.values(), F.lit(0.0)])))  # the last one counts the rows
+        steps = F.array(*(F.lit(j / GRID) for j in range(GRID + 1)))
+        rows = _sketch(values).groupBy("c").agg(F.sum("n").alias("n"), F.percentile_approx("v", steps, F.lit(10_000)).alias("q")).collect()  # a row for each column
+        held = {r["c"]: r for r in rows}
+        total = held[len(names)]["n"] if held else 0
+        sizes, brackets, ranks = dict.fromkeys(names, 0), [], []
+        for c, name in enumerate(names):
+            sizes[name] = n = held[c]["n"] if held else 0
+            for pair in sorted(set(wanted(n, total))) if n else []:
+                q = held[c]["q"] if n >= 64 * STEP else None  # too few values for a sketch
+                a, b = ((r / max(1, n - 1) + d) * GRID for r, d in zip(pair, (-SLACK, SLACK), strict=True))
+                low = -math.inf if q is None or a <= 0 else q[math.floor(a)]
+                high = math.inf if q is None or b >= GRID else q[math.ceil(b)]
+                brackets.append((c, low, high))
+                ranks.append(pair)
+        found: dict[str, dict[tuple[int, int], tuple[float, float]]] = {n: {} for n in names}
+        todo = list(range(len(brackets)))
+        while todo:
+            upto = F.sum("n").over(Window.partitionBy("k").orderBy(F.col("v").asc_nulls_first()))
+            run = _bracketed(values, [brackets[k] for k in todo]).withColumn("upto", upto)
+            at = lambda j: F.element_at(F.array(*(F.lit(ranks[k][j]).cast("long") for k in todo)), F.col("k") + 1)  # noqa: B023, E731
+            below = F.max(F.when(F.col("v").isNull(), F.col("upto")))
+            ends = (F.min(F.when(F.col("upto") > at(j), F.struct("upto", "v"))) for j in (0, 1))
+            missed = []
+            for r in run.groupBy("k").agg(below.alias("below"), F.max("upto").alias("most"), *(e.alias(n) for e, n in zip(ends, ("low", "high"), strict=True))).collect():  # a row for each bracket
+                k = todo[r["k"]]
+                if r["below"] <= ranks[k][0] and ranks[k][1] < r["most"]:
+                    found[names[brackets[k][0]]][ranks[k]] = (r["low"]["v"], r["high"]["v"])
+                else:
+                    brackets[k] = (brackets[k][0], -math.inf, math.inf)
+                    missed.append(k)
+            todo = missed
+    return total, sizes, found
+
+
+def _between(share: float, n: int) -> tuple[int, int, float]:
+    """The two ranks of n values that a linear quantile lies between, and how far."""
+    at = share * (n - 1)
+    return math.floor(at), math.ceil(at), at - math.floor(at)
+
+
+def column_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float], counts: dict[str, int] | None = None) -> dict[str, list[float]]:
+    """Exact linear quantiles of the finite values of several columns, zeros without values; ``counts`` receives their numbers."""
+    _, sizes, found = _order_statistics(df, columns, lambda n, _: [_between(p, n)[:2] for p in shares])
     if counts is not None:
-        counts.update(zip(names, sizes, strict=True))
-    found: dict[int, float] = {}
-    while len(found) < len(brackets):
-        todo = [k for k in range(len(brackets)) if k not in found]
-        upto = F.sum("n").over(Window.partitionBy("k").orderBy(F.col("v").asc_nulls_first()))
-        run = _bracketed(values, [brackets[k] for k in todo]).withColumn("upto", upto)
-        at = lambda j: F.element_at(F.array(*(F.lit(ranks[k][j]).cast("long") for k in todo)), F.col("k") + 1)
-        below = F.max(F.when(F.col("v").isNull(), F.col("upto")))
-        ends = (F.min(F.when(F.col("upto") > at(j), F.struct("upto", "v"))) for j in (0, 1))
-        for r in run.groupBy("k").agg(below.alias("below"), F.max("upto").alias("most"), *(e.alias(n) for e, n in zip(ends, ("low", "high"), strict=True))).collect():  # a row for each bracket
-            k = todo[r["k"]]
-            low, high, part = ranks[k]
-            if r["below"] <= low and high < r["most"]:
-                found[k] = r["low"]["v"] + part * (r["high"]["v"] - r["low"]["v"])
-            else:
-                brackets[k] = (brackets[k][0], -math.inf, math.inf)
-    out = {n: [0.0] * len(shares) for n in names}
-    of = [(c, j) for c, n in enumerate(sizes) if n for j in range(len(shares))]
-    for k, (c, j) in enumerate(of):
-        out[names[c]][j] = found[k]
-    return out
+        counts.update(sizes)
+    out = {}
+    for c, n in sizes.items():
+        out[c] = []
+        for low, high, part in (_between(p, n) for p in shares) if n else []:
+            a, b = found[c][low, high]
+            out[c].append(a + part * (b - a))
+    return {c: q or [0.0] * len(shares) for c, q in out.items()}
+
+
+def filled_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) -> tuple[int, dict[str, tuple[int, float, list[float]]]]:
+    """Number of rows and, of each column, its number of finite values, their median, and the linear quantiles of the column with the others replaced by that median.
+
+    The filled column is the sorted one with the median put in after the lower of the two
+    values it lies between, so its quantiles are found with the median, in the same passes.
+    """
+
+    def origin(rank: int, n: int, total: int) -> int | None:
+        """The rank among the values of a rank of the filled column; None: the median."""
+        low = _between(0.5, n)[0]
+        return rank if rank <= low else None if rank <= low + total - n else rank - (total - n)
+
+    def wanted(n: int, total: int) -> list[tuple[int, int]]:
+        filled = (tuple(origin(r, n, total) for r in _between(p, total)[:2]) for p in shares)
+        known = ([r for r in pair if r is not None] for pair in filled)
+        return [_between(0.5, n)[:2], *((pair[0], pair[-1]) for pair in known if pair)]
+
+    total, sizes, found = _order_statistics(df, columns, wanted)
+    out = {}
+    for c, n in sizes.items():
+        if not n:
+            out[c] = (0, 0.0, [0.0] * len(shares))
+            continue
+        at = {r: v for pair, both in found[c].items() for r, v in zip(pair, both, strict=True)}
+        low, high, part = _between(0.5, n)
+        median = at[low] + part * (at[high] - at[low])
+        value = lambda r: median if r is None else at[r]  # noqa: B023, E731
+        quantiles = []
+        for p in shares:
+            low, high, part = _between(p, total)
+            a, b = value(origin(low, n, total)), value(origin(high, n, total))
+            quantiles.append(a + part * (b - a))
+        out[c] = (n, median, quantiles)
+    return total, out
+
+
+def flag_quantile(share: float, ones: int, total: int) -> float:
+    """The linear quantile of ``total`` flags, of which ``ones`` are 1 and the others 0."""
+    low, high, part = _between(share, total)
+    a, b = (float(r >= total - ones) for r in (low, high))
+    return a + part * (b - a)
 
 
 @dataclass
@@ -151,9 +213,12 @@ class RobustMap:
     params: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> RobustMap:
-        held = column_quantiles(df, {c: F.col(c) for c in self.columns}, [self.low, 0.5, self.high])
-        for c in self.columns:
-            a, m, b = held[c]
+        return self.of(column_quantiles(df, {c: F.col(c) for c in self.columns}, [self.low, 0.5, self.high]))
+
+    def of(self, quantiles: dict[str, list[float]]) -> RobustMap:
+        """The map of columns whose low quantile, median and high quantile are known."""
+        self.columns = list(quantiles)
+        for c, (a, m, b) in quantiles.items():
             self.params[c] = (m, b - a if b - a > (0 if self.flat == 1.0 else self.flat) else self.flat)
         return self
 
@@ -204,13 +269,19 @@ class ImputeMap:
         flags = {f"{c}_missing": clean[c].isNull().cast("double") for c in self.flagged}
         return df.select(*(c for c in df.columns if c not in self.columns), *(F.coalesce(v, F.lit(self.medians[c])).alias(c) for c, v in clean.items()), *(v.alias(n) for n, v in flags.items()))
 
-    def fit(self, df: DataFrame) -> ImputeMap:
-        clean = {c: clean_sentinel(F.col(c)) for c in self.columns}
-        counts: dict[str, int] = {}
-        self.medians = {c: q[0] for c, q in column_quantiles(df, clean | {"": F.lit(0.0)}, [0.5], counts).items() if c}
-        self.flagged = [c for c in self.columns if counts[c] < counts[""]]
-        scaled = [*self.columns, *(f"{c}_missing" for c in self.flagged if self.scale_flags)]
-        self.robust = RobustMap(scaled, limit=self.limit).fit(self._filled(df))
+    def fit(self, df: DataFrame, also: dict[str, Column] | None = None) -> ImputeMap:
+        """``also`` are more columns whose missing values are counted."""
+        robust = RobustMap([], limit=self.limit)
+        shares = [robust.low, 0.5, robust.high]
+        total, held = filled_quantiles(df, {c: clean_sentinel(F.col(c)) for c in self.columns} | (also or {}), shares)
+        self.missing = {c: total - n for c, (n, _, _) in held.items()}
+        held = {c: held[c] for c in self.columns}
+        self.medians = {c: median for c, (_, median, _) in held.items()}
+        self.flagged = [c for c, (n, _, _) in held.items() if n < total]
+        scaled = {c: q for c, (_, _, q) in held.items()}
+        if self.scale_flags:
+            scaled |= {f"{c}_missing": [flag_quantile(p, total - held[c][0], total) for p in shares] for c in self.flagged}
+        self.robust = robust.of(scaled)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -320,9 +391,9 @@ class CompactHiggsMap:
 
     def fit(self, df: DataFrame) -> CompactHiggsMap:
         mapped, plain = self._mapped(df)
-        row = mapped.agg(*(F.max(f"missing__{c}").alias(c) for c in self.columns)).first()
-        self.flagged = [c for c in self.columns if row[c]]
-        self.impute = ImputeMap(list(plain)).fit(mapped)
+        seen = {c: F.when(F.col(f"missing__{c}") == 0, F.lit(0.0)) for c in self.columns if c not in plain}
+        self.impute = ImputeMap(list(plain)).fit(mapped, seen)
+        self.flagged = [c for c in self.columns if self.impute.missing[c]]
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

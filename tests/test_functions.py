@@ -176,6 +176,35 @@ def test_column_quantiles_count_only_what_is_near(spark, monkeypatch):
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535"
 
 
+def test_imputed_map_is_fitted_in_two_passes(spark, monkeypatch):
+    """Medians and the quantiles of the filled columns are found together, as if the columns had been filled first."""
+    from sparkorbit.operators import features
+
+    rng = np.random.default_rng(9)
+    x = {"whole": rng.normal(size=3001), "gaps": np.where(rng.random(3001) < 0.35, -999.0, rng.normal(size=3001)), "most": np.where(rng.random(3001) < 0.97, np.nan, rng.integers(0, 9, 3001)), "ties": np.where(rng.random(3001) < 0.3, -999.0, rng.integers(0, 3, 3001)), "none": np.full(3001, np.nan)}
+    df = spark.createDataFrame([tuple(float(v[i]) for v in x.values()) for i in range(3001)], ", ".join(f"{c} double" for c in x)).repartition(3)
+    passes = []
+    monkeypatch.setattr(features, "BUFFER_ROWS", 500)
+    monkeypatch.setattr(features, "STEP", 4)
+    for name in ("_sketch", "_bracketed"):
+        monkeypatch.setattr(features, name, lambda *a, f=getattr(features, name): passes.append(1) or f(*a))
+    for slack, most in ((0.08, 2), (0.0, 3)):
+        passes.clear()
+        monkeypatch.setattr(features, "SLACK", slack)
+        fitted = features.ImputeMap(list(x), scale_flags=True).fit(df)
+        assert len(passes) <= most
+        assert fitted.flagged == ["gaps", "most", "ties", "none"]
+        for c, v in x.items():
+            known = np.isfinite(v) & (v != -999.0)
+            median = np.median(v[known]) if known.any() else 0.0
+            low, middle, high = np.quantile(np.where(known, v, median), [0.1, 0.5, 0.9])
+            assert fitted.medians[c] == pytest.approx(median, abs=1e-12)
+            assert fitted.robust.params[c] == pytest.approx((middle, high - low if high > low else 1.0), abs=1e-12)
+            if c in fitted.flagged:
+                low, middle, high = np.quantile((~known).astype(float), [0.1, 0.5, 0.9])
+                assert fitted.robust.params[f"{c}_missing"] == pytest.approx((middle, high - low if high > low else 1.0), abs=1e-12)
+
+
 def test_node_inputs_take_one_shuffle_and_keep_nulls(spark):
     from sparkorbit.operators import tracks as tk
 
