@@ -16,6 +16,7 @@ from ..functions.intervals import clopper_pearson
 from ..functions.prefix import following, quantiles, running_sums
 from ..functions.scalars import clip, finite
 from ..functions.stored import stored
+from .features import column_quantiles
 
 #: Rows up to which a table of ranks, two numbers a row, is broadcast.
 SMALL = 1_000_000
@@ -263,7 +264,16 @@ def score_validity(df: DataFrame, by: tuple[str, ...] = ("method",)) -> DataFram
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.coalesce(bad, F.lit(True)).cast("long")).alias("n_invalid"))
 
 
+def score_shift(rows: DataFrame, before: str = "before", after: str = "after") -> DataFrame:
+    """One row: number, 95 % quantile and mean of the change between two scores of a row; null if either is.
+
+    The changes are written once; the quantile counts only the values next to it.
+    """
+    d = stored(rows.select(F.abs(F.col(before) - F.col(after)).alias("d")))
+    p95 = column_quantiles(d, {"d": F.col("d")}, [0.95])["d"][0]
+    return d.agg(F.count("d").alias("n"), F.when(F.count("d") > 0, F.lit(p95)).alias("p95_shift"), F.avg("d").alias("mean_shift"))
+
+
 def dropout_shift(before: DataFrame, after: DataFrame, key: str = "jet", score: str = "score") -> DataFrame:
-    """One row: mean and 95 % quantile of the change of a score when tracks are dropped."""
-    both = before.select(key, F.col(score).alias("_a")).join(after.select(key, F.col(score).alias("_b")), key).withColumn("d", F.abs(F.col("_a") - F.col("_b")))
-    return quantiles(both, "d", [0.95]).select("n", F.col("q")[0].alias("p95_shift")).crossJoin(F.broadcast(both.agg(F.avg("d").alias("mean_shift"))))
+    """``score_shift`` of the scores of two tables: the change of a score when tracks are dropped."""
+    return score_shift(before.select(key, F.col(score).alias("before")).join(after.select(key, F.col(score).alias("after")), key))

@@ -217,3 +217,45 @@ def test_node_inputs_take_one_shuffle_and_keep_nulls(spark):
     one, two, three = w[1, 3] / (w[1, 2] + w[1, 3]) * 2.5, (w[2, 1] * 0.5 + w[2, 3] * 2.5) / (w[2, 1] + w[2, 3]), w[3, 1] / (w[3, 1] + w[3, 2]) * 0.5
     assert got[1, 1] == pytest.approx([0.5, one, 0.5 - one, 0.5 * one]) and got[1, 3] == pytest.approx([2.5, three, 2.5 - three, 2.5 * three])
     assert got[1, 2] == [None, pytest.approx(two), None, None] and got[2, 1] == [7.0, 0.0, 7.0, 0.0]
+
+
+def test_parallel_messages_equal_the_joins_in_one_shuffle(spark, monkeypatch):
+    """Also of null values and coordinates, of a track alone in its jet, and of jets dealt over several blocks of pairs."""
+    from sparkorbit.operators import tracks as tk
+
+    rng = np.random.default_rng(3)
+    maybe = lambda v: None if rng.random() < 0.15 else float(v)
+    rows = [(j, s, maybe(rng.normal()), maybe(rng.normal()), float(rng.normal())) for j in range(40) for s in range(1, 2 + j % 6)]
+    rows += [(90, 1, None, 0.0, 0.0), (90, 2, None, 1.0, 0.0), (91, 1, 1.0, math.nan, 0.0), (91, 2, 2.0, 0.0, 0.0), (91, 3, math.nan, 0.0, 0.0), (None, 1, 1.0, 0.0, 0.0), (None, 2, 1.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "jet long, slot int, s double, a double, b double")
+    joined = tk.messages(tk.parallel_adjacency(tk.relations(df, "jet", "slot", ["a", "b"]), "jet", 1.5), df, "jet", "slot", "s", 2)
+    want = {(r["jet"], r["slot"], r["step"]): r["s"] for r in joined.collect()}
+    for pairs in (tk.PAIRS, 7):
+        monkeypatch.setattr(tk, "PAIRS", pairs)
+        out = tk.parallel_messages(df, "jet", "slot", ["a", "b"], "s", 1.5, 2)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+        got = out.collect()
+        assert len(got) == len(want) and want[90, 1, 1] is None and not any(r["jet"] is None for r in got)
+        for r in got:
+            w = want[r["jet"], r["slot"], r["step"]]
+            assert r["s"] is None if w is None else r["s"] == pytest.approx(w, abs=1e-12, nan_ok=True)
+
+
+def test_shift_of_scores_reads_its_rows_once(spark):
+    from sparkorbit.operators import evaluate
+    from sparkorbit.operators import tracks as tk
+
+    rng = np.random.default_rng(5)
+    a, b = rng.random(500), rng.random(500)
+    rows = [(i, float(x), None if i % 50 == 0 else float(y)) for i, (x, y) in enumerate(zip(a, b, strict=True))]
+    df = spark.createDataFrame(rows, "jet long, before double, after double")
+    d = np.abs(a - b)[np.arange(500) % 50 != 0]
+    r = evaluate.score_shift(df).collect()
+    assert len(r) == 1 and r[0]["n"] == len(d) and r[0]["p95_shift"] == pytest.approx(np.quantile(d, 0.95), abs=1e-12) and r[0]["mean_shift"] == pytest.approx(d.mean())
+    # tracks are kept by the same hash as SplitMix64 of the jet and the place
+    t = spark.createDataFrame([(j, [{"s": float(k)} for k in range(j % 9)]) for j in [*range(60), -5, 1 << 40]], "jet long, tracks array<struct<s: double>>").withColumn("tracks", F.when(F.col("jet") != 3, F.col("tracks")))
+    place = F.transform("tracks", lambda x, i: F.struct(x.alias("t"), sc.unsigned_mod(sc.splitmix64(F.col("jet") * 1000 + i, 5), 10_000).alias("h")))
+    kept = F.transform(F.filter(place, lambda x: x["h"] < 7000), lambda x: x["t"])
+    want = F.when(F.size(kept) > 0, kept).otherwise(F.slice("tracks", 1, 1))
+    for r in t.select("jet", tk.dropout(F.col("tracks"), F.col("jet"), 0.7, 5).alias("got"), want.alias("want")).collect():
+        assert r["got"] == r["want"], r
