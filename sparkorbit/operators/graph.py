@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.prefix import range_bin
 from ..functions.scalars import information, information_bound
 from ..functions.stored import stored
+from .features import column_quantiles
 from .metric_join import knn_by_pivots, nearest, vectors
 
 MAX_LANDMARKS = 20_000
@@ -59,8 +60,11 @@ def knn(queries: DataFrame, landmarks: DataFrame, k: int, id_col: str = "vec_id"
 def local_scales(neighbours: DataFrame, k_sigma: int) -> DataFrame:
     """(id, sigma): distance to the k_sigma-th neighbour; zero takes the median of the positive ones."""
     s = neighbours.where(F.col("rank") == k_sigma).select(F.col("src").alias("id"), F.sqrt("d2").alias("sigma"))
-    middle = s.where("sigma > 0").agg(F.coalesce(F.median("sigma"), F.lit(1.0)).alias("_m"))
-    return s.crossJoin(F.broadcast(middle)).select("id", F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(F.col("_m")).alias("sigma"))
+    if s.where("not sigma > 0").isEmpty():
+        return s
+    counts: dict[str, int] = {}
+    middle = column_quantiles(s, {"sigma": F.when(F.col("sigma") > 0, F.col("sigma"))}, [0.5], counts)["sigma"][0]
+    return s.select("id", F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(F.lit(middle if counts["sigma"] else 1.0)).alias("sigma"))
 
 
 def _weight(d2: Column, a: Column, b: Column) -> Column:
@@ -76,7 +80,7 @@ def self_tuning_graph(vertices: DataFrame, k: int = 8, k_sigma: int = 4, id_col:
     n = vertices.count()
     if n < 3:
         raise ValueError("a graph has three vertices or more")
-    near = knn(vertices, vertices, max(2, min(k, n - 1)), id_col, vector_col, exclude_self=True)
+    near = stored(knn(vertices, vertices, max(2, min(k, n - 1)), id_col, vector_col, exclude_self=True))
     scales = local_scales(near, min(k_sigma, k, n - 1))
     w = near.join(scales.toDF("src", "_a"), "src").join(scales.toDF("dst", "_b"), "dst").select("src", "dst", _weight(F.col("d2"), F.col("_a"), F.col("_b")).alias("w"))
     both = w.union(w.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
@@ -89,9 +93,9 @@ def query_affinities(queries: DataFrame, landmarks: DataFrame, k: int = 8, k_sig
     A query's scale of zero takes the median scale of the landmarks, so the result
     does not depend on how queries are batched.
     """
-    near_l = knn(landmarks, landmarks, min(k, k_sigma), id_col, vector_col, exclude_self=True)
+    near_l = stored(knn(landmarks, landmarks, min(k, k_sigma), id_col, vector_col, exclude_self=True))
     scales = local_scales(near_l, min(k_sigma, k))
-    near = knn(queries, landmarks, k, id_col, vector_col)
+    near = stored(knn(queries, landmarks, k, id_col, vector_col))
     own = near.where(F.col("rank") == min(k_sigma, k)).select("src", F.sqrt("d2").alias("_s"))
     middle = scales.agg(F.median("sigma").alias("_m"))
     own = own.crossJoin(F.broadcast(middle)).select("src", F.when(F.col("_s") > 0, F.col("_s")).otherwise(F.col("_m")).alias("_a"))
@@ -136,7 +140,7 @@ def dense_affinities(queries: DataFrame, landmarks: DataFrame, k_sigma: int = 4,
     if landmarks.limit(MAX_LANDMARKS + 1).count() > MAX_LANDMARKS:
         return _dense_tiles(queries, landmarks, k_sigma, id_col, vector_col)
     ids, points = _matrix(landmarks, id_col, vector_col)
-    near_l = knn(landmarks, landmarks, k_sigma, id_col, vector_col, exclude_self=True)
+    near_l = stored(knn(landmarks, landmarks, k_sigma, id_col, vector_col, exclude_self=True))
     scales = {r["id"]: r["sigma"] for r in local_scales(near_l, min(k_sigma, max(1, len(ids) - 1))).collect()}
     sigma = np.array([scales[i] for i in ids.tolist()], np.float64)
     middle = float(np.median(sigma)) if len(sigma) else 1.0

@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 from ..functions.batches import by_rows
 from ..functions.stored import stored
 
-#: Bytes of the vectors of a block, and of the queries that meet it in one task.
-BLOCK_BYTES, QUERY_BYTES = 4 << 20, 8 << 20
+#: Bytes of the vectors, as doubles, of a block or of the queries that meet it in one task: as many of either as
+#: make ``SIDE`` groups, but no less than ``LEAST_BYTES`` and no more than ``MOST_BYTES``.  Copies of vectors that are
+#: shuffled go with the square of the points over this size.
+LEAST_BYTES, BLOCK_BYTES, SIDE = 4 << 20, 8 << 20, 8
+#: Values of the matrix of distances that a task holds.
+TILE_VALUES = 1 << 20
 #: Pivots, which every task holds.
 MOST_PIVOTS = 1024
 _FOUND = "q long, src long, dst long, d2 double"
@@ -51,8 +55,9 @@ def nearest(x: np.ndarray, own: np.ndarray, points: np.ndarray, ids: np.ndarray,
     most, step, by_id = square.max(initial=0.0), max(1, (1 << 20) // points.shape[1]), np.argsort(ids, kind="stable")
     k = min(k, len(ids))
     cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
-    for at in range(0, len(x) if k > 0 else 0, 128):
-        part, mine = x[at : at + 128], own[at : at + 128]
+    few = max(16, min(128, TILE_VALUES // max(1, len(ids))))
+    for at in range(0, len(x) if k > 0 else 0, few):
+        part, mine = x[at : at + few], own[at : at + few]
         with np.errstate(all="ignore"):
             norm = (part * part).sum(axis=1)
             rough = part @ points.T
@@ -70,7 +75,7 @@ def nearest(x: np.ndarray, own: np.ndarray, points: np.ndarray, ids: np.ndarray,
         if unsure:
             near_enough = np.ones(rough.shape, bool)
         elif within is not None:
-            near_enough = rough <= (within[at : at + 128] * (1 + 1e-9) + off)[:, None]
+            near_enough = rough <= (within[at : at + few] * (1 + 1e-9) + off)[:, None]
         else:
             near_enough = rough <= (np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * off)[:, None]
         if same is not None:
@@ -124,6 +129,17 @@ class _Cells:
         return np.flatnonzero(np.maximum(bound, 0) ** 2 <= d2 * (1 + 1e-9))
 
 
+def _group_rows(n: int, dim: int) -> int:
+    """Rows of a group of n vectors."""
+    return max(64, min(BLOCK_BYTES // (8 * dim), max(LEAST_BYTES // (8 * dim), -(-n // SIDE))))
+
+
+def _narrow(points: DataFrame) -> bool:
+    """Whether every component is one of single precision, as which it is moved at half the bytes."""
+    whole = F.forall("v", lambda x: F.coalesce(x.cast("float").cast("double") == x, F.lit(False)))
+    return bool(points.agg(F.min(F.coalesce(whole, F.lit(True)).cast("int"))).first()[0])
+
+
 def _assign(points: DataFrame, cells: _Cells) -> DataFrame:
     """(id, v, cell, r): the nearest pivot of each point and its distance."""
     dim = cells.pivots.shape[1]
@@ -161,7 +177,10 @@ def _wanted(queries: DataFrame, cells: _Cells, enough: int, bounded: bool) -> Da
 
 
 def _meet(queries: DataFrame, wanted: DataFrame, points: DataFrame, k: int, dim: int, exclude_self: bool, query_rows: int) -> DataFrame:
-    """(q, src, dst, d2): of each query and block, the k nearest points of the block, none surely beyond the query's ``d2``."""
+    """(q, src, dst, d2): of each query and block, the k nearest points of the block, none surely beyond the query's ``d2``.
+
+    Vectors of single precision are computed with as doubles, which changes nothing.
+    """
     wanted = stored(wanted)
     share = wanted.groupBy("block").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("shares"))
     share = stored(share)  # a row for each block
@@ -199,11 +218,11 @@ def _knn_by_pivots(queries: DataFrame, landmarks: DataFrame, k: int, id_col: str
     points = landmarks.select(known(landmarks).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     number = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     points = stored(points.withColumn("_n", number).where(F.col("_n") <= k + 1).drop("_n"))
-    n = points.count()
+    n, moved = points.count(), "array<float>" if _narrow(points) else "array<double>"
     if not n or k < 1:
         return spark.createDataFrame([], "src long, dst long, rank int, d2 double")
     dim = points.select(F.size("v")).first()[0]
-    rows = block_rows or max(64, BLOCK_BYTES // (8 * dim))
+    rows = block_rows or _group_rows(n, dim)
     some = points.orderBy(F.xxhash64("id"), "id").limit(min(MOST_PIVOTS, -(-n // rows))).collect()
     cells = _Cells(np.array([r["v"] for r in some], np.float64))
 
@@ -214,11 +233,13 @@ def _knn_by_pivots(queries: DataFrame, landmarks: DataFrame, k: int, id_col: str
     named = spark.createDataFrame([(r["cell"], r["part"], i) for i, r in enumerate(sizes)], "cell int, part int, block int")
     cells.cell, cells.count = np.array([r["cell"] for r in sizes]), np.array([r["n"] for r in sizes])
     cells.least, cells.most = np.array([r["least"] for r in sizes]), np.array([r["most"] for r in sizes])
-    points = stored(blocks.join(F.broadcast(named), ["cell", "part"]).select("block", "id", "v"))
+    points = stored(blocks.join(F.broadcast(named), ["cell", "part"]).select("block", "id", F.col("v").cast(moved).alias("v")))
 
     asked = queries.select(known(queries).alias("src"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("q", F.monotonically_increasing_id())
     asked = stored(asked)
-    query_rows = max(64, QUERY_BYTES // (8 * dim)) if block_rows is None else 2 * block_rows
+    if _narrow(asked):
+        asked = asked.withColumn("v", F.col("v").cast("array<float>"))
+    query_rows = _group_rows(asked.count(), dim) if block_rows is None else 2 * block_rows
     meet = lambda asked, wanted: stored(_meet(asked, wanted, points, k, dim, exclude_self, query_rows))
     near = meet(asked.withColumn("d2", F.lit(None).cast("double")), _wanted(asked, cells, k + int(exclude_self), False))
     order = Window.partitionBy("q").orderBy("d2", "dst")

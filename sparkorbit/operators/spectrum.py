@@ -101,12 +101,17 @@ def extend_modes(affinities: DataFrame, modes: DataFrame, potential: DataFrame,
     denominator keeps its sign and is at least ``floor`` in size.  A mode is stable if
     no query of all comes below the floor.
     """
-    degree = affinities.groupBy("src").agg(F.sum("w").alias("_d"))
-    mean = affinities.join(modes.withColumnRenamed("id", "dst"), "dst").groupBy("src", "k").agg(F.sum(F.col("w") * F.col("phi")).alias("_s"))
-    rows = mean.join(degree, "src").join(potential.select(F.col("id").alias("src"), "v"), "src").join(F.broadcast(eigen), "k")
+    levels = [(r["k"], r["epsilon"]) for r in eigen.select("k", "epsilon").orderBy("k").collect()]  # a row for each mode
+    if not levels:
+        return affinities.sparkSession.createDataFrame([], "id long, k int, phi double, stable boolean")
+    # All modes of a vertex go with an edge in one row.
+    wide = modes.groupBy(F.col("id").alias("dst")).agg(*(F.sum(F.when(F.col("k") == k, F.col("phi"))).alias(f"_{j}") for j, (k, _) in enumerate(levels)))
+    sums = affinities.join(wide, "dst", "left").groupBy("src").agg(F.sum("w").alias("_d"), *(F.sum(F.col("w") * F.col(f"_{j}")).alias(f"_{j}") for j in range(len(levels))))
+    each = F.array(*(F.struct(F.lit(k).cast(eigen.schema["k"].dataType).alias("k"), F.lit(e).cast("double").alias("epsilon"), F.col(f"_{j}").alias("_s")) for j, (k, e) in enumerate(levels)))
+    rows = sums.join(potential.select(F.col("id").alias("src"), "v"), "src").select("src", "_d", "v", F.inline(each)).where("_s is not null")
     den = F.lit(alpha) + F.lit(beta) * F.col("v") - F.col("epsilon")
     safe = F.when(F.abs(den) >= floor, den).otherwise(F.when(den < 0, F.lit(-floor)).otherwise(F.lit(floor)))
-    rows = rows.select(F.col("src").alias("id"), "k", (F.lit(alpha) * F.col("_s") / F.col("_d") / safe).alias("phi"), F.abs(den).alias("_a"))
+    rows = stored(rows.select(F.col("src").alias("id"), "k", (F.lit(alpha) * F.col("_s") / F.col("_d") / safe).alias("phi"), F.abs(den).alias("_a")))
     stable = rows.groupBy("k").agg((F.min("_a") >= floor).alias("stable"))
     return rows.drop("_a").join(F.broadcast(stable), "k").select("id", "k", "phi", "stable")
 

@@ -1,5 +1,7 @@
 """Operators without a bound on rows: the pivot join, the distributed eigensolver and readout, against plain numpy."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +94,53 @@ def test_dense_affinities_of_more_landmarks_than_are_broadcast(spark, monkeypatc
         assert r["total"] == pytest.approx(one["total"]) == pytest.approx(w.sum()) and r["placed"] == pytest.approx(one["placed"]) == pytest.approx(w @ (np.arange(45) % 7))
 
 
+def test_neighbours_of_a_graph_are_computed_once(spark, monkeypatch):
+    """Edges and extended modes read what was written; copies of vectors of single precision are moved as such."""
+    from sparkorbit.operators import spectrum
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(150, 4)).astype(np.float32).astype(float)
+    x[20:29] = x[3]  # distances of zero: scales that take the median
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    want = {(r["src"], r["dst"]): r["w"] for r in graph.self_tuning_graph(df)[0].collect()}
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    edges, scales = graph.self_tuning_graph(df)
+    assert "MapInArrow" not in plan(edges) and "MapInArrow" not in plan(scales)
+    d2 = ((x[:, None] - x) ** 2).sum(axis=2) + np.diag(np.full(150, np.inf))
+    sigma = np.sqrt(np.sort(d2, axis=1)[:, 3])
+    sigma = np.where(sigma > 0, sigma, np.median(sigma[sigma > 0]))
+    assert [r["sigma"] for r in scales.orderBy("id").collect()] == pytest.approx(sigma.tolist())
+    monkeypatch.setattr(graph, "MAX_LANDMARKS", 10)
+    moved = []
+    monkeypatch.setattr(metric_join, "_meet", lambda asked, wanted, points, *a, f=metric_join._meet: moved.append((asked.schema["v"].dataType.simpleString(), points.schema["v"].dataType.simpleString())) or f(asked, wanted, points, *a))
+    edges = graph.self_tuning_graph(df)[0]
+    assert "MapInArrow" not in plan(edges) and "Window" not in plan(edges)
+    assert moved == [("array<float>", "array<float>")] * 2
+    got = {(r["src"], r["dst"]): r["w"] for r in edges.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-300) for k in want)
+    graph.knn(df.withColumn("embedding", F.transform("embedding", lambda v: v / 3)), df, 2).collect()
+    assert moved[2:] == [("array<double>", "array<float>")] * 2
+    assert metric_join._group_rows(615_420, 64) == 16_384 and metric_join._group_rows(51_282, 64) == 8192
+
+    modes = spark.createDataFrame([(i, k, math.cos(k * i)) for i in range(0, 150, 2) for k in (1, 2, 3)], "id long, k int, phi double")
+    pot = spark.createDataFrame([(i, 0.4 - 1 if i == 7 else 0.5) for i in range(149)], "id long, v double")
+    eigen = spark.createDataFrame([(1, 0.1), (2, 0.4), (3, 0.3), (4, 0.2)], "k int, epsilon double")
+    out = spectrum.extend_modes(edges, modes, pot, eigen)
+    assert "Exchange hashpartitioning(dst" not in plan(out)
+    rows = {(r["id"], r["k"]): (r["phi"], r["stable"]) for r in out.collect()}
+    total: dict = {}
+    sums: dict = {}
+    for (i, j), w in want.items():
+        total[i] = total.get(i, 0) + w
+        for k in (1, 2, 3) if j % 2 == 0 else ():
+            sums[i, k] = sums.get((i, k), 0) + w * math.cos(k * j)
+    assert rows.keys() == {key for key in sums if key[0] < 149}
+    for (i, k), (phi, stable) in rows.items():
+        den = 1 + (0.4 - 1 if i == 7 else 0.5) - {1: 0.1, 2: 0.4, 3: 0.3}[k]
+        den = den if abs(den) >= 1e-6 else (-1e-6 if den < 0 else 1e-6)
+        assert phi == pytest.approx(sums[i, k] / total[i] / den, rel=1e-7, abs=1e-12) and stable == (k != 2)
+
+
 def ring(spark, n, seed):
     """The Laplacian of a ring with chords, and a potential."""
     rng = np.random.default_rng(seed)
