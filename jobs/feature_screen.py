@@ -23,28 +23,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkorbit.functions.stored import scope, stored
-from sparkorbit.operators.evaluate import average_precision, best_per_group, roc_auc, thresholds, with_intervals, working_points
+from sparkorbit.operators.evaluate import best_per_group, roc_areas, thresholds, with_intervals, working_points
 from sparkorbit.sources.workers import importable
 
 BY = ("axis", "slice", "feature")
+BLANKS = " \t\n\x0b\f\r"
+#: Labels, an id and a number each, up to which they are broadcast.
+FEW_LABELS = 4_000_000
 log = logging.getLogger(__name__)
 
 
 def features(text: Column) -> dict[str, Column]:
     """Scores of a text: counts, and shares of its characters or lines; 0 without text."""
     text = F.coalesce(text, F.lit(""))
-    n, words, lines = F.length(text), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.split(text, "\n", -1)
-    share = lambda pattern: F.coalesce(F.try_divide(F.regexp_count(text, F.lit(pattern)).cast("double"), n.cast("double")), F.lit(0.0))
+    # What is left of a text is measured: a count of matches would make an array of them.
+    left = lambda text, pattern, by: F.length(F.regexp_replace(text, F.lit(pattern), F.lit(by)))
+    words = left(F.rtrim(text, F.lit(BLANKS)), r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++", "x")
+    n, lines = F.length(text), F.split(text, "\n", -1)
+    share = lambda of: F.coalesce(F.try_divide(left(text, f"[^{of}]++", "").cast("double"), n.cast("double")), F.lit(0.0))
     return {
         "characters": n.cast("double"),
         "words": words.cast("double"),
         "word_length": F.coalesce(F.try_divide(n.cast("double"), words.cast("double")), F.lit(0.0)),
         "lines": F.size(lines).cast("double"),
         "distinct_lines": F.size(F.array_distinct(lines)).cast("double") / F.size(lines),
-        "letters": share("[A-Za-z]"),
-        "capitals": share("[A-Z]"),
-        "digits": share("[0-9]"),
-        "stops": share("[.!?]"),
+        "letters": share("A-Za-z"),
+        "capitals": share("A-Z"),
+        "digits": share("0-9"),
+        "stops": share(".!?"),
     }
 
 
@@ -59,9 +65,11 @@ def scored_rows(documents: DataFrame, labels: DataFrame, label: str, size_edges:
         named = F.when(size < high, f"{low}-{high - 1}").otherwise(named)
     slices = [("all", F.lit("all")), ("lang", F.coalesce("lang", F.lit("-"))), ("size", named)]
     each = F.array(*(F.struct(F.lit(f).alias("feature"), c.alias("score")) for f, c in features(F.col("text")).items()))
-    slim = documents.select("doc_id", F.array(*(F.struct(F.lit(a).alias("axis"), s.alias("slice")) for a, s in slices)).alias("slices"), each.alias("scores"))
-    rows = slim.join(labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")), "doc_id")
-    return rows.select("y", F.inline("slices"), "scores").select("y", "axis", "slice", F.inline("scores"))
+    marks = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
+    few = marks.limit(FEW_LABELS + 1).count() <= FEW_LABELS
+    known = documents.select("doc_id", "lang", "text").join(F.broadcast(marks) if few else marks, "doc_id")  # only labelled texts are read through
+    slim = stored(known.select("y", F.array(*(F.struct(F.lit(a).alias("axis"), s.alias("slice")) for a, s in slices)).alias("slices"), each.alias("scores")))
+    return slim.select("y", F.inline("slices"), "scores").select("y", "axis", "slice", F.inline("scores"))
 
 
 def run(spark: SparkSession, documents: str, labels: str, output: str, label: str = "quality", efficiencies: tuple[float, ...] = (0.5, 0.7, 0.9), size_edges: tuple[int, ...] = (200, 1000, 5000)) -> dict:
@@ -76,7 +84,7 @@ def _run(spark: SparkSession, documents: str, labels: str, output: str, label: s
     everywhere = rows.where("axis = 'all'")
     log.info("read %s and %s: %s labelled documents", documents, labels, everywhere.where("feature = 'words'").count())
 
-    areas = roc_auc(rows, BY).join(average_precision(rows, BY), list(BY))
+    areas = stored(roc_areas(rows, BY))  # a row for each slice and feature
     best = best_per_group(areas.where("auc is not null").withColumn("_edge", F.round(F.col("auc") - 0.5, 9)), ["axis", "slice"], "_edge", "feature").select(*BY, F.lit(True).alias("strongest"))
     screen = areas.join(best, list(BY), "left").select(*BY, "n_pos", "n_neg", F.round("auc", 9).alias("auc"), F.round("average_precision", 9).alias("average_precision"), F.coalesce("strongest", F.lit(False)).alias("strongest"))
     screen.coalesce(1).write.mode("overwrite").partitionBy("axis").parquet(f"{output}/screen")  # a row for each slice and feature

@@ -47,6 +47,16 @@ def average_precision(df: DataFrame, by: tuple[str, ...] = ("method",)) -> DataF
     return run.groupBy(*by).agg((F.sum(step) / F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"))
 
 
+def roc_areas(df: DataFrame, by: tuple[str, ...] = ("method",)) -> DataFrame:
+    """(by, n_pos, n_neg, auc, average_precision): ``roc_auc`` and ``average_precision`` from one running sum."""
+    run = running_sums(score_counts(df, by), "score", {"tp": "pos", "fp": "neg"}, by, descending=True)
+    step = F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
+    lost = F.col("pos") * (F.col("fp") - F.col("neg") / 2)  # pairs whose negative has the higher score, ties one half
+    out = run.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(lost).alias("_lost"), F.sum(step).alias("_steps"))
+    pairs = F.col("n_pos") * F.col("n_neg")
+    return out.select(*by, "n_pos", "n_neg", ((pairs - F.col("_lost")) / F.nullif(pairs, F.lit(0))).alias("auc"), (F.col("_steps") / F.nullif(F.col("n_pos"), F.lit(0))).alias("average_precision"))
+
+
 def roc_table(df: DataFrame, by: tuple[str, ...] = ("method",), totals: bool = False) -> DataFrame:
     """A row for each distinct score as threshold (score >= threshold passes), and the empty point before them.
 

@@ -140,3 +140,35 @@ def test_command_line(sf, tmp_path):
     for want in ("done: {'batches': 1", "done: {'batches': 0"):
         done = subprocess.run(call, env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
         assert done.returncode == 0 and want in done.stderr, done.stderr[-2000:]
+
+
+def test_features_read_labelled_texts_without_arrays_of_matches(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from sparkorbit.operators import evaluate
+
+    texts = [None, "", " \t\n", "a", "  One two\x0bthree.\n\nA1 B2!  ", "x " * 50 + "\r\n " * 30, "\u00e9t\u00e9 \U0001f600 Z\u00a09?", "\n", "$1 \\ (a)"]
+    docs = spark.createDataFrame([(i, "en" if i % 2 else None, t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    names = list(feature_screen.features(F.col("text")))
+    got = {r["doc_id"]: r for r in docs.select("doc_id", *(c.alias(n) for n, c in feature_screen.features(F.col("text")).items())).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        count = lambda p: len(re.findall(p, t))  # noqa: B023, E731
+        words, n = count(r"[^\x20\x09-\x0D]+"), len(t)
+        lines = t.split("\n")
+        want = [n, words, n / words if words else 0, len(lines), len(set(lines)) / len(lines), *(count(p) / n if n else 0 for p in ("[A-Za-z]", "[A-Z]", "[0-9]", "[.!?]"))]
+        assert [got[i][c] for c in names] == pytest.approx(want), t
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)] + [(4, 7)], "doc_id long, quality int")
+    rows = feature_screen.scored_rows(docs, labels, "quality", [2, 5])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan  # each text is read through once, however many slices it is in
+    assert rows.count() == 4 * 3 * len(names)
+
+    scores = spark.createDataFrame([(m, (k * 7 + len(m)) % 3 // 2 if m != "one" else 1, float(k % 5)) for m in ("a", "bb", "one") for k in range(40)], "method string, y int, score double")
+    area = {r["method"]: r for r in evaluate.roc_areas(scores).collect()}
+    for r in evaluate.roc_auc(scores).join(evaluate.average_precision(scores), "method").collect():
+        a = area[r["method"]]
+        assert a["n_pos"] == r["n_pos"] and a["n_neg"] == r["n_neg"] and a["average_precision"] == pytest.approx(r["average_precision"], abs=1e-14)
+        assert a["auc"] is None if r["auc"] is None else a["auc"] == pytest.approx(r["auc"], abs=1e-14)
