@@ -174,7 +174,7 @@ def environment() -> dict:
     out = {"python": sys.version.split()[0]}
     for name in ("pyspark", "numpy", "pandas", "pyarrow", "h5py"):
         try:
-            out[name] = importlib.import_module(name).__version__
+            out[name] = getattr(importlib.import_module(name), "__version__", "unknown")
         except ImportError:
             out[name] = None
     return out
