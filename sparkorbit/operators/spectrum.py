@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stored import stored
+from ..functions.stored import release, stored
 from .eigensolver import smallest_modes
 from .graph import MAX_LANDMARKS
 
@@ -83,15 +83,24 @@ def distributed_modes(entries: DataFrame, k: int, degrees: DataFrame, seed: int
     signs = [-1.0 if x is not None and x < 0 else 1.0 for x in (vectors.agg(*largest).first() if values else [])]
     turned = F.transform("u", lambda x, j: x * F.get(F.array(*map(F.lit, signs)), j)) if values else F.col("u")
     modes = vectors.select("id", turned.alias("u")).join(degrees.select("id", "degree"), "id").select("id", "u", F.transform("u", lambda x: x / F.sqrt("degree")).alias("phi"))
+    modes = stored(modes)
+    release(vectors)
     return entries.sparkSession.createDataFrame([(j + 1, float(x)) for j, x in enumerate(values)], "k int, epsilon double"), modes
 
 
 def residuals(entries: DataFrame, eigen: DataFrame, modes: DataFrame) -> DataFrame:
     """(k, residual): the norm of H u - epsilon u of each mode."""
-    long = modes.select("id", F.posexplode("u").alias("k", "x")).withColumn("k", F.col("k") + 1)
-    hx = entries.join(long.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "k").agg(F.sum(F.col("value") * F.col("x")).alias("_h"))
-    gap = F.col("_h") - F.col("epsilon") * F.col("x")
-    return hx.join(long, ["id", "k"]).join(F.broadcast(eigen), "k").groupBy("k").agg(F.sqrt(F.sum(gap * gap)).alias("residual"))
+    levels = [(r["k"], r["epsilon"]) for r in eigen.select("k", "epsilon").orderBy("k").collect()]  # a row for each mode
+    if not levels:
+        return entries.sparkSession.createDataFrame([], "k int, residual double")
+    # All modes of a vertex go with an entry in one row.
+    at = lambda k: F.get("u", F.lit(k - 1))
+    wide = modes.select(F.col("id").alias("dst"), *(at(k).alias(f"_{k}") for k, _ in levels))
+    hx = entries.join(wide, "dst").groupBy(F.col("src").alias("id")).agg(*(F.sum(F.col("value") * F.col(f"_{k}")).alias(f"_{k}") for k, _ in levels))
+    gaps = hx.join(modes.select("id", "u"), "id").select(*(F.pow(F.col(f"_{k}") - F.lit(e) * at(k), 2.0).alias(f"_{k}") for k, e in levels))
+    sums = gaps.agg(*(F.sqrt(F.sum(f"_{k}")).alias(f"_{k}") for k, _ in levels))
+    each = F.array(*(F.struct(F.lit(k).cast(eigen.schema["k"].dataType).alias("k"), F.col(f"_{k}").alias("residual")) for k, _ in levels))
+    return sums.select(F.inline(each)).where("residual is not null")
 
 
 def extend_modes(affinities: DataFrame, modes: DataFrame, potential: DataFrame, eigen: DataFrame, alpha: float = 1.0, beta: float = 1.0, floor: float = 1e-6) -> DataFrame:

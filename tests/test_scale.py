@@ -179,6 +179,43 @@ def test_degenerate_and_small_operators(spark):
     assert values == pytest.approx([0.25]) and abs(abs(vectors.first()["u"][0]) - 1) < 1e-12
 
 
+def test_basis_finds_clustered_modes_in_few_products(spark, monkeypatch):
+    """Each product shuffles the vectors of one block, no wider than the pairs; what is shuffled is gone when it is written."""
+    from sparkorbit.operators import eigensolver
+
+    kept = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: [b for b in kept.getAllBlocks().mkString(",").split(",") if b.startswith("shuffle_")]
+    before, seen = set(files()), []
+    monkeypatch.setattr(eigensolver, "_product", lambda *a, f=eigensolver._product: seen.append(set(files()) - before) or f(*a))
+    n, rng = 160, np.random.default_rng(8)
+    lam = np.concatenate([np.linspace(0.37, 0.4, 16), np.linspace(0.8, 2.4, n - 16)])  # more modes at the lower end than are asked for
+    entries = spark.createDataFrame([(i, i, float(x)) for i, x in enumerate(rng.permutation(lam))], "src long, dst long, value double")
+    values, vectors = smallest_modes(entries, 4, block_entries=80)
+    assert np.allclose(values, lam[:4], atol=1e-9)
+    got = np.array([r["u"] for r in vectors.collect()])
+    assert np.abs(got.T @ got - np.eye(4)).max() < 1e-8
+    assert len(seen) <= 45 and max(map(len, seen)) <= 20
+
+
+def test_a_full_basis_starts_another(spark):
+    h, d, entries = ring(spark, 120, 2)
+    values, vectors = smallest_modes(entries, 6, basis=84)
+    assert np.allclose(values, np.linalg.eigvalsh(h)[:6], atol=1e-9)
+    got = np.array([r["u"] for r in sorted(vectors.collect(), key=lambda r: r["id"])])
+    assert np.linalg.norm(h @ got - got * values, axis=0).max() < 1e-7
+
+
+def test_residuals_of_all_modes_in_one_row(spark):
+    h, d, entries = ring(spark, 40, 3)
+    rng = np.random.default_rng(2)
+    u, e = rng.normal(size=(40, 3)), [0.1, 0.7, 1.3]
+    modes = spark.createDataFrame([(3 * i, x.tolist()) for i, x in enumerate(u)], "id long, u array<double>")
+    eigen = spark.createDataFrame([(k + 1, x) for k, x in enumerate(e)], "k int, epsilon double")
+    out = spectrum.residuals(entries, eigen, modes)
+    assert out.columns == ["k", "residual"] and "Generate explode" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "posexplode" not in plan
+    assert {r["k"]: r["residual"] for r in out.collect()} == pytest.approx(dict(enumerate(np.linalg.norm(h @ u - u * e, axis=0), 1)))
+
+
 def test_solve_modes_beyond_the_driver(spark, monkeypatch):
     h, d, entries = ring(spark, 90, 5)
     degrees = spark.createDataFrame([(3 * i, float(x)) for i, x in enumerate(d)], "id long, degree double")
